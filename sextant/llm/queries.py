@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import expand_prefix_targets, read_back
 from .decontam import find_contamination
+from .huffman import encode_documents
 from .packing import pack_documents
 from .sharding import shard_documents
 from .stages import table
 from .tokens import vocabulary_path
 
+TOKEN_FILE_VOCABULARY = "word_bpe_49k.json"
 PACKING_VOCABULARY = "word_bpe_49k.json"
 
 
@@ -27,6 +29,10 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(TOKEN_FILE_VOCABULARY))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +42,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op6_jump_sharding, op8_decontamination, op9_harmonic_packing)
+    f.__name__: f for f in (op1_chat_prefix_targets, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
 }
 
 ORACLE: dict[str, str] = {}
