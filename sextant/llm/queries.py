@@ -10,6 +10,7 @@ from .chat import expand_prefix_targets, read_back
 from .decontam import find_contamination
 from .huffman import encode_documents
 from .packing import pack_documents
+from .quality import quality_rules
 from .sharding import shard_documents
 from .stages import table
 from .tokens import vocabulary_path
@@ -25,6 +26,10 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand_prefix_targets(turns))
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
+    f.__name__: f for f in (op1_chat_prefix_targets, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
 }
 
 ORACLE: dict[str, str] = {}

@@ -51,13 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """The prefix sums that span hashes are differences of."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data))[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each data[start:end]; empty spans hash to mix(0)."""
     n = len(data)
     if not n or not len(starts):
         return mix(np.zeros(len(starts), dtype=np.uint64))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n)[:n], out=sums[1:])
+    sums = byte_sums(data) if sums is None else sums
     starts, ends = starts.astype(np.int64), ends.astype(np.int64)
     inverse = _powers(_BASE_INVERSE, n)
     return mix((sums[ends] - sums[starts]) * inverse[np.minimum(starts, n - 1)])
