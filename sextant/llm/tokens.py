@@ -3,9 +3,9 @@
 Every pre-token of the vocabulary used here lies between two white-space
 characters, so the ids of a text are the ids of its white-space separated
 chunks, one after another.  Chunks repeat far more often than texts do, so each
-Python worker keeps the ids of the chunks and of the pre-tokens it has met, and
-only asks the tokenizers library for new ones.  The caches are emptied when they
-reach a fixed number of entries; that changes time, never ids.
+Python worker keeps the ids of the chunks it has met, and only asks the tokenizers
+library for new ones.  The cache is emptied when it reaches a fixed number of entries;
+that changes time, never ids.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_200_000
 #: Characters that the pattern below and the library's own see alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+_PLAIN_TEXT = re.compile("[\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
 #: Fixed value: the pre-token pattern of the vocabulary, for lower-cased plain characters.
 _PLAIN_PRETOKEN = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+"
@@ -49,27 +50,45 @@ class WordCachedTokenizer:
 
         self._tok = Tokenizer.from_file(path)
         self._cap = cache_entries
+        ends = [i for w, i in self._tok.get_vocab().items() if w.endswith("</w>")]
+        self._ends = np.zeros(1 << 16, bool)
+        self._ends[ends] = True
         self._chunks: dict[str, bytes] = {}
-        self._pre: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint16).tobytes() for e in found]
 
+    def _encode_plain(self, chunks: list[str]) -> list[bytes]:
+        """The same for chunks of plain characters, many to a text.
+
+        The last id of every pre-token marks a word's end, so a chunk's ids end with as
+        many marks as it has pre-tokens.
+        """
+        out: list[bytes] = []
+        groups = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
+        for group, found in zip(groups, self._tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=np.uint16)
+            marks = np.flatnonzero(self._ends[ids]) + 1
+            many = np.cumsum([len(x) for x in map(_PLAIN_PRETOKEN.findall, "\n".join(group).lower().split("\n"))])
+            if len(marks) != many[-1]:
+                out += self._encode(group)
+                continue
+            raw, at = ids.tobytes(), (2 * marks[many - 1]).tolist()
+            out += [raw[a:b] for a, b in zip([0, *at], at)]
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        chunks, pre = self._chunks, self._pre
+        chunks = self._chunks
         if len(chunks) + len(new) > self._cap:
             chunks.clear()
-        if len(pre) > self._cap:
-            pre.clear()
-        plain, odd = [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w) and "<|" not in w else odd).append(w)
-        parts = [_PLAIN_PRETOKEN.findall(w.lower()) for w in plain]
-        unseen = list({p for x in parts for p in x if p not in pre})
-        pre.update(zip(unseen, self._encode(unseen)))
-        for w, x in zip(plain, parts):
-            chunks[w] = pre[x[0]] if len(x) == 1 else b"".join([pre[p] for p in x])
+        odd: list[str] = []
+        plain = new
+        text = " ".join(new)
+        if "<|" in text or not _PLAIN_TEXT.fullmatch(text):
+            plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
+            odd = list(set(new).difference(plain))
+        chunks.update(zip(plain, self._encode_plain(plain)))
         chunks.update(zip(odd, self._encode(odd)))
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
@@ -83,7 +102,7 @@ class WordCachedTokenizer:
                 n += len(words[upto])
                 upto += 1
             chunks = self._chunks
-            new = list({w for x in words[at:upto] for w in x if w not in chunks})
+            new = list(set().union(*words[at:upto]).difference(chunks))
             if new:
                 before = len(chunks)
                 self._learn(new)
