@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import expand_prefix_targets, read_back
 from .decontam import find_contamination
+from .dedup import near_duplicates
 from .huffman import encode_documents
 from .packing import pack_documents
 from .quality import quality_rules
@@ -26,6 +27,10 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(expand_prefix_targets(turns))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
+    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
 }
 
 ORACLE: dict[str, str] = {}
