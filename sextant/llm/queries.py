@@ -11,7 +11,9 @@ from .decontam import find_contamination
 from .dedup import near_duplicates
 from .huffman import encode_documents
 from .packing import pack_documents
+from .pii import find_personal_data
 from .quality import quality_rules
+from .secrets import find_secrets
 from .sharding import shard_documents
 from .stages import table
 from .tokens import vocabulary_path
@@ -31,6 +33,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,8 +57,12 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(PACKING_VOCABULARY))
 
 
+def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing)
+    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing, op10_markov_secrets)
 }
 
 ORACLE: dict[str, str] = {}
