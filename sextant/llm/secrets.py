@@ -87,7 +87,7 @@ def labelled_samples(seed: int = 5, n: int = 4000) -> list[tuple[str, int]]:
         elif shape == 5:
             text = "".join(words)
         else:
-            text = rng.choice(ALPHABET) * rng.randint(20, 60) if rng.random() < 0.3 else "".join(w.title() for w in words) + str(rng.randint(0, 99))
+            text = rng.choice(ALPHABET + "=-_/" * 60) * rng.randint(20, 60) if rng.random() < 0.6 else "".join(w.title() for w in words) + str(rng.randint(0, 99))
         out.append((text, ORDINARY))
     return out
 
