@@ -11,6 +11,7 @@ from .decontam import find_contamination
 from .dedup import near_duplicates
 from .huffman import encode_documents
 from .packing import pack_documents
+from .pages import extract_main_text
 from .pii import find_personal_data
 from .quality import quality_rules
 from .secrets import find_secrets
@@ -41,6 +42,10 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing, op10_markov_secrets)
+    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing, op10_markov_secrets)
 }
 
 ORACLE: dict[str, str] = {}
