@@ -1,18 +1,63 @@
-"""The training-data pipeline over `documents`: stages in order, each written and read again."""
+"""The training-data pipeline over `documents`: stages in order, each written and read again.
+
+A stage is called with (spark, docs, sf_dir) and works on all that the one before it kept.  All
+but the last return the columns of `documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sextant.llm.decontam import drop_contaminated
+from sextant.llm.dedup import one_of_each
+from sextant.llm.packing import pack_documents
+from sextant.llm.pii import sanitised
+from sextant.llm.quality import keep_good
 from sextant.llm.stages import staged, table
+from sextant.llm.tokens import vocabulary_path
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the limits or the trees reject go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of five-word shingles are linked at 0.8 or more, the first stays."""
+    return one_of_each(docs, shingle=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that disclose it, are replaced in the texts."""
+    return sanitised(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, with its sequence and its place there."""
+    return pack_documents(docs, vocabulary_path(VOCABULARY))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-#: Model scores and tokenizers cannot be put in SQL.
+#: Tree scores and tokenizers cannot be put in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents in sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -266,3 +266,28 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     for i, index in enumerate(indexes):
         rows = _mark(rows, index, i == len(indexes) - 1)
     return rows
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents in which no item's window occurs, with all their columns."""
+    out = docs
+    for block in _blocks(items, block_words):
+        index = block.build(window)
+        index.choose_prefixes(_shingle_counts(docs, index))
+        out = _without(out, index)
+    return out
+
+
+def _without(docs: DataFrame, index: Index) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # of BLOCK_WORDS item words
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts.of(batch.column("text")).lowered()
+            starts, ends, first = t.runs(ALNUM)
+            at, _ = sent.value.hits(t.data.tobytes(), starts, ends, first, span_hashes(t.data, starts, ends))
+            clean = np.ones(len(t), bool)
+            clean[np.searchsorted(first, at, side="right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(drop, docs.schema)

@@ -307,3 +307,18 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, trees:
     more = _between_classes(groups.withColumn("key", F.xxhash64("path", "block", "beside")), percent)
     more = more.distinct().join(tested, ["a", "b"], "left_anti")
     return sure.unionByName(staged(_confirmed(docs, more, shingle, percent), "more-links"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, but only the first of each class of near duplicates.
+
+    Rows that repeat a doc_id are one document, of which one row stays; null doc_ids stay.
+    """
+    marks = staged(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
+    gone = marks.where("not kept").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
