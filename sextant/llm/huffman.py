@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,12 @@ from .stages import shared_dir, staged
 from .tokens import worker_tokenizer
 from .words import slices
 
-LIMIT = 15
+LIMIT = 16
 CHECKPOINT = 256
 #: A block is closed at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 65_536
 #: Blocks that are decoded side by side.
-SIDE_BY_SIDE = 64
+SIDE_BY_SIDE = 16
 ID_VALUES = 1 << 16
 
 
@@ -83,31 +84,34 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_table(lengths: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """For each next `limit` bits: the id times 16, plus its length."""
+    """For each next `limit` bits: the id times 32, plus its length."""
     table = np.zeros(1 << limit, np.uint32)
     for i in np.flatnonzero(lengths).tolist():
         shift = limit - int(lengths[i])
-        table[int(codes[i]) << shift : (int(codes[i]) + 1) << shift] = i * 16 + int(lengths[i])
+        table[int(codes[i]) << shift : (int(codes[i]) + 1) << shift] = i * 32 + int(lengths[i])
     return table
 
 
 def encode_batch(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Bytes of documents side by side, each document's first byte, and each id's bit offset in its document."""
-    size = lengths[ids]
+    size = lengths.astype(np.int32)[ids]
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
+    ends = np.zeros(len(ids) + 1, np.int32)  # a batch has under 2**31 bits
+    np.cumsum(size, out=ends[1:])
     bits = ends[first[1:]] - ends[first[:-1]]
     at_byte = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
+    shift = (at_byte[:-1] * 8 - ends[first[:-1]]).astype(np.int32)
     inside = ends[:-1] - np.repeat(ends[first[:-1]], counts)
-    at = inside + np.repeat(at_byte[:-1] * 8, counts)
+    at = ends[:-1] + np.repeat(shift, counts)
     out = np.zeros(at_byte[-1] // 8 + 2, np.uint64)
     word, space = at >> 6, 64 - (at & 63) - size
     code = codes[ids]
-    high = np.where(space >= 0, code << np.maximum(space, 0).astype(np.uint64), code >> np.maximum(-space, 0).astype(np.uint64))
+    over = np.flatnonzero(space < 0)
+    high = code << np.maximum(space, 0).astype(np.uint8)
+    high[over] = code[over] >> (-space[over]).astype(np.uint8)
     if len(word):
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        begins = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
         out[word[begins]] = np.bitwise_or.reduceat(high, begins)
-        over = np.flatnonzero(space < 0)
         out[word[over] + 1] |= code[over] << (64 + space[over]).astype(np.uint64)
     return out.byteswap().tobytes()[: at_byte[-1]], at_byte, inside
 
@@ -117,17 +121,18 @@ def decode_lanes(payload: bytes, bit_at: np.ndarray, n: np.ndarray, table: np.nd
     raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
     order = np.argsort(-n, kind="stable")
-    at, left = bit_at[order].copy(), n[order]
+    at, left = bit_at[order].astype(np.int32), n[order]
     out = np.zeros(int(n.sum()), np.uint16)
-    to = np.concatenate([[0], np.cumsum(n)])[:-1][order]
+    to = (np.cumsum(n) - n)[order]
     mask = np.uint32((1 << limit) - 1)
+    upper = np.int32(32 - limit)
     for step in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(-left, -step, side="left"))  # lanes with more than `step` ids
         a = at[:live]
-        seen = (ahead[a >> 3] >> (17 - (a & 7)).astype(np.uint32)) & mask
+        seen = (ahead[a >> 3] >> (upper - (a & 7)).astype(np.uint8)) & mask
         found = table[seen]
-        out[to[:live] + step] = found >> np.uint32(4)
-        at[:live] = a + (found & np.uint32(15))
+        out[to[:live] + step] = found >> np.uint32(5)
+        a += (found & np.uint32(31)).astype(np.int32)
     return out
 
 
@@ -149,8 +154,8 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ID_VALUES, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=ID_VALUES)
+            if batch.num_rows:
+                total += np.bincount(_flat(batch.column("ids"))[0], minlength=ID_VALUES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -171,57 +176,57 @@ def write_ids(ids: DataFrame, path: str) -> None:
     spark.createDataFrame(book, "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     sent = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # of the vocabulary's size
 
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_counts", pa.list_(pa.int64())), ("doc_bytes", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = sent.value
-        for batch in slices(batches, "ids", 4_000_000):
-            raw = batch.column("ids").to_pylist()
-            counts = np.array([len(x) // 2 for x in raw], np.int64)
-            payload, at, inside = encode_batch(np.frombuffer(b"".join(raw), "<u2"), counts, lengths, codes)
-            first = np.concatenate([[0], np.cumsum(counts)])
-            points = [inside[a:b:CHECKPOINT].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts), pa.array(points, pa.binary()), pa.array([payload[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                names=["doc_id", "n", "points", "code"],
-            )
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        docs: list[int] = []
-        counts: list[int] = []
-        points: list[bytes] = []
-        codes: list[bytes] = []
+        for batch in slices(batches, "ids", 1_000_000):
+            raw = batch.column("ids")
+            ids, offsets = _flat(raw)
+            counts = np.diff(offsets)
+            payload, at, inside = encode_batch(ids, counts, lengths, codes)
+            # Blocks end where the next document would pass the limit.
+            docs, lo = batch.column("doc_id"), 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_IDS, side="right")) - 1)
+                n = counts[lo:hi]
+                points = _checkpoint_places(offsets[lo:hi], n)
+                row = {
+                    "part": part, "block": block, "part_start": start, "n_ids": int(n.sum()), "doc_ids": docs.slice(lo, hi - lo).to_pylist(), "doc_counts": n.tolist(),
+                    "doc_bytes": (at[lo:hi] - at[lo]).tolist(), "checkpoints": inside[points].astype("<u4").tobytes(), "payload": payload[at[lo] : at[hi]],
+                }
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                block, start, lo = block + 1, start + row["n_ids"], hi
+
+    # The ids are sampled for the ranges, and so are ordered before they are encoded.
+    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The codes are as dense as they get; Parquet need not try again.
+    ordered.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
-        def close() -> pa.RecordBatch:
-            row = {"part": part, "block": block, "part_start": start, "n_ids": sum(counts), "doc_ids": docs, "doc_counts": counts, "doc_bytes": np.concatenate([[0], np.cumsum([len(c) for c in codes])[:-1]]).astype(int).tolist(), "checkpoints": b"".join(points), "payload": b"".join(codes)}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_counts", pa.list_(pa.int64())), ("doc_bytes", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
-        for batch in batches:
-            for d, n, p, c in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "points", "code"))):
-                if counts and sum(counts) + n > BLOCK_IDS:
-                    yield close()
-                    block, start = block + 1, start + sum(counts)
-                    docs, counts, points, codes = [], [], [], []
-                docs.append(d)
-                counts.append(n)
-                points.append(p)
-                codes.append(c)
-        if counts:
-            yield close()
-
-    coded = ids.mapInArrow(encode, "doc_id bigint, n bigint, points binary, code binary")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "code")
-    # The codes are as dense as they get; Parquet need not try again.
-    ordered.mapInArrow(gather, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and the first one of each row."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u2"), (at - at[0]) // 2
+
+
+def _checkpoint_places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of every CHECKPOINTth id of each document."""
+    k = -(-counts // CHECKPOINT)
+    nth = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    return np.repeat(first, k) + nth * CHECKPOINT
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
-    return decoded(spark, path, "ids_crc32 bigint", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), pa.int64())
+    return decoded(spark, path, "ids_crc32 bigint", zlib.crc32, pa.int64())
 
 
 def decoded(spark: SparkSession, path: str, column: str, of, kind: pa.DataType) -> DataFrame:
-    """One row per document with a value of its uint16 ids, in the column named."""
+    """One row per document with a value of its uint32 ids, in the column named."""
     book = spark.read.parquet(f"{path}/codebook").collect()  # one row per id of the vocabulary
     lengths = np.zeros(ID_VALUES, np.int64)
     for row in book:
@@ -233,32 +238,28 @@ def decoded(spark: SparkSession, path: str, column: str, of, kind: pa.DataType)
         table = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, SIDE_BY_SIDE):
-                rows = batch.slice(at, SIDE_BY_SIDE).to_pylist()
-                lanes, counts, base = [], [], 0
-                for r in rows:
-                    n = np.array(r["doc_counts"], np.int64)
-                    k = -(-n // CHECKPOINT)
-                    points = np.frombuffer(r["checkpoints"], "<u4").astype(np.int64)
-                    last = np.cumsum(k) - 1
-                    size = np.full(len(points), CHECKPOINT, np.int64)
-                    size[last] = n - (k - 1) * CHECKPOINT
-                    lanes.append((points, k, size))
-                    counts.append(n)
-                payload = b"".join(r["payload"] for r in rows)
-                bit_at = []
-                for r, (points, k, size) in zip(rows, lanes):
-                    firsts = np.array(r["doc_bytes"], np.int64)
-                    bit_at.append(points + np.repeat((firsts + base) * 8, k))
-                    base += len(r["payload"])
-                ids = decode_lanes(payload, np.concatenate(bit_at), np.concatenate([s for _, _, s in lanes]), table)
-                out, pos = [], 0
-                for r, n in zip(rows, counts):
-                    start = r["part_start"]
-                    for d, m in zip(r["doc_ids"], n.tolist()):
-                        out.append((d, r["part"], start, m, of(ids[pos : pos + m])))
-                        start, pos = start + m, pos + m
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind))], names=["doc_id", "part", "start_in_part", "n_tokens", column.split()[0]])
+                rows = batch.slice(at, SIDE_BY_SIDE)
+                counts = rows.column("doc_counts").flatten().to_numpy()
+                per_block = pc.list_value_length(rows.column("doc_counts")).to_numpy()
+                payload = rows.column("payload").to_pylist()
+                base = np.concatenate([[0], np.cumsum([len(x) for x in payload])])[:-1]
+                first = rows.column("doc_bytes").flatten().to_numpy() + np.repeat(base, per_block)
+                k = -(-counts // CHECKPOINT)
+                bit_at = np.frombuffer(b"".join(rows.column("checkpoints").to_pylist()), "<u4").astype(np.int64) + np.repeat(first * 8, k)
+                size = np.full(len(bit_at), CHECKPOINT, np.int64)
+                size[np.cumsum(k) - 1] = counts - (k - 1) * CHECKPOINT
+                ids = decode_lanes(b"".join(payload), bit_at, size, table)
+                ends = np.cumsum(counts)
+                starts = ends - counts
+                in_block = starts - np.repeat(starts[np.cumsum(per_block) - per_block], per_block)
+                wide = ids.astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column("doc_ids").flatten(), pa.array(np.repeat(rows.column("part").to_numpy(), per_block)), pa.array(in_block + np.repeat(rows.column("part_start").to_numpy(), per_block)),
+                        pa.array(counts), pa.array([of(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], kind),
+                    ],
+                    names=["doc_id", "part", "start_in_part", "n_tokens", column.split()[0]],
+                )
 
     docs = blocks.mapInArrow(decode, f"doc_id bigint, part int, start_in_part bigint, n_tokens bigint, {column}")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))

@@ -42,6 +42,19 @@ def _chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+class _Chunks(dict):
+    """Ids by chunk; a new chunk gets an empty bytearray, to be filled, and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytearray:
+        self[chunk] = ids = bytearray()
+        self.new.append(chunk)
+        return ids
+
+
 class WordCachedTokenizer:
     """Encodes texts to uint16 ids; equal to ``encode(text, add_special_tokens=False)``."""
 
@@ -53,7 +66,7 @@ class WordCachedTokenizer:
         ends = [i for w, i in self._tok.get_vocab().items() if w.endswith("</w>")]
         self._ends = np.zeros(1 << 16, bool)
         self._ends[ends] = True
-        self._chunks: dict[str, bytes] = {}
+        self._chunks = _Chunks()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,38 +92,38 @@ class WordCachedTokenizer:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        chunks = self._chunks
-        if len(chunks) + len(new) > self._cap:
-            chunks.clear()
         odd: list[str] = []
         plain = new
         text = " ".join(new)
         if "<|" in text or not _PLAIN_TEXT.fullmatch(text):
             plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
             odd = list(set(new).difference(plain))
-        chunks.update(zip(plain, self._encode_plain(plain)))
-        chunks.update(zip(odd, self._encode(odd)))
+        chunks = self._chunks
+        for words, ids in ((plain, self._encode_plain(plain)), (odd, self._encode(odd))):
+            for w, x in zip(words, ids):
+                chunks[w][:] = x
+            chunks.update(zip(words, ids))  # bytes are smaller than the bytearrays that the group below still holds
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text; a null text has none."""
-        words = [_chunks_of(t) if t else [] for t in texts]
         out: list[bytes] = []
-        at = 0
-        while at < len(words):
-            upto, n = at, 0
-            while upto < len(words) and (upto == at or n + len(words[upto]) <= 200_000):
-                n += len(words[upto])
-                upto += 1
-            chunks = self._chunks
-            new = list(set().union(*words[at:upto]).difference(chunks))
-            if new:
-                before = len(chunks)
-                self._learn(new)
-                if len(self._chunks) < before:  # emptied: learn this group's other chunks again
-                    self._learn(list({w for x in words[at:upto] for w in x if w not in self._chunks}))
-            get = self._chunks.__getitem__
-            out += [b"".join(map(get, x)) for x in words[at:upto]]
-            at = upto
+        group: list[list[bytes]] = []
+        n = 0
+        for i, text in enumerate(texts):
+            if text:
+                group.append(list(map(self._chunks.__getitem__, _chunks_of(text))))
+                n += len(group[-1])
+            else:
+                group.append([])
+            if n > 200_000 or i == len(texts) - 1:
+                new = self._chunks.new
+                if new:
+                    self._learn(new)
+                    new.clear()
+                out += [b"".join(x) for x in group]
+                group, n = [], 0
+                if len(self._chunks) > self._cap:
+                    self._chunks.clear()
         return out
 
 
