@@ -70,4 +70,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing, op10_markov_secrets)
 }
 
-ORACLE: dict[str, str] = {}
+_SPACE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op1_chat_prefix_targets": r"""
+        with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+                   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        s as (select *, length('<|' || replace(replace(replace(r, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) || replace(replace(t, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10)) n from c),
+        p as (select *, sum(n) over (partition by conv_id order by turn, r) upto from s)
+        select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn)) turns_sha256, coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+            sha256(coalesce(string_agg(t, '' order by turn) filter (r = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars, count(*) filter (r = 'assistant') n_examples, coalesce(sum(upto) filter (r = 'assistant'), 0)::bigint rendered_chars
+        from p group by conv_id""",
+    "op2_near_duplicates": f"""
+        with recursive w as (select doc_id, {_SPACE_WORDS} w from documents),
+        g as materialized (select distinct doc_id, g from (select doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) g from w)),
+        n as (select doc_id, count(*) n from g group by doc_id),
+        e as materialized (select x.doc_id a, y.doc_id b from g x join g y using (g) join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+            where x.doc_id <> y.doc_id and nx.n * 100 >= ny.n * 80 and ny.n * 100 >= nx.n * 80 group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+        r(a, label) as (select distinct a, a from e union select e.b, r.label from r join e using (a)),
+        l as (select a, min(label) label from r group by a)
+        select doc_id, coalesce(n.n, 0) n_shingles, coalesce(l.label, doc_id) component_id, coalesce(l.label, doc_id) = doc_id kept from documents left join n using (doc_id) left join l on l.a = doc_id""",
+    "op8_decontamination": f"""
+        with b as (select item_id, {_ALNUM_WORDS} w from benchmark),
+        bw as materialized (select distinct item_id, least(len(w), 10) n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') g from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),
+        d as materialized (select doc_id, {_ALNUM_WORDS} w from documents),
+        dw as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, (select distinct n from bw))),
+        h as materialized (select doc_id, i, n, item_id from dw join bw using (n, g)),
+        k as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
+        m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, item_id::varchar x from h) group by doc_id)
+        select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join k using (doc_id) left join m using (doc_id)""",
+}
