@@ -80,18 +80,18 @@ class DenseSearcher:
                 if not batch.num_rows or not len(ids):
                     continue
                 names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
-                vectors = batch.column("vec")
-                width = matrix.shape[1]
-                m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+                m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1]).astype(np.float64)
                 scores = _scores(m, matrix, distance)
-                q, d, s = [], [], []
-                by_name = np.argsort(names, kind="stable")
-                for j in range(len(ids)):
-                    order = by_name[np.argsort(-np.round(scores[by_name, j], DIGITS), kind="stable")[:limit]]
-                    q += [ids[j]] * len(order)
-                    d += names[order].tolist()
-                    s += scores[order, j].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(d, pa.string()), pa.array(s, pa.float64())], names=["query_id", "doc_id", "score"])
+                worse = -np.round(scores, DIGITS)
+                kth = np.partition(worse, limit - 1, axis=0)[limit - 1] if len(names) > limit else np.full(len(ids), np.inf)
+                d, q = np.nonzero(worse <= kth)  # the best of each query, with all that tie with the last
+                place = np.empty(len(names), np.int64)
+                place[np.argsort(names, kind="stable")] = np.arange(len(names))
+                by = np.lexsort((place[d], worse[d, q], q))
+                d, q = d[by], q[by]
+                nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+                d, q = d[nth < limit], q[nth < limit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=object)[q], pa.string()), pa.array(names[d], pa.string()), pa.array(scores[d, q])], names=["query_id", "doc_id", "score"])
 
         return docs.mapInArrow(best, "query_id string, doc_id string, score double")
 
