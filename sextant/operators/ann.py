@@ -21,7 +21,7 @@ from .ranking import top_k
 class HyperplaneIndex:
     vectors: DataFrame  # doc_id, vec
     size: int
-    tables: int = 24
+    tables: int = 48
     bits: int = 6
     seed: int = 7
 
