@@ -91,3 +91,14 @@ def compare_all_pairs(metrics: DataFrame) -> DataFrame:
     spread = F.stddev_samp("d") / F.sqrt(F.count("*"))
     share = lambda c: F.avg(c.cast("double"))
     return both.groupBy("metric", "run_a", "run_b").agg(F.avg("d").alias("delta"), share(F.col("b") > F.col("a")).alias("win"), share(F.col("b") < F.col("a")).alias("loss"), F.when(F.round(spread, 9) > 0, F.avg("d") / spread).alias("t"))
+
+
+def fisher_p(metrics: DataFrame, permutations: int = 1000, seed: int = 42, max_p: float = 0.05) -> DataFrame:
+    """metric, run_a, run_b, p, significant for every two runs: the sign-flip (randomisation) test for each."""
+    left = metrics.select(F.col("run").alias("run_a"), "query_id", "metric", F.col("value").alias("a"))
+    right = metrics.select(F.col("run").alias("run_b"), "query_id", "metric", F.col("value").alias("b"))
+    both = left.join(right, ["query_id", "metric"]).where("run_a < run_b").withColumn("d", F.col("b") - F.col("a"))
+    key = F.to_json(F.struct("metric", "run_a", "run_b"))
+    tested = permutation_p(both.withColumn("metric", key), permutations, seed)
+    named = F.from_json("metric", "metric string, run_a string, run_b string")
+    return tested.select(named.alias("k"), "p").select("k.metric", "k.run_a", "k.run_b", "p", (F.col("p") <= max_p).alias("significant"))

@@ -234,6 +234,9 @@ ORACLE = {
         from (select metric, d, round(abs(d), 9) size from prs) where size > 0) group by metric) using (metric)""",
     "compare_all_pairs": f"""select metric, run_a, run_b, round(avg(d), 6) delta, round({_share('d > 0')}, 6) win, round({_share('d < 0')}, 6) loss, round(case when round(stddev_samp(d) / sqrt(count(*)), 9) > 0 then avg(d) / (stddev_samp(d) / sqrt(count(*))) end, 6) t
         from (select x.metric, x.run run_a, y.run run_b, y.value - x.value d from allm x join allm y using (query_id, metric) where x.run < y.run) group by all""",
+    "fisher_p": f"""select metric, run_a, run_b, p, p <= 0.05 significant from (select metric, run_a, run_b, round((sum((round(m, 9) >= round(o, 9))::int) + 1) / (count(*) + 1), 6) p from (
+        select metric, run_a, run_b, r, abs(avg(case when {_hash(chr(39) + '42' + chr(39), chr(39) + 'flip' + chr(39), 'r', 'i')} % 2 = 0 then d else -d end)) m from twos, range({RESAMPLES}) t(r) group by all)
+        join (select metric, run_a, run_b, abs(avg(d)) o from twos group by all) using (metric, run_a, run_b) group by all)""",
     "corpus_stats": f"""select count(*) n_docs, sum(len)::bigint total, round(avg(len), 6) mean, max(len)::bigint max, {', '.join(f"floor(quantile_cont(len, {q / 100}))::bigint p{q}" for q in (50, 90, 95, 99))}, round({_share('len > 512')}, 6) pct_over_max, {', '.join(f"round({_share(f'len > {t}')}, 6) pct_over_{t}" for t in (128, 256, 512, 1024, 2048))}, round(sum(greatest(len - 512, 0)) / sum(len), 6) truncation_loss
         from (select len({_TOKENS.format('text')}) len from documents)""",
     "needs_chunking": f"select {_share('len > 512')} > 0.1 or sum(greatest(len - 512, 0)) / sum(len) > 0.1 needs_chunking from (select len({_TOKENS.format('text')}) len from documents)",
@@ -263,6 +266,7 @@ for _n in ("ndcg", "recall", "mrr"):
 for _n in ("map", "precision", "hits"):
     ORACLE[f"{_n}_at_10"] = _one_metric(f"{_n}@10")
 TABLES["allm"] = "select 'words' run, * from m_words union all select 'pairs' run, * from m_pairs union all select 'tf' run, * from m_tf"
+TABLES["twos"] = "select x.metric, x.run run_a, y.run run_b, y.value - x.value d, row_number() over (partition by x.metric, x.run, y.run order by x.query_id) - 1 i from allm x join allm y using (query_id, metric) where x.run < y.run"
 TABLES["wc"] = f"select words w from ({ORACLE['word_counts']})"
 
 ORACLE = {k: sql(v) for k, v in ORACLE.items()}

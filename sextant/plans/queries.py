@@ -415,6 +415,11 @@ def compare_all_pairs(r: Roles) -> DataFrame:
     return rounded(S.compare_all_pairs(_metrics_of(r, "tf", "words", "pairs")))
 
 
+@query
+def fisher_p(r: Roles) -> DataFrame:
+    return rounded(S.fisher_p(_metrics_of(r, "tf", "words", "pairs"), RESAMPLES))
+
+
 # ---- diagnostics
 
 

@@ -102,3 +102,8 @@ def encode_column(rows: DataFrame, make: Callable[[], Encoder], key: str, id_col
 
     kind = rows.schema[id_column].dataType.simpleString()
     return rows.select(id_column, text).mapInPandas(apply, f"{id_column} {kind}, vec array<float>")
+
+
+def model_catalogue(models: DataFrame, size: str = "size", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Known models from the smallest on, without the columns named."""
+    return models.orderBy(size).drop(*drop)

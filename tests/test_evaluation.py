@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators import diagnostics as D
 from sextant.operators import evaluate as E
-from sextant.operators import rag
+from sextant.operators import rag, reports
 from sextant.operators import significance as S
 
 ALL = ("ndcg@2", "ndcg@4", "recall@2", "recall@4", "mrr@4", "map@4", "precision@4", "hits@4")
@@ -113,3 +113,22 @@ def test_first_queries(spark, limit, want):
     queries = spark.createDataFrame([("a", 2), ("b", 1), ("c", 0)], "query_id string, q_ord long")
     got = E.first_queries(labels(spark, [("a", "x", 1), ("b", "x", 1)]), queries, limit)
     assert sorted(r.query_id for r in got.collect()) == want
+
+
+def test_reports(spark):
+    p = pairs(spark, [0.1, -0.1, 0.3])
+    text = reports.comparison_report(S.pair_summary(p).join(S.bootstrap_ci(p, 50), "metric").join(S.permutation_p(p, 50), "metric"), "a", "b")
+    assert text.startswith("a -> b\nm: 0.0000 -> 0.1000 (+0.1000) [") and "win 66.7% / loss 33.3%" in text
+    means = spark.createDataFrame([("ndcg@10", 0.5, 3)], "metric string, value double, n_queries long")
+    assert reports.retrieval_report(means) == "Queries: 3\nNDCG@10: 0.5000"
+    assert reports.display_metric("map@5") == "MAP@5"
+    stats = D.corpus_stats(spark.createDataFrame([(1,), (600,)], "n int"), 512, F.col("n"))
+    assert "pct_over_max: 50.0%" in reports.table_report(stats, "Corpus")
+    with pytest.raises(ValueError):
+        reports.table_report(spark.range(300), "x")
+
+
+def test_fisher(spark):
+    rows = [(run, f"q{i}", "m", v + (0.2 if run == "b" else 0.0)) for run in "abc" for i, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])]
+    got = {(r.run_a, r.run_b): r for r in S.fisher_p(spark.createDataFrame(rows, "run string, query_id string, metric string, value double"), 500).collect()}
+    assert got["a", "b"].significant and not got["a", "c"].significant and len(got) == 3
