@@ -16,7 +16,7 @@ each other is dealt into blocks that share one document; documents outside the n
 class are then compared with all its blocks.
 
 Defined results: no words: 0 shingles, linked with nothing; fewer words than a shingle: the
-whole sequence is the one shingle; repeated rows are linked with each other; ties of links
+whole sequence is the one shingle; a null doc_id is kept and only linked to its equals; repeated rows are linked with each other; ties of links
 don't matter, as classes are named by their smallest doc_id; empty tables give an empty
 result; columns other than doc_id and text are ignored.
 """
@@ -42,11 +42,15 @@ BRANCHES = 2
 TARGET_RECALL = 0.9999
 #: Nodes up to this size are compared exhaustively; larger ones that do not shrink are dealt into blocks of it.
 LEAF = 96
+#: Documents of a block when classes of a large node are held against each other; two blocks meet at a time.
+BLOCK = 512
 #: A child with more than this part of its parent has not been split by the token.
 UNSPLIT = 0.8
 MOST_LEVELS = 8
 #: Sketches agree in 0.8 of 64 places on average where sets do in 0.8; below this share is five deviations off.
 SKETCH_CUT = 0.55
+#: Bits of the parity sketch that rules out pairs between classes.
+PARITY_BITS = 4096
 #: Ids of documents to confirm that are broadcast (at most 16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -88,6 +92,11 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def parities(values: np.ndarray) -> bytes:
+    """A bit per hash value modulo PARITY_BITS: whether an odd number of the set's values has it."""
+    return np.packbits(np.bincount((values & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -129,8 +138,8 @@ def _leaves(reps: DataFrame, n_reps: int, trees: int, branches: int) -> DataFram
     return found
 
 
-def _blocks(size: Column) -> Column:
-    return F.ceil(size / F.lit(LEAF)).cast("int")
+def _blocks(size: Column, of: int) -> Column:
+    return F.ceil(size / F.lit(of)).cast("int")
 
 
 def _in_groups(rows: DataFrame, names: list[str], out: str, of) -> DataFrame:
@@ -166,6 +175,8 @@ def _grouped(rows: pa.Table, names: list[str]) -> tuple[dict[str, np.ndarray], n
     for n in names:
         if n == "sketch":
             cols[n] = np.frombuffer(b"".join(rows[n].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        elif n == "parity":
+            cols[n] = np.frombuffer(b"".join(rows[n].to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
         else:
             cols[n] = rows[n].to_numpy()
     return cols, bounds
@@ -222,7 +233,7 @@ def _between_classes(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: all similar pairs of a group that are not in one class yet."""
 
     def link(cols: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rep, n, sketch, label = (cols[k] for k in ("rep", "n_shingles", "sketch", "label"))
+        rep, n, sketch, label, parity = (cols[k] for k in ("rep", "n_shingles", "sketch", "label", "parity"))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if (label[a:b] == label[a]).all():
                 continue
@@ -231,27 +242,37 @@ def _between_classes(rows: DataFrame, percent: int) -> DataFrame:
                 alike = _alike(sketch[at:upto, None, :], sketch[None, a:b, :], n[at:upto, None], n[None, a:b], percent)
                 x, y = np.nonzero((alike >= 0) & (label[at:upto, None] < label[None, a:b]))
                 x, y = x + at, y + a
+                for i in range(0, len(x), 4096):  # at most (100 - percent) / (100 + percent) of both sizes may differ
+                    differ = np.bitwise_count(parity[x[i : i + 4096]] ^ parity[y[i : i + 4096]]).sum(1, dtype=np.int64)
+                    close = differ * (100 + percent) <= (n[x[i : i + 4096]] + n[y[i : i + 4096]]) * (100 - percent)
+                    x[i : i + 4096][~close] = -1
+                x, y = x[x >= 0], y[x >= 0]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], names=["a", "b"])
 
-    return _in_groups(rows, ["rep", "n_shingles", "sketch", "label"], "a bigint, b bigint", link)
+    return _in_groups(rows, ["rep", "n_shingles", "sketch", "label", "parity"], "a bigint, b bigint", link)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    pairs = staged(pairs.where("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if 2 * pairs.count() <= BROADCAST_IDS:
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id, items, parity: the full sets, and their parity sketches, of the documents in ids (distinct doc_id)."""
+    if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(Texts.of(batch.column("text")), size)
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "items"])
+            items = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), items, pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "items", "parity"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = texts.mapInArrow(whole, "doc_id bigint, items array<bigint>")
+    return texts.mapInArrow(whole, "doc_id bigint, items array<bigint>, parity binary")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    pairs = staged(pairs.where("a <> b").distinct(), "pairs")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("c"), F.size("x").alias("nx"), F.size("y").alias("ny")).where(100 * F.col("c") >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select("a", "b")
@@ -267,21 +288,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, recall
     signed = staged(_signed(docs, shingle), "signed")
     classes = signed.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
-    reps = classes.select("rep", "n_shingles", "tokens", "sketch")
+    reps = classes.where("rep is not null").select("rep", "n_shingles", "tokens", "sketch")
     links = _links(docs, reps, shingle, percent, trees_for(recall, percent / 100, branches), branches)
     labels = components(links)
     first = classes.where("copies > 1").select("print", "rep")
     rows = signed.select("doc_id", "n_shingles", "print").join(first, "print", "left")
     rows = rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     rows = _labelled(rows, labels, "rep", "component_id")
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, trees: int, branches: int) -> DataFrame:
     leaves = _leaves(reps, reps.count(), trees, branches)
     side = reps.select("rep", "n_shingles", "sketch")
     wide = F.col("size") > LEAF
-    block = F.when(~wide, F.array(F.lit(0))).when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), _blocks(F.col("size")) - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", "path"), _blocks(F.col("size"))).cast("int")))
+    block = F.when(~wide, F.array(F.lit(0))).when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), _blocks(F.col("size"), LEAF) - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", "path"), _blocks(F.col("size"), LEAF)).cast("int")))
     dealt = leaves.select("path", "rep", wide.alias("wide"), F.explode(block).alias("block")).join(side, "rep")
     forest = staged(_forests(dealt.withColumn("key", F.xxhash64("path", "block")), percent), "forest")
     tested = forest.select("a", "b").distinct()
@@ -298,12 +319,13 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, trees:
     most = rows.where(wide).groupBy("path", "label").count().groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("of_main"))
     narrow = rows.where(~wide).select("path", "rep", "label", F.lit(0).alias("block"), F.lit(0).alias("beside"))
     # Every document is in one block beside each block of those outside the main class, and those are beside every block.
-    others = _blocks(F.col("all") - F.col("of_main"))
-    of_path = rows.where(wide).join(most, "path").withColumn("own", F.pmod(F.xxhash64("rep", "path"), _blocks(F.col("size"))).cast("int"))
+    others = _blocks(F.col("all") - F.col("of_main"), BLOCK)
+    of_path = rows.where(wide).join(most, "path").withColumn("own", F.pmod(F.xxhash64("rep", "path"), _blocks(F.col("size"), BLOCK)).cast("int"))
     blocks = of_path.select("path", "rep", "label", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("beside"))
     outside = of_path.where("label <> main").withColumn("beside", F.pmod(F.xxhash64("path", "rep"), others).cast("int"))
-    outside = outside.select("path", "rep", "label", F.explode(F.sequence(F.lit(0), _blocks(F.col("size")) - 1)).alias("block"), "beside")
-    groups = narrow.unionByName(blocks).unionByName(outside).distinct().join(side, "rep")
+    outside = outside.select("path", "rep", "label", F.explode(F.sequence(F.lit(0), _blocks(F.col("size"), BLOCK) - 1)).alias("block"), "beside")
+    marks = staged(_sets_of(docs, rows.select(F.col("rep").alias("doc_id")).distinct(), shingle).select(F.col("doc_id").alias("rep"), "parity"), "parities")
+    groups = narrow.unionByName(blocks).unionByName(outside).distinct().join(side, "rep").join(marks, "rep")
     more = _between_classes(groups.withColumn("key", F.xxhash64("path", "block", "beside")), percent)
     more = more.distinct().join(tested, ["a", "b"], "left_anti")
     return sure.unionByName(staged(_confirmed(docs, more, shingle, percent), "more-links"))
