@@ -35,7 +35,7 @@ class Chain:
         return np.array(out[::-1], np.int64)
 
 
-def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Chain:
+def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 180, rate: float = 0.15, ridge: float = 4e-4) -> Chain:
     """Pages are (features, labels) of their blocks in order; maximises the penalised likelihood by Adam."""
     pages = [(x, y) for x, y in pages if len(y)]
     t, f = max(len(y) for _, y in pages), pages[0][0].shape[1]

@@ -125,7 +125,7 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
         title = pick(f"<h1>{keep(words(2, 12, pick('', '.')))}</h1>", f"<h1>{keep(words(3, 10, ''))}</h1>", "")
         body = ""
         for _ in range(rng.randint(1, 14)):
-            body += paragraph() + maybe(0.05, ad()) + maybe(0.03, notice()) + maybe(0.03, aside())
+            body += paragraph() + maybe(0.1, ad()) + maybe(0.08, notice()) + maybe(0.06, aside())
         inner = title + maybe(0.2, share()) + body + maybe(0.2, share()) + maybe(0.1, form())
         around = maybe(0.25, comments() + "</div>")
         middle = pick(
