@@ -45,10 +45,10 @@ def with_shards(rows: DataFrame, key: str, shards: int, out: str) -> DataFrame:
     @F.pandas_udf("int")
     def place(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for k in keys:
-            raw = k.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64).view(np.uint64)
+            raw = k.to_numpy(dtype=np.int64).view(np.uint64)
             yield pd.Series(jump_hash(mix(raw), shards).astype(np.int32))
 
-    return rows.withColumn(out, place(F.col(key)))
+    return rows.withColumn(out, place(F.coalesce(key, F.lit(-(2**63)).cast("bigint"))))  # pandas would make floats of nulls
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket_rows: int = 100_000) -> DataFrame:
