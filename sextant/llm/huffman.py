@@ -141,7 +141,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = worker_tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             ids = [x + end for x in tok.encode_texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 

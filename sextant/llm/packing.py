@@ -36,6 +36,9 @@ FILL = 0.985
 #: The most pieces that the end of a document, under one capacity, is cut into.
 MOST_CUTS = 3
 
+#: Words whose ids a worker keeps; packing may follow other stages in the same executors.
+CACHED_WORDS = 500_000
+
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -58,8 +61,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     """Encodes every text, appends end_id and cuts the ids; one row per piece, without the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = worker_tokenizer(vocabulary), np.array([end_id], dtype=np.uint32)
-        for batch in slices(batches, "text"):
+        tok, end = worker_tokenizer(vocabulary, CACHED_WORDS), np.array([end_id], dtype=np.uint32)
+        for batch in slices(batches, "text", 2_000_000):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), tok.encode_texts(batch.column("text").to_pylist())):
                 ids = np.concatenate([np.frombuffer(raw, dtype=np.uint16).astype("<u4"), end])

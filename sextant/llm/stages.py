@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Most bytes of rows that go to a Python worker at a time, so that long texts don't add up.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's readers touch the path."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,8 +4,8 @@ Every pre-token of the vocabulary used here lies between two white-space
 characters, so the ids of a text are the ids of its white-space separated
 chunks, one after another.  Chunks repeat far more often than texts do, so each
 Python worker keeps the ids of the chunks it has met, and only asks the tokenizers
-library for new ones.  The cache is emptied when it reaches a fixed number of entries;
-that changes time, never ids.
+library for new ones.  The cache is two generations of a fixed number of entries; what the
+newer one does not ask for again goes with the older one.  That changes time, never ids.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 1_200_000
+from .words import HELD
+
+CACHE_ENTRIES = 900_000
 #: Characters that the pattern below and the library's own see alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
 _PLAIN_TEXT = re.compile("[\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
@@ -43,13 +45,30 @@ def _chunks_of(text: str) -> list[str]:
 
 
 class _Chunks(dict):
-    """Ids by chunk; a new chunk gets an empty bytearray, to be filled, and is noted."""
+    """Ids by chunk, and those of the generation before; a new chunk gets an empty bytearray, to be filled, and is noted."""
 
-    def __init__(self) -> None:
+    def __init__(self, old: dict[str, bytes] | None = None) -> None:
         super().__init__()
+        self.old = old or {}
         self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> bytearray:
+    def __missing__(self, chunk: str) -> bytes | bytearray:
+        known = self.old.get(chunk)
+        if known:
+            self[chunk] = known
+            return known
+        if chunk.isascii() and "<" not in chunk:
+            # The vocabulary is lower case, and a last stop or comma is a pre-token of its own.
+            low = chunk.lower()
+            known = self.get(low)
+            if known:
+                self[chunk] = known
+                return known
+            if low[-1] in ".," and low[:-1].isalpha():
+                stem, stop = self.get(low[:-1]), self.get(low[-1])
+                if stem and stop:
+                    self[chunk] = ids = bytes(stem) + bytes(stop)
+                    return ids
         self[chunk] = ids = bytearray()
         self.new.append(chunk)
         return ids
@@ -122,16 +141,25 @@ class WordCachedTokenizer:
                     new.clear()
                 out += [b"".join(x) for x in group]
                 group, n = [], 0
-                if len(self._chunks) > self._cap:
-                    self._chunks.clear()
+                if len(self._chunks) > self._cap // 2:
+                    self._chunks.old = {}
+                    self._chunks = _Chunks(self._chunks)
         return out
 
 
+    def forget(self) -> None:
+        """Frees the cache; workers live on after the job that filled it."""
+        self._chunks = _Chunks()
+
+
 _OPEN: dict[str, WordCachedTokenizer] = {}
 
 
-def worker_tokenizer(path: str) -> WordCachedTokenizer:
+def worker_tokenizer(path: str, cache_entries: int = CACHE_ENTRIES) -> WordCachedTokenizer:
     """One tokenizer per Python worker and vocabulary file."""
     if path not in _OPEN:
-        _OPEN[path] = WordCachedTokenizer(path)
+        _OPEN[path] = WordCachedTokenizer(path, cache_entries)
+    _OPEN[path]._cap = cache_entries
+    if _OPEN[path].forget not in HELD:
+        HELD.append(_OPEN[path].forget)
     return _OPEN[path]

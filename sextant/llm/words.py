@@ -6,7 +6,8 @@ runs of bytes of a class, and a word's hash comes from prefix sums over the buff
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,11 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
 #: Bytes that are no white space: space and U+0009 to U+000D divide words.
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -31,10 +37,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+#: What gives up memory that a worker holds from other work, when word arrays are made.
+HELD: list[Callable[[], None]] = []
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(steps)
@@ -78,6 +88,8 @@ class Texts:
 
     @classmethod
     def of(cls, column: pa.Array) -> "Texts":
+        while HELD:
+            HELD.pop()()
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         column = column.cast(pa.large_string()).fill_null("")
@@ -127,7 +139,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), bounds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 600_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about that many bytes of text; a longer text is alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -137,3 +149,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2_0
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield batch.slice(int(a), int(b - a))
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive the task, and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
