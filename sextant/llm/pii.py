@@ -57,9 +57,16 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean(F.col("text")).alias("text"))
-    return with_spans(rows, "text", KINDS, "of_")
+def _cleaned(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean(F.col("text")).alias("text"))
+
+
+_KEY = ["row_key", "row_doc"]
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Adds a key of the row's doc_id and text; equal rows have equal keys."""
+    return rows.withColumns({"row_key": F.xxhash64("doc_id", "text"), "row_doc": F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint"))})
 
 
 def _surroundings(scanned: DataFrame) -> DataFrame:
@@ -76,59 +83,89 @@ def _surroundings(scanned: DataFrame) -> DataFrame:
     return rows.select("doc", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term")).where(F.char_length("term") >= 3)
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame | None = None) -> DataFrame | None:
+def _share(together: Column, holding: Column, of_entity: Column, total: int) -> Column:
+    """log(P(e|t) / P(e)) as a part of log(1 / P(e)); null for an entity that every document has."""
+    content = F.log(F.lit(float(total)) / of_entity)
+    return F.when(content > 0, F.log(together / holding * F.lit(float(total)) / of_entity) / content)
+
+
+def _base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, row key and span arrays of every row, and the distinct words of rows that have any; without the texts.
+
+    Written once, read by each use.
+    """
+    rows = with_spans(_keyed(_cleaned(docs)), "text", KINDS, "of_")
+    some = F.greatest(*(F.size(f"of_{n}") for n in NAMES)) > 0
+    return staged(rows.withColumn("words", F.when(some, F.array_distinct(_words(F.col("text"))))).drop("text"), "spans")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame | None:
     """term and disclosure of every term that reaches GENERALISE; None if there is none to look at.
 
-    Only terms with enough surroundings are counted over the corpus, and over all of it.
+    A term is held by at least those documents with a protected entity that have it, so what these leave
+    no chance to is put aside first; the others are counted over the whole corpus.
     """
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("doc"), clean(F.col("text")).alias("text"))
-    near = staged(_surroundings(with_spans(rows, "text", KINDS, "of_")), "near")
+    found = (_base_spans(docs) if found is None else found).withColumn("doc", F.col("row_key"))
+    near = staged(_surroundings(found), "near")
+    total = found.agg(F.count_distinct("doc")).first()[0]
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"))
-    pairs = staged(pairs.where(F.col("contexts") >= LEAST_CONTEXTS), "revealing")
-    n_terms = pairs.select("term").distinct().count()
-    if not n_terms:
-        return None
-    wanted = pairs.select("term").distinct()
-    wanted = F.broadcast(wanted) if n_terms <= BROADCAST_TERMS else wanted
-    held = rows.select("doc", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
-    held = held.groupBy("term").agg(F.count_distinct("doc").alias("holding"))
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"))
-    total = rows.agg(F.count_distinct("doc").alias("total"))
-    scored = pairs.join(held, "term").join(entities, "entity").join(F.broadcast(total.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))  # one row
-    content = F.log(F.col("total") / F.col("of_entity"))
-    narrowed = F.log(F.col("together") / F.col("holding") * F.col("total") / F.col("of_entity"))
-    share = F.when(content > 0, narrowed / content)
-    return staged(scored.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "terms")
-
-
-def _with_terms(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """Adds of_term, the spans of disclosing terms, to rows with doc_id and a clean text."""
-    none = F.array().cast(f"array<{SPAN}>")
-    if terms is None or terms.isEmpty():
-        return rows.withColumn("of_term", none)
+    pairs = staged(pairs.where(F.col("contexts") >= LEAST_CONTEXTS).join(entities, "entity"), "repeated")
+
+    def held(words: DataFrame, pairs: DataFrame, out: str) -> DataFrame:
+        wanted = pairs.select("term").distinct()
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+        return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("doc").alias(out))
+
+    least = held(found.where("words is not null").select("doc", F.explode("words").alias("term")), pairs, "least")
+    bound = _share(F.col("together"), F.col("least"), F.col("of_entity"), total)
+    pairs = staged(pairs.join(least, "term").where(bound >= GENERALISE), "revealing")
+    if pairs.isEmpty():
+        return None
+    words = _keyed(_cleaned(docs)).select(F.col("row_key").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    holding = held(words, pairs, "holding")
+    share = _share(F.col("together"), F.col("holding"), F.col("of_entity"), total)
+    terms = pairs.join(holding, "term").groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    terms = staged(terms, "terms")
+    return None if terms.isEmpty() else terms
+
+
+def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """row_key, row_doc, of_term for the rows (doc_id, clean text) that have a disclosing term."""
     known = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    held = keyed.select("doc_id", "row_key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(known, "term")
-    held = held.distinct().groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("term", "disclosure")).alias("held"))
-    keyed = keyed.join(held, ["doc_id", "row_key"], "left")
+    keyed = _keyed(rows)
+    held = keyed.select(*_KEY, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(known, "term")
+    held = staged(held.distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("term", "disclosure")).alias("held")), "held")
+    found = keyed.join(F.broadcast(held) if held.count() <= BROADCAST_TERMS else held, _KEY)
     # A text's own terms become one pattern; terms are letters and digits only.
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("held", lambda x: x["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    keyed = keyed.withColumn("tp", F.when(F.col("held").isNotNull(), F.split(F.regexp_replace("text", pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)))
-    keyed = keyed.withColumn("tn", F.transform("tp", lambda x: F.char_length(x).cast("bigint"))).withColumn("ts", F.when(F.col("tp").isNotNull(), running_sums(F.col("tn"))))
-    spans = F.transform(
-        F.sequence(F.lit(2), F.size("tp") - 1, F.lit(2)),
-        lambda i: F.struct(
+    found = found.withColumn("tp", F.split(F.regexp_replace("text", pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1))
+    found = found.withColumn("tn", F.transform("tp", lambda x: F.char_length(x).cast("bigint"))).withColumn("ts", running_sums(F.col("tn")))
+
+    def span(i: Column) -> Column:
+        removed = F.exists("held", lambda h: (h["term"] == F.lower(F.element_at("tp", i))) & (h["disclosure"] >= REMOVE))
+        return F.struct(
             F.element_at("ts", i).alias("start"), F.lit(len(KINDS)).alias("rank"), (F.element_at("ts", i) + F.element_at("tn", i)).alias("end"), F.lit(TERM).alias("kind"),
-            F.when(F.exists("held", lambda h: (h["term"] == F.lower(F.element_at("tp", i))) & (h["disclosure"] >= REMOVE)), F.lit("remove")).otherwise(F.lit("generalise")).alias("value"),
-            F.lit("").alias("before"), F.lit("").alias("after"),
-        ),
-    )
-    return keyed.withColumn("of_term", F.coalesce(F.when(F.size("tp") > 1, spans), none)).drop("held", "tp", "tn", "ts", "row_key")
+            F.when(removed, F.lit("remove")).otherwise(F.lit("generalise")).alias("value"), F.lit("").alias("before"), F.lit("").alias("after"),
+        )
+
+    spans = F.transform(F.sequence(F.lit(2), F.size("tp") - 1, F.lit(2)), span)
+    return found.where(F.size("tp") > 1).select(*_KEY, spans.alias("of_term")).dropDuplicates(_KEY)
+
+
+def _with_terms(rows: DataFrame, spans_of: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """Adds of_term to rows with a row key; spans_of has doc_id and the clean text of all rows."""
+    if terms is None:
+        return rows.withColumn("of_term", F.array().cast(f"array<{SPAN}>"))
+    spans = staged(_term_spans(spans_of, terms), "term-spans")
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_TERMS else spans
+    return rows.join(spans, _KEY, "left").withColumn("of_term", F.coalesce("of_term", F.array().cast(f"array<{SPAN}>")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per document."""
-    rows = _with_terms(_scanned(docs), disclosing_terms(docs)).drop("text")
+    found = _base_spans(docs)
+    rows = _with_terms(found, _cleaned(docs), disclosing_terms(docs, found))
     rows = rows.withColumn("base", together([f"of_{n}" for n in NAMES]))
     rows = rows.withColumn("all_spans", together(["base", "of_term"]))
     return rows.select(
@@ -147,7 +184,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     names = docs.columns
     terms = disclosing_terms(docs)
     rows = docs.withColumn("given", F.struct(*[F.col(n) for n in names])).select("given", F.col("doc_id").cast("bigint").alias("doc_id"), clean(F.col("text")).alias("text"))
-    rows = _with_terms(with_spans(rows, "text", KINDS, "of_"), terms)
+    rows = _with_terms(with_spans(_keyed(rows), "text", KINDS, "of_"), _cleaned(docs), terms)
     rows = rows.withColumn("all_spans", together([*(f"of_{n}" for n in NAMES), "of_term"])).drop(*(f"of_{n}" for n in NAMES), "of_term")
     label = lambda x: F.when(x["value"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     begin = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
