@@ -45,7 +45,7 @@ LEAF = 96
 #: Documents of a block when classes of a large node are held against each other; two blocks meet at a time.
 BLOCK = 512
 #: A child with more than this part of its parent has not been split by the token.
-UNSPLIT = 0.8
+UNSPLIT = 0.5
 MOST_LEVELS = 8
 #: Sketches agree in 0.8 of 64 places on average where sets do in 0.8; below this share is five deviations off.
 SKETCH_CUT = 0.55
