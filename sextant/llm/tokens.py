@@ -4,19 +4,20 @@ Every pre-token of the vocabulary used here lies between two white-space
 characters, so the ids of a text are the ids of its white-space separated
 chunks, one after another.  Chunks repeat far more often than texts do, so each
 Python worker keeps the ids of the chunks it has met, and only asks the tokenizers
-library for new ones.  The cache is two generations of a fixed number of entries; what the
-newer one does not ask for again goes with the older one.  That changes time, never ids.
+library for new ones.  The cache is emptied when it reaches a fixed number of entries;
+that changes time, never ids.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
 from .words import HELD
 
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 1_200_000
 #: Characters that the pattern below and the library's own see alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
 _PLAIN_TEXT = re.compile("[\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
@@ -45,18 +46,13 @@ def _chunks_of(text: str) -> list[str]:
 
 
 class _Chunks(dict):
-    """Ids by chunk, and those of the generation before; a new chunk gets an empty bytearray, to be filled, and is noted."""
+    """Ids by chunk; a new chunk gets an empty bytearray, to be filled, and is noted."""
 
-    def __init__(self, old: dict[str, bytes] | None = None) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.old = old or {}
         self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> bytes | bytearray:
-        known = self.old.get(chunk)
-        if known:
-            self[chunk] = known
-            return known
         if chunk.isascii() and "<" not in chunk:
             # The vocabulary is lower case, and a last stop or comma is a pre-token of its own.
             low = chunk.lower()
@@ -78,6 +74,8 @@ class WordCachedTokenizer:
     """Encodes texts to uint16 ids; equal to ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
+        # The library's threads would spin between the many small calls; Spark's tasks are the parallelism.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -141,9 +139,8 @@ class WordCachedTokenizer:
                     new.clear()
                 out += [b"".join(x) for x in group]
                 group, n = [], 0
-                if len(self._chunks) > self._cap // 2:
-                    self._chunks.old = {}
-                    self._chunks = _Chunks(self._chunks)
+                if len(self._chunks) > self._cap:
+                    self._chunks.clear()
         return out
 
 
