@@ -43,7 +43,7 @@ TARGET_RECALL = 0.9999
 #: Nodes up to this size are compared exhaustively; larger ones that do not shrink are dealt into blocks of it.
 LEAF = 96
 #: Documents of a block when classes of a large node are held against each other; two blocks meet at a time.
-BLOCK = 512
+BLOCK = 2048
 #: A child with more than this part of its parent has not been split by the token.
 UNSPLIT = 0.5
 MOST_LEVELS = 8
