@@ -16,7 +16,8 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+'|["'])*+)>""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'<>]++))?""")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are no text of the page.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video textarea select title head option datalist".split())
@@ -35,7 +36,7 @@ TAG_BITS = {
 }
 _HEADINGS = dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), TAG_BITS["heading"])
 _SAME = {"td": "table", "th": "table", "tr": "table", "figcaption": "figure", "dd": "li", "dt": "li", "input": "form", "fieldset": "form", "legend": "label"}
-#: Bits of ancestors, by words in their class, id and role.
+#: Bits of ancestors, by words in their class, id and role; "hidden" by whole names of classes, attributes and styles.
 WORD_BITS = {
     name: (1 << (len(TAG_BITS) + i), frozenset(words.split()))
     for i, (name, words) in enumerate(
@@ -65,18 +66,16 @@ def _own_bits(name: str, attributes: str, known: dict[str, int]) -> int:
         return bits
     found = known.get(attributes)
     if found is None:
-        found = 0
-        for key, value in _NAMED.findall(attributes[:2000]):
-            key, value = key.lower(), value.strip("\"'")
-            if key == "style":
-                found |= HIDDEN if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else 0
-            elif key in ("hidden", "aria-hidden"):
-                found |= HIDDEN if key == "hidden" or value.lower() == "true" else 0
-            else:
-                words = {w for x in (value, value.lower()) for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
-                for bit, names in WORD_BITS.values():
-                    found |= bit if words & names else 0
-        if len(known) < 5000:
+        found, given = 0, {}
+        for key, value in _ATTRIBUTE.findall(attributes):
+            given.setdefault(key.lower(), html.unescape(value.strip("\"'")))  # the first of a name counts
+        if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _HIDING.search(given.get("style", "")) or not WORD_BITS["hidden"][1].isdisjoint(given.get("class", "").lower().split()):
+            found |= HIDDEN
+        for value in (given.get("class", ""), given.get("id", ""), given.get("role", "")):
+            words = {w for x in (value, value.lower()) for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
+            for bit, names in WORD_BITS.values():
+                found |= bit if bit != HIDDEN and words & names else 0
+        if len(known) < 5000 and len(attributes) <= 2000:
             known[attributes] = found
     return bits | found
 

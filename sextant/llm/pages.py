@@ -3,7 +3,7 @@
 Blocks are labelled article or not from their ancestors' tags, classes and ids, from their own
 text, and from their neighbours' labels.  The model learns from labelled pages when the plan is
 made: `labelled_pages` writes them in many layouts with articles, menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, `TRAIN_PAGES` of them.
+sidebars, notices, adverts, forms, reader comments and parts out of sight, `TRAIN_PAGES` of them.
 
 Defined results: a null or empty page, or one without an article, has the empty text; broken
 markup is read as far as it goes; repeated pages are rows of their own; extra columns are ignored.
@@ -27,7 +27,7 @@ from .words import slices
 #: Labelled pages that the model learns from.
 TRAIN_PAGES = 500
 _TEXT_FEATURES = 14
-N_FEATURES = N_ANCESTOR_BITS + _TEXT_FEATURES + 3
+N_FEATURES = N_ANCESTOR_BITS + _TEXT_FEATURES + 4
 _MARKS = ("©", "all rights reserved", "cookie", "subscribe", "sign in", "log in", "read more", "click here", "share")
 
 
@@ -49,6 +49,8 @@ def features(blocks: list[Block]) -> np.ndarray:
     cols = [words <= 2, (words > 2) & (words <= 6), (words > 6) & (words <= 15), (words > 15) & (words <= 40), words > 40, linked > 0.9, (linked > 0.3) & (linked <= 0.9), linked <= 0.05, stops == 0, stops >= 3, closed, marked, np.arange(n) == 0, np.arange(n) == n - 1]
     out[:, k : k + _TEXT_FEATURES] = np.stack(cols, 1)
     inside = (bits & (TAG_BITS["article"] | TAG_BITS["main"])) > 0
+    hidden = (bits & HIDDEN) > 0
+    out[:, -4] = hidden & ~hidden[inside | ~inside.any()].all()  # out of sight, and what may be the article is not
     out[:, -3] = inside.any() & ~inside  # the page names its article, and the block is elsewhere
     out[:, -2] = ~inside.any()
     out[:, -1] = 1
@@ -101,6 +103,10 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
                 return "<table>" + "".join(f"<tr><td>{keep(words(1, 3, ''))}</td><td>{keep(words(1, 5, ''))}</td></tr>" for _ in range(2)) + "</table>"
             return f'<figure><img src="x.png"><figcaption>{keep(words(3, 12))}</figcaption></figure>'
 
+        def unseen() -> str:
+            tag, how = pick("div", "p", "span", "section"), pick("hidden", 'aria-hidden="true"', 'style="display:none"', 'class="sr-only"', 'class="visually-hidden"', 'class="hidden"')
+            return f"<{tag} {how}>{words(1, 60, pick('', '.'))}</{tag}>" if tag != "span" else f"<div><span {how}>{words(1, 8, pick('', '.'))}</span></div>"
+
         ad = lambda: f'<div class="{pick("ad", "ads", "advert", "sponsored-box", "promo", "banner-ad")}">{pick("", "<p>")}{words(3, 14)}</div>'
         aside = lambda: pick(
             f'<aside><h3>{words(1, 3, "")}</h3><ul>{links(2, 5)}</ul></aside>',
@@ -125,7 +131,7 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
         title = pick(f"<h1>{keep(words(2, 12, pick('', '.')))}</h1>", f"<h1>{keep(words(3, 10, ''))}</h1>", "")
         body = ""
         for _ in range(rng.randint(1, 14)):
-            body += paragraph() + maybe(0.1, ad()) + maybe(0.08, notice()) + maybe(0.06, aside())
+            body += paragraph() + maybe(0.1, ad()) + maybe(0.08, notice()) + maybe(0.06, aside()) + maybe(0.06, unseen())
         inner = title + maybe(0.2, share()) + body + maybe(0.2, share()) + maybe(0.1, form())
         around = maybe(0.25, comments() + "</div>")
         middle = pick(
@@ -138,9 +144,11 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
             f'<div class="{pick("entry-content", "article-body", "text", "prose")}">{inner}</div>{around}',
             f"<div>{inner}</div>{around}",
         )
+        if rng.random() < 0.1:  # names that only look hidden, or an article that a script brings to sight
+            middle = f'<div {pick("class=overflow-hidden", "class=hidden", "data-hidden=false", "style=display:none", "hidden")}>{middle}</div>'
         yield (
             f"<!DOCTYPE html><html><head><title>{words(2, 6, '')}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
-            + maybe(0.15, notice()) + header + maybe(0.85, nav) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer
+            + maybe(0.15, notice()) + maybe(0.1, unseen()) + header + maybe(0.85, nav) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer
             + pick("</body></html>", "</body></html>", "")
         ), kept
 
@@ -166,7 +174,7 @@ def default_model() -> Chain:
 
 
 def main_text(page: str | None, model: Chain, known: dict[str, int] | None = None) -> str:
-    blocks = [b for b in blocks_of(page, known) if not b.ancestors & HIDDEN]
+    blocks = blocks_of(page, known)
     if not blocks:
         return ""
     return " ".join(b.text for b, keep in zip(blocks, model.decode(features(blocks)).tolist()) if keep)
