@@ -26,6 +26,12 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that a head can hold; any other ends it.
+_IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Block start tags that end dropped elements left open, and drawings unless inside a part of them that holds markup.
+_ENDS_DROPPED = BLOCK - {"button", "label", "legend", "optgroup"}
+_DRAWING, _HOLDS_MARKUP = frozenset({"svg", "math"}), frozenset({"foreignobject", "desc", "annotation-xml"})
+_NEXT = {n: tuple(re.compile(rf"<{slash}{n}(?=[\s/>])", re.I) for slash in ("", "/")) for n in DROPPED - _RAW.keys()}
 #: A start tag in the second set ends an open element named in the first.
 _ENDS = {"p": BLOCK - {"button", "label", "legend", "body", "html", "head"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "tr": frozenset({"tr"}), "option": frozenset({"option"})}
 
@@ -96,7 +102,22 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
     stack: list[tuple[str, int]] = []
     open_: dict[str, int] = {}
     parts: list[str] = []
-    bits = linked = dropped = 0
+    bits = linked = 0
+    dropped: list[tuple[str, bool]] = []  # open elements without text; whether the end tag comes before another of its name begins
+    ahead: dict[re.Pattern, int] = {}
+
+    def next_of(pattern: re.Pattern, at: int) -> int:
+        if ahead.get(pattern, -1) < at:
+            m = pattern.search(page, at)
+            ahead[pattern] = m.start() if m else end
+        return ahead[pattern]
+
+    def ends_dropped(tag: str) -> bool:
+        """Whether the innermost dropped element cannot hold this start tag."""
+        name, shut = dropped[-1]
+        if name == "head":
+            return tag not in _IN_HEAD
+        return tag in _ENDS_DROPPED and (name in _DRAWING or not shut)
 
     def close() -> None:
         nonlocal linked
@@ -108,16 +129,19 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         linked = 0
 
     def pop() -> None:
-        nonlocal bits, dropped
+        nonlocal bits
         name, _ = stack.pop()
         open_[name] -= 1
-        dropped -= name in DROPPED
+        if dropped and dropped[-1][0] == name:
+            dropped.pop()
         bits = stack[-1][1] if stack else 0
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         upto = m.start() if m else end
+        if upto > at and dropped and stack[-1][0] == "head" and not page[at:upto].isspace():
+            pop()  # words do not stand in a head
         if upto > at and not dropped:
             text = page[at:upto]
             text = html.unescape(text) if "&" in text else text
@@ -143,6 +167,12 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
             continue
         if name in BLOCK:
             close()
+        while dropped and ends_dropped(name):
+            left = len(dropped)
+            while len(dropped) == left:
+                pop()
+        if name == "head" and (out or stack and stack[-1][0] != "html"):
+            continue
         if name in ("br", "wbr", "img", "input", "hr"):
             parts.append(" " * (name != "wbr"))
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
@@ -163,6 +193,10 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         stack.append((name, bits | _own_bits(name, m[3], known)))
         bits = stack[-1][1]
         open_[name] = open_.get(name, 0) + 1
-        dropped += name in DROPPED
+        if name in DROPPED:
+            opens, closes = _NEXT[name]
+            dropped.append((name, next_of(closes, at) < next_of(opens, at)))
+        elif dropped and name in _HOLDS_MARKUP:
+            dropped.append((name, dropped[-1][1]))
     close()
     return out

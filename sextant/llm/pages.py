@@ -146,9 +146,16 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
         )
         if rng.random() < 0.1:  # names that only look hidden, or an article that a script brings to sight
             middle = f'<div {pick("class=overflow-hidden", "class=hidden", "data-hidden=false", "style=display:none", "hidden")}>{middle}</div>'
+        if rng.random() < 0.1:  # a part of a page
+            if rng.random() < 0.6:
+                kept.clear()
+                middle = f"<article>{paragraph()}</article>"
+            yield middle, kept
+            continue
+        left_open = lambda: pick(f"<select><option>{words(1, 3, '')}<option>{words(1, 3, '')}", "<svg viewBox='0 0 9 9'><path d='M0 0'>", "<video src=x>", "<canvas>", "<object data=x>")
         yield (
-            f"<!DOCTYPE html><html><head><title>{words(2, 6, '')}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
-            + maybe(0.15, notice()) + maybe(0.1, unseen()) + header + maybe(0.85, nav) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer
+            f"<!DOCTYPE html><html><head><title>{words(2, 6, '')}</title><style>p{{}}</style><script>var t='</p>';</script>" + pick("</head>", "</head>", "</head>", "") + "<body>"
+            + maybe(0.15, notice()) + maybe(0.1, unseen()) + header + maybe(0.85, nav) + maybe(0.05, left_open()) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer
             + pick("</body></html>", "</body></html>", "")
         ), kept
 

@@ -30,3 +30,28 @@ def test_hidden_is_a_feature():
     part = "<div hidden>Words that nobody sees, and more of them.</div>"
     assert pages.main_text(f"<body><nav><a href=x>Menu</a></nav><article>{INNER}{part}</article></body>", model) == TEXT
     assert pages.main_text(f'<body><nav><a href=x>Menu</a></nav><div style="display:none"><article>{INNER}</article></div></body>', model) == TEXT
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>T</title><body>", "<head><title>T</title><meta charset=utf-8><link rel=x>", "<head><title>T</title><style>p{}</style><head>", "<head><noscript><p>x</p></noscript><body>",
+        "<body><select><option>a<option>b", "<body><svg><path d=x>", "<body><svg><foreignObject><b>x</b>", "<body><video src=x>", "<body><audio><source src=x>", "<body><canvas>", "<body><object><param name=x>",
+        "<body><object><object><p>in</p></object></object>", "<body><video><p>in</p></video>", "<body><svg><foreignObject><p>in</p></foreignObject></svg>", "<body><svg><text>in</text></svg>", "<body><select><option>in</select>", "<body><svg></svg><head>",
+    ],
+)
+def test_dropped_elements_left_open(start):
+    assert [b.text for b in blocks_of(f"{start}<article>{INNER}</article><p>End")] == [*TEXT.replace("title ", "title|").replace(". ", ".|").split("|"), "End"]
+
+
+def test_words_end_a_head():
+    assert [b.text for b in blocks_of("<head><title>T</title>\n Words <b>of</b> it")] == ["Words of it"]
+
+
+def test_page_without_an_end_of_head():
+    page = f"<html><head><title>T</title><body><nav><a href=x>Menu</a></nav><article>{INNER}</article><footer>&copy; rights</footer>"
+    assert pages.main_text(page, pages.default_model()) == TEXT
+
+
+def test_elements_left_open_are_linear():
+    blocks_of("<video><foreignobject>" * 50_000 + "<select><div>" * 50_000)
