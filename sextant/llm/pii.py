@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give away what the patterns protect.
 
 Base spans are emails, IP addresses, card and phone numbers.  Beyond them, what surrounds a
-protected entity may reveal it.  For each term t found next to an entity e, the corpus tells
+protected entity may reveal it.  For each term t in a document with an entity e, the corpus tells
 how far t narrows e down: the pointwise mutual information log(P(e|t) / P(e)) as a part of
 e's information content log(1 / P(e)); both probabilities are shares of documents, over all
 of them.  A term of which that part is at least `GENERALISE` is generalised, and of which it is
-at least `REMOVE` is removed, wherever it stands.  To be a term it has to be seen next to
-the entity in `LEAST_CONTEXTS` different surroundings, so copies of one passage prove nothing.
+at least `REMOVE` is removed, wherever it stands.  To be a term it has to be seen with
+the entity in `LEAST_CONTEXTS` documents where the entity has different surroundings, or next to
+it in as many surroundings, so copies of one passage prove nothing.
 
 Defined results: a null or empty text has no spans; repeated rows are documents of their
 own for counting; spans of different kinds may overlap and all stay; columns other than doc_id
@@ -15,6 +16,8 @@ and text are ignored by `find_personal_data` and kept by `sanitised`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ TERM = "term"
 GENERALISE = 0.75
 REMOVE = 0.9
 LEAST_CONTEXTS = 3
-#: Words on either side of an entity that may reveal it.
+#: Words on either side of an entity that are its surroundings.
 NEAR = 3
 #: Terms up to this number are broadcast (at most a few MB); more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
@@ -69,18 +72,30 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"row_key": F.xxhash64("doc_id", "text"), "row_doc": F.coalesce("doc_id", F.lit(-(2**63)).cast("bigint"))})
 
 
-def _surroundings(scanned: DataFrame) -> DataFrame:
-    """entity, term, context, doc: each term next to each protected entity."""
-    spans = scanned.select("doc", F.explode(together([f"of_{n}" for n in NAMES])).alias("x"))
+def _mentions(scanned: DataFrame) -> DataFrame:
+    """doc, entity, terms, context: the words next to each protected entity, and a hash of them or, without any, of the text's words."""
+    spans = scanned.select("doc", "words", F.explode(together([f"of_{n}" for n in NAMES])).alias("x"))
     bare = F.when(F.col("x.rank") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
     before, after = _words(F.col("x.before")), _words(F.col("x.after"))
     # A word at the edge of the context may have been cut.
     before = F.when(F.char_length("x.before") >= CONTEXT, F.slice(before, F.lit(2), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before)
     after = F.when(F.char_length("x.after") >= CONTEXT, F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
-    rows = spans.select("doc", F.concat_ws(":", "x.kind", bare).alias("entity"), before.alias("b"), after.alias("a"))
+    rows = spans.select("doc", "words", F.concat_ws(":", "x.kind", bare).alias("entity"), before.alias("b"), after.alias("a"))
     last = F.slice("b", F.greatest(F.size("b") - NEAR + 1, F.lit(1)), F.lit(NEAR))
-    rows = rows.select("doc", "entity", F.concat(last, F.slice("a", 1, NEAR)).alias("terms"))
-    return rows.select("doc", "entity", F.xxhash64("terms").alias("context"), F.explode(F.array_distinct("terms")).alias("term")).where(F.char_length("term") >= 3)
+    rows = rows.select("doc", "words", "entity", F.concat(last, F.slice("a", 1, NEAR)).alias("terms"))
+    return rows.select("doc", "entity", "terms", F.when(F.size("terms") > 0, F.xxhash64("terms")).otherwise(F.xxhash64("words")).alias("context"))
+
+
+def _outside(text: Column) -> Column:
+    """A clean text with a line break for each base span."""
+
+    def bare(kind: Kind) -> Callable[[Column, Column], Column]:
+        return lambda x, i: F.when((i % 2 == 1) & (kind.holds(x) if kind.holds else F.lit(True)), F.lit("\n")).otherwise(x)
+
+    for kind in KINDS:
+        marked = F.regexp_replace(text, F.lit(kind.pattern), F.lit(f"{MARK}$0{MARK}"))
+        text = F.array_join(F.transform(F.split(marked, MARK, -1), bare(kind)), "")
+    return text
 
 
 def _share(together: Column, holding: Column, of_entity: Column, total: int) -> Column:
@@ -96,34 +111,55 @@ def _base_spans(docs: DataFrame) -> DataFrame:
     """
     rows = with_spans(_keyed(_cleaned(docs)), "text", KINDS, "of_")
     some = F.greatest(*(F.size(f"of_{n}") for n in NAMES)) > 0
-    return staged(rows.withColumn("words", F.when(some, F.array_distinct(_words(F.col("text"))))).drop("text"), "spans")
+    rows = rows.withColumn("words", F.when(some, F.array_distinct(_words(F.col("text")))))
+    rows = rows.withColumn("covered", F.when(some, F.array_except("words", _words(_outside(F.col("text"))))))
+    return staged(rows.drop("text"), "spans")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame | None:
     """term and disclosure of every term that reaches GENERALISE; None if there is none to look at.
 
     A term is held by at least those documents with a protected entity that have it, so what these leave
-    no chance to is put aside first; the others are counted over the whole corpus.
+    no chance to, however often it stands beside the entity, is put aside first; the others are
+    counted with each entity of their documents, and those still left over the whole corpus.
     """
     found = (_base_spans(docs) if found is None else found).withColumn("doc", F.col("row_key"))
-    near = staged(_surroundings(found), "near")
+    mentions = staged(_mentions(found), "mentions")
     total = found.agg(F.count_distinct("doc")).first()[0]
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("together"))
-    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"))
-    pairs = staged(pairs.where(F.col("contexts") >= LEAST_CONTEXTS).join(entities, "entity"), "repeated")
-
-    def held(words: DataFrame, pairs: DataFrame, out: str) -> DataFrame:
-        wanted = pairs.select("term").distinct()
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-        return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("doc").alias(out))
-
-    least = held(found.where("words is not null").select("doc", F.explode("words").alias("term")), pairs, "least")
+    entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"), F.count_distinct("context").alias("contexts"))
+    entities = staged(entities.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("of_entity") < total)).drop("contexts"), "entities")
+    most = entities.agg(F.max("of_entity")).first()[0]
+    if most is None:
+        return None
+    known = mentions.join(_small(entities), "entity")
+    members = staged(known.groupBy("doc", "entity", "of_entity").agg(F.min("context").alias("context")), "members")
+    near = known.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"))
+    near = staged(near.where(F.col("contexts") >= LEAST_CONTEXTS).select("entity", "term", F.lit(True).alias("near")), "near")
+
+    covered = F.transform("covered", lambda w: F.struct(w.alias("term"), F.lit(True).alias("covered")))
+    bare = F.transform(F.array_except("words", "covered"), lambda w: F.struct(w.alias("term"), F.lit(False).alias("covered")))
+    spanned = found.where("words is not null").dropDuplicates(["doc"]).select("doc", F.explode(F.concat(bare, covered)).alias("x")).select("doc", "x.*").where(F.char_length("term") >= 3)
+    least = spanned.groupBy("term").agg(F.count("*").alias("least"))
+    least = least.where(_share(F.least(F.lit(most), F.col("least")), F.col("least"), F.lit(most), total) >= GENERALISE - 1e-9)
+    # Three documents, or three places beside the entity in fewer.
+    least = staged(least.join(near.select("term", "near").distinct(), "term", "left").where((F.col("least") >= LEAST_CONTEXTS) | F.col("near")).drop("near"), "least")
+    held = spanned.join(_small(least), "term").join(members, "doc")
+    held = held.where(_share(F.least("of_entity", "least"), F.col("least"), F.col("of_entity"), total) >= GENERALISE - 1e-9)
+    key = ["entity", "term", "of_entity", "least"]
+    held = held.groupBy(*key, "context").agg(F.count("*").alias("n"), F.min("covered").alias("covered"))
+    pairs = held.groupBy(*key).agg(F.sum("n").alias("together"), F.count("*").alias("contexts"), F.min("covered").alias("covered"))
     bound = _share(F.col("together"), F.col("least"), F.col("of_entity"), total)
-    pairs = staged(pairs.join(least, "term").where(bound >= GENERALISE), "revealing")
+    pairs = pairs.where(bound >= GENERALISE).join(near, ["entity", "term"], "left")
+    # What stands in the spans alone is protected by them.
+    pairs = staged(pairs.where(F.col("near") | (F.col("contexts") >= LEAST_CONTEXTS) & ~F.col("covered")), "revealing")
     if pairs.isEmpty():
         return None
     words = _keyed(_cleaned(docs)).select(F.col("row_key").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    holding = held(words, pairs, "holding")
+    holding = words.join(_small(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count_distinct("doc").alias("holding"))
     share = _share(F.col("together"), F.col("holding"), F.col("of_entity"), total)
     terms = pairs.join(holding, "term").groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     terms = staged(terms, "terms")
