@@ -3,8 +3,8 @@
 Base spans are assignments of passwords, tokens and the like, access keys and long hex
 strings.  Beyond them, every long run of key characters is scored by two Markov models of
 character pairs, one of random strings and one of ordinary identifiers; where the
-log-likelihood ratio, in all and per character, is high enough, the run is a span of the
-kind `random`.  The models learn from labelled samples when the plan is made; scoring is one
+log-likelihood ratio, in all and per character, is high enough for the run or for its best
+stretch (a key at the end of a path), the run is a span of the kind `random`.  The models learn from labelled samples when the plan is made; scoring is one
 array look-up per character pair, in DataFrame functions.
 
 Defined results: a null or empty text has no spans; spans of different kinds may overlap
@@ -32,10 +32,12 @@ BASE = [
 ]
 NAMES = [k.name for k in BASE]
 
-#: Shortest run that is scored.
-LEAST_LENGTH = 20
+#: Shortest run that is scored, and shortest that is scored as a whole.
+LEAST_LENGTH, LEAST_WHOLE = 16, 20
 #: Natural-log likelihood ratio, per character pair and in all, from which a run is random.
 PER_PAIR, IN_ALL = 0.4, 15.0
+#: What a run's best stretch has over PER_PAIR for each of its pairs, in all, from which the run is random.
+BEST_STRETCH = 8.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM, ORDINARY = 1, 0
 
@@ -111,19 +113,29 @@ def default_weights() -> tuple[float, ...]:
 
 
 def ratio(run: Column, weights: tuple[float, ...]) -> Column:
-    """Log-likelihood ratio of a run of key characters, random over ordinary."""
+    """Log-likelihood ratio of a run of key characters, random over ordinary: in all, now and best over PER_PAIR a pair."""
     size = len(ALPHABET) + 1
     table = F.lit(list(weights))
     codes = F.transform(F.split(run, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(ALPHABET), c)))
     pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.char_length(run)), lambda a, b: F.when(b.isNotNull() & (b > 0), F.element_at(table, a * size + b + 1)).otherwise(F.lit(0.0)))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+
+    def add(acc: Column, x: Column) -> Column:
+        now = F.greatest(F.lit(0.0), acc["now"] + x - PER_PAIR)
+        return F.struct((acc["all"] + x).alias("all"), now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+
+    # The last pair has no second character and counts nothing.
+    return F.aggregate(pairs, F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best")), add)
 
 
 def kinds(weights: tuple[float, ...] | None = None) -> list[Kind]:
     weights = weights or default_weights()
 
     def looks_random(run: Column) -> Column:
-        return ratio(run, weights) >= F.greatest(F.lit(IN_ALL), PER_PAIR * (F.char_length(run) - 1))
+        def holds(r: Column) -> Column:
+            whole = (F.char_length(run) >= LEAST_WHOLE) & (r["all"] >= F.greatest(F.lit(IN_ALL), PER_PAIR * (F.char_length(run) - 1)))
+            return whole | (r["best"] >= BEST_STRETCH)
+
+        return F.exists(F.array(ratio(run, weights)), holds)
 
     return [*BASE, Kind("random", rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}+", looks_random)]
 
