@@ -21,7 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0 where either is all zeros."""
+    size = norm(a) * norm(b)
+    return F.when(size > 0, dot(a, b) / size).otherwise(F.when(size == 0, F.lit(0.0)))
 
 
 def maxsim(query: Column, doc: Column) -> Column:

@@ -1,6 +1,9 @@
-"""Approximate neighbours by random hyperplanes: documents meet queries that share a sign pattern in some table.
+"""Approximate neighbours by sketches: the signs of a vector against random hyperplanes, compared in place of vectors.
 
-Every vector is indexed; candidates are joined on (table, pattern) and scored exactly.
+Two sketches differ in a share of their bits that is the angle between their vectors over pi, give or take
+1 / (2 sqrt(bits)).  Every vector is indexed by its sketch, a few dozen bytes; a search ranks all sketches, in the blocks
+of the exact search, keeps `oversample` times the hits that are asked for, and scores only those by their vectors.  The
+number of exact scores so follows from the queries alone, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -15,34 +18,45 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .ranking import top_k
+from .search import _nearest
+
+
+def _signs(sketches: pa.Array) -> np.ndarray:
+    """Sketches (list<int64>) as rows of 1 and -1."""
+    words = sketches.flatten().to_numpy(zero_copy_only=False).reshape(len(sketches), -1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
 @dataclass
 class HyperplaneIndex:
     vectors: DataFrame  # doc_id, vec
     size: int
-    tables: int = 48
-    bits: int = 6
+    bits: int = 512
+    oversample: int = 8
     seed: int = 7
 
-    def _patterns(self, rows: DataFrame, key: str) -> DataFrame:
-        planes = np.random.default_rng(self.seed).standard_normal((self.tables * self.bits, self.size))
-        tables, bits = self.tables, self.bits
+    def sketches(self, rows: DataFrame, key: str) -> DataFrame:
+        """key, vec: the signs of each vector, 64 to a number."""
+        planes = np.random.default_rng(self.seed).standard_normal((self.bits, self.size))
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = 1 << np.arange(bits)
             for b in batches:
                 if not b.num_rows:
                     continue
                 m = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                patterns = ((m @ planes.T > 0).reshape(len(m), tables, bits) * weights).sum(2)
-                ids = b.column(key).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(tables)], pa.string()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(m))), pa.array(patterns.ravel().astype(np.int32))], names=[key, "bucket", "pattern"])
+                words = np.packbits(m @ planes.T > 0, axis=1).view(np.int64)
+                bounds = np.arange(len(m) + 1, dtype=np.int32) * words.shape[1]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(bounds), pa.array(words.ravel()))], names=[key, "vec"])
+
+        return rows.select(F.col(key).cast("string").alias(key), "vec").where("vec is not null").mapInArrow(sign, f"{key} string, vec array<bigint>")
 
-        return rows.select(F.col(key).cast("string").alias(key), "vec").mapInArrow(sign, f"{key} string, bucket int, pattern int")
+    def candidates(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        """query_id, doc_id of the nearest sketches of each query."""
+        near = _nearest(self.sketches(self.vectors, "doc_id"), self.sketches(queries, "query_id"), lambda d, q: (_signs(d) @ _signs(q).T).astype(np.float64), limit * self.oversample)
+        return near.select("query_id", "doc_id")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        met = self._patterns(self.vectors, "doc_id").join(self._patterns(queries, "query_id"), ["bucket", "pattern"]).select("query_id", "doc_id").distinct()
         q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").alias("_q"))
         d = self.vectors.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("vec").alias("_d"))
-        return top_k(met.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("score")), limit)
+        met = self.candidates(queries, limit).join(q, "query_id").join(d, "doc_id")
+        return top_k(met.select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("score")), limit)

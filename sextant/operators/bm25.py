@@ -1,7 +1,7 @@
 """BM25 over word n-grams, and a hashed sparse encoder with the same weighting.
 
-Document frequencies are counted only for the grams that queries have: the postings are
-semi-joined to the query grams before anything is aggregated.
+Only grams that queries have are counted: the corpus is read and tokenised once, semi-joined to the query
+grams before anything is aggregated, and written; frequencies, lengths and scores come from that table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import gram_hash, gram_structs, tokenize
+from ..sources.staging import staged
+
+#: Query grams up to this number are broadcast (some 10 MB); more are joined by a shuffle.
+BROADCAST_GRAMS = 200_000
+#: Stands for the document itself among its grams, so that documents without a query gram count too.
+_ITSELF = ""
 
 
 def gram_total(tokens: Column, n: int) -> Column:
@@ -30,6 +36,23 @@ def query_grams(queries: DataFrame, max_n: int) -> DataFrame:
     return grams.select("query_id", "g.gram", "g.n").distinct()
 
 
+def _counted(corpus: DataFrame, wanted: DataFrame, max_n: int) -> DataFrame:
+    """doc_id, n_tokens, gram, n, tf of the wanted grams (gram), and one row with the gram _ITSELF for every document."""
+    tokens = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    itself = F.array(F.struct(F.lit(_ITSELF).alias("gram"), F.lit(0).alias("n")))
+    grams = tokens.select("doc_id", "n_tokens", F.explode(F.concat(itself, gram_structs(F.col("tokens"), max_n))).alias("g")).select("doc_id", "n_tokens", "g.gram", "g.n")
+    vocabulary = wanted.select("gram").unionByName(corpus.sparkSession.range(1).select(F.lit(_ITSELF).alias("gram"))).distinct()
+    if wanted.count() <= BROADCAST_GRAMS:
+        vocabulary = F.broadcast(vocabulary)
+    return grams.join(vocabulary, "gram", "left_semi").groupBy("doc_id", "n_tokens", "gram", "n").agg(F.count("*").alias("tf"))
+
+
+def _corpus_size(counted: DataFrame) -> tuple[int, float]:
+    """Documents, and their mean number of tokens."""
+    n, mean = counted.where(F.col("gram") == _ITSELF).agg(F.count("*"), F.avg("n_tokens")).first()
+    return n, float(mean or 0.0)
+
+
 @dataclass
 class NgramStats:
     """Corpus statistics for a set of queries; two numbers are known to the driver, the rest are tables."""
@@ -42,18 +65,16 @@ class NgramStats:
     max_n: int = 2
     k1: float = 1.5
     b: float = 0.75
+    n_wanted: int = BROADCAST_GRAMS + 1  # rows of wanted
 
     @classmethod
     def build(cls, corpus: DataFrame, queries: DataFrame, max_n: int = 2, k1: float = 1.5, b: float = 0.75) -> NgramStats:
-        docs = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
-        n_docs, mean = docs.agg(F.count("*"), F.avg("n_tokens")).first()
-        wanted = query_grams(queries, max_n)
-        vocabulary = wanted.select("gram").distinct()
-        grams = docs.select("doc_id", "n_tokens", F.explode(gram_structs(F.col("tokens"), max_n)).alias("g")).select("doc_id", "n_tokens", "g.gram", "g.n")
-        held = grams.join(vocabulary, "gram", "left_semi")
-        postings = held.groupBy("doc_id", "gram", "n", "n_tokens").agg(F.count("*").alias("tf"))
+        wanted = staged(query_grams(queries, max_n), "query-grams")
+        counted = staged(_counted(corpus, wanted, max_n), "postings")
+        n_docs, mean = _corpus_size(counted)
+        postings = counted.where(F.col("gram") != _ITSELF)
         df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-        return cls(postings, df, wanted, n_docs, float(mean or 0.0), max_n, k1, b)
+        return cls(postings, df, wanted, n_docs, mean, max_n, k1, b, wanted.count())
 
     def avgdl(self, n: int) -> float:
         return n * self.mean_tokens - n * (n - 1) / 2
@@ -70,10 +91,15 @@ class NgramStats:
         Documents without a common gram have no row.
         """
         n = order or self.max_n
-        grams = self.wanted.where(F.col("n") <= n).join(self.df, "gram").withColumn("idf", idf(F.lit(float(self.n_docs)), F.col("df")))
+        grams = self.wanted.where(F.col("n") <= n).join(self.df, "gram").withColumn("idf", idf(F.lit(float(self.n_docs)), F.col("df"))).select("query_id", "gram", "idf")
+        postings = self.postings.where(F.col("n") <= n).drop("n")
+        if self.n_wanted <= BROADCAST_GRAMS:
+            # All of a document's postings in one task: its scores are whole there, and only each task's best are shuffled.
+            grams = F.broadcast(grams)
+            postings = postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
         tf, dl = F.col("tf"), gram_total(F.col("n_tokens"), n)
         norm = self.k1 * (1 - self.b + self.b * dl / self.avgdl(n))
-        joined = self.postings.where(F.col("n") <= n).drop("n").join(grams.select("query_id", "gram", "idf"), "gram")
+        joined = postings.join(grams, "gram")
         if pool is not None:
             joined = joined.join(pool.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
         part = F.col("idf") * tf * (self.k1 + 1) / (tf + norm)
@@ -93,16 +119,25 @@ class SparseEncoder:
         mean = corpus.agg(F.avg(F.size(tokenize(F.col("text"))))).first()[0]
         return SparseEncoder(self.max_n, self.k1, self.b, float(mean or 0.0))
 
+    def fit_postings(self, corpus: DataFrame, wanted: DataFrame) -> tuple[SparseEncoder, DataFrame, int]:
+        """A fitted encoder, doc_id, gram, val for the wanted grams alone, and the number of documents, from one pass over the corpus."""
+        counted = staged(_counted(corpus, wanted, self.max_n), "postings")
+        n_docs, mean = _corpus_size(counted)
+        fitted = SparseEncoder(self.max_n, self.k1, self.b, mean)
+        return fitted, fitted._saturated(counted.where(F.col("gram") != _ITSELF)), n_docs
+
+    def _saturated(self, tf: DataFrame) -> DataFrame:
+        avgdl = gram_total(F.bround(F.lit(self.mean_tokens), 0), self.max_n)
+        norm = self.k1 * (1 - self.b + self.b * gram_total(F.col("n_tokens"), self.max_n) / avgdl)
+        return tf.select("doc_id", "gram", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)).alias("val"))
+
     def encode_grams(self, corpus: DataFrame) -> DataFrame:
         """doc_id, gram, val before hashing; the mean is rounded half to even."""
         if self.mean_tokens is None:
             raise ValueError("fit the encoder before documents are encoded")
-        avgdl = gram_total(F.bround(F.lit(self.mean_tokens), 0), self.max_n)
         docs = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
         grams = docs.select("doc_id", "n_tokens", F.explode(gram_structs(F.col("tokens"), self.max_n)).alias("g"))
-        tf = grams.groupBy("doc_id", "n_tokens", F.col("g.gram").alias("gram")).agg(F.count("*").alias("tf"))
-        norm = self.k1 * (1 - self.b + self.b * gram_total(F.col("n_tokens"), self.max_n) / avgdl)
-        return tf.select("doc_id", "gram", (F.col("tf") * (self.k1 + 1) / (F.col("tf") + norm)).alias("val"))
+        return self._saturated(grams.groupBy("doc_id", "n_tokens", F.col("g.gram").alias("gram")).agg(F.count("*").alias("tf")))
 
     def encode_documents(self, corpus: DataFrame) -> DataFrame:
         """doc_id, idx, val; grams of one hash are added up."""

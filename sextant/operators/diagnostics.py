@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +32,20 @@ def corpus_stats(corpus: DataFrame, max_seq: int = 512, length: Column | None =
     return out.withColumn("truncation_loss", F.when(F.col("total") > 0, F.col("_cut") / F.col("total")).otherwise(0.0)).drop("_q", "_cut")
 
 
+def token_lengths(corpus: DataFrame, make: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
+    """len: each text's length by a tokenizer, special tokens and all; `make()` gives, once a task, a function of texts.
+
+    corpus_stats(token_lengths(...), length=F.col("len")) has the statistics by it.
+    """
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths = make()
+        for b in batches:
+            yield pd.DataFrame({"len": pd.Series(lengths(b["text"].tolist()) if len(b) else [], dtype="int64")})
+
+    return corpus.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(apply, "len bigint")
+
+
 def needs_chunking(stats: DataFrame, over: float = 0.10, loss: float = 0.10) -> DataFrame:
     return stats.select(((F.col("pct_over_max") > over) | (F.col("truncation_loss") > loss)).alias("needs_chunking"))
 

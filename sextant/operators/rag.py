@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .search import Searcher
+
 # The wording around the excerpts.
 QUESTION_PREFIX = "Question: "
 EXCERPTS_HEADING = "Case excerpts (retrieved by relevance):"
 CLOSING = "Answer the question using only the excerpts above."
-NOTHING_FOUND = "No relevant excerpts were found for this question."
+NOTHING_FOUND = "No relevant case excerpts were found for this question. Try rephrasing or broadening the query."
 TOP_K = 5
 ANSWER = "query_id string, answer string, citations array<struct<doc_id:string,quote:string>>, retrieved array<string>"
 
@@ -26,6 +29,39 @@ def prompts(queries: DataFrame, hits: DataFrame, corpus: DataFrame) -> DataFrame
     return parts.join(queries.select("query_id", "query"), "query_id").select("query_id", text.alias("prompt"), F.transform("h", lambda x: x["doc_id"]).alias("retrieved"))
 
 
+#: What the generator is told before every prompt, unless told otherwise.
+INSTRUCTIONS = "You help with legal research. Use nothing but the excerpts in the message. Name the doc_id of an excerpt for every statement of fact. Where the excerpts are not enough for an answer, say that, and do not guess."
+
+
+@dataclass
+class Assistant:
+    """Retrieval, prompts and cited answers in one.
+
+    `generate(model=, messages=, temperature=, max_tokens=) -> {answer, citations}` is injected; messages
+    are the instructions and the prompt.
+    """
+
+    searcher: Searcher
+    corpus: DataFrame
+    generate: Callable[..., dict]
+    model: str
+    instructions: str = INSTRUCTIONS
+    top_k: int = TOP_K
+    temperature: float = 0.1
+    max_tokens: int = 4096
+    retries: int = 2
+
+    def ask(self, queries: DataFrame) -> DataFrame:
+        """query_id, answer, citations, retrieved for every query (query_id, query, and what the searcher needs)."""
+        generate, model, instructions, temperature, max_tokens = self.generate, self.model, self.instructions, self.temperature, self.max_tokens
+
+        def one(prompt: str) -> dict:
+            messages = [{"role": "system", "content": instructions}, {"role": "user", "content": prompt}]
+            return generate(model=model, messages=messages, temperature=temperature, max_tokens=max_tokens)
+
+        return answer(queries, prompts(queries, self.searcher.search(queries, self.top_k), self.corpus), one, self.retries)
+
+
 def answer(queries: DataFrame, asked: DataFrame, generate: Callable[[str], dict], retries: int = 2) -> DataFrame:
     """Answers of `generate(prompt) -> {answer, citations}`; citations of passages that were not retrieved are dropped.
 

@@ -48,10 +48,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def dedupe_by_document(hits: DataFrame, pid2did: DataFrame, limit: int | None = None, strict: bool = False) -> DataFrame:
-    """The best passage of each document, in order, re-ranked; strict fails on passages without a document."""
-    joined = hits.join(pid2did.select("doc_id", "did"), "doc_id", "left" if strict else "inner")
-    if strict:
+def dedupe_by_document(hits: DataFrame, pid2did: DataFrame, limit: int | None = None, strict: bool = True) -> DataFrame:
+    """The best passage of each document, in order, re-ranked.
+
+    A passage without a document is an error; unless strict, it is a document of its own.
+    """
+    joined = hits.join(pid2did.select("doc_id", "did"), "doc_id", "left")
+    if not strict:
+        joined = joined.withColumn("did", F.when(F.col("did").isNull(), F.struct(F.col("doc_id").alias("pid"), F.lit(None).cast("string").alias("did"))).otherwise(F.struct(F.lit(None).cast("string").alias("pid"), F.col("did").cast("string").alias("did"))))
+    else:
         joined = joined.withColumn("did", F.when(F.col("did").isNull(), F.raise_error(F.concat(F.lit("no document for passage "), F.col("doc_id")))).otherwise(F.col("did")))
     first = Window.partitionBy("query_id", "did").orderBy("rank")
     one = joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.encoders import with_retry
 from .bm25 import NgramStats
 from .ranking import DIGITS, dedupe_by_document, ranked
 from .search import MaxSimScorer, Searcher
@@ -59,6 +60,36 @@ class PairScorerStrategy:
         return _rescored(hits, pairs.select("query_id", "doc_id", "query", "text").mapInPandas(apply, schema))
 
 
+@dataclass
+class ServiceStrategy:
+    """Scores a query's whole pool with one call of an injected service, `post(model, query, texts) -> (status, [{index, relevance_score}])`.
+
+    A reply has a score for every text, in any order, by the text's index.  Pools are bounded by the search in front; a
+    passage that the corpus lacks is sent as an empty text.
+    """
+
+    corpus: DataFrame
+    model: str
+    post: Callable[[str, str, list[str]], tuple[int, list[dict]]]
+    attempts: int = 5
+
+    def rerank(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
+        model, post, attempts = self.model, self.post, self.attempts
+
+        def ask(pool: pd.DataFrame) -> pd.DataFrame:
+            pool = pool.sort_values("rank").reset_index(drop=True)
+            reply = with_retry(lambda: post(model, pool["query"][0], pool["text"].tolist()), attempts)
+            if sorted(r["index"] for r in reply) != list(range(len(pool))):
+                raise ValueError(f"{len(pool)} passages, {len(reply)} scores")
+            scores = {r["index"]: float(r["relevance_score"]) for r in reply}
+            return pool[["query_id", "doc_id"]].assign(score=[scores[i] for i in range(len(pool))])
+
+        pools = hits.select("query_id", "doc_id", "rank").join(queries.select("query_id", "query"), "query_id").join(self.corpus.select("doc_id", "text"), "doc_id", "left")
+        pools = pools.withColumn("text", F.coalesce("text", F.lit("")))
+        kinds = dict(pools.dtypes)
+        return _rescored(hits, pools.groupBy("query_id").applyInPandas(ask, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"))
+
+
 @dataclass
 class LexicalStrategy:
     """A deterministic pair scorer: the share of the query's distinct tokens that the passage has."""
@@ -126,23 +157,26 @@ class FusedNgramStrategy:
 class SiblingExpansionStrategy:
     """Adds the other passages of the hits' documents, scores all, and keeps the best of each document.
 
-    A passage that several hits bring in has the score of the first; hits keep their own.
+    A passage that several hits bring in has the score of the first; hits keep their own.  A hit without a
+    document is an error; unless strict, it stays, as a document of its own.
     """
 
     inner: RerankStrategy
     pid2did: DataFrame
+    strict: bool = True
 
     def expand(self, hits: DataFrame) -> DataFrame:
         of = self.pid2did.select("doc_id", "did")
-        siblings = hits.join(of, "doc_id").join(of.withColumnRenamed("doc_id", "sibling"), "did")
-        rows = siblings.select("query_id", F.col("sibling").alias("doc_id"), F.when(F.col("sibling") != F.col("doc_id"), F.col("doc_id")).alias("expanded_from"), "score", "rank")
+        around = hits.join(of, "doc_id").join(of.withColumnRenamed("doc_id", "sibling"), "did").where("sibling <> doc_id")
+        siblings = around.select("query_id", F.col("sibling").alias("doc_id"), F.col("doc_id").alias("expanded_from"), "score", "rank")
+        rows = hits.select("query_id", "doc_id", F.lit(None).cast("string").alias("expanded_from"), "score", "rank").unionByName(siblings)
         own = Window.partitionBy("query_id", "doc_id").orderBy(F.col("expanded_from").isNotNull(), "rank")
         one = rows.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
         return ranked(one, [F.col("rank"), F.col("expanded_from").isNotNull(), F.col("doc_id")])
 
     def rerank(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
         scored = self.inner.rerank(queries, self.expand(hits))
-        return dedupe_by_document(scored, self.pid2did).select("query_id", "doc_id", "score", "rank")
+        return dedupe_by_document(scored, self.pid2did, strict=self.strict).select("query_id", "doc_id", "score", "rank")
 
 
 @dataclass

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DISTANCES, maxsim
+from ..sources.encoders import Encoder, Slot, encode_column
+from ..sources.store import EmbeddingCache
 from .bm25 import SparseEncoder, idf
 from .ranking import DIGITS, dbsf, dedupe_by_document, rrf, top_k
 
-#: Query vectors that are sent to the workers at a time.
+#: Queries that are sent to all workers at once; more are dealt into groups that meet groups of documents.
 QUERY_BLOCK = 2048
+#: Queries, and bytes of document vectors, of the groups that meet.
+CELL_QUERIES, CELL_BYTES = 8192, 32 << 20
+#: Scores that a worker holds at a time.
+_HELD_SCORES = 4_000_000
 
 
 class Searcher(Protocol):
@@ -25,10 +32,21 @@ class Searcher(Protocol):
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame: ...
 
 
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """A list<float> array as a matrix, one row each."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row stays zero, and so scores 0 with everything."""
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1)
+
+
 def _scores(docs: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarray:
     """Higher is better; distances are negated."""
     if distance == "cosine":
-        return (docs / np.linalg.norm(docs, axis=1, keepdims=True)) @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
+        return _unit(docs) @ _unit(queries).T
     if distance == "dot":
         return docs @ queries.T
     out = np.empty((len(docs), len(queries)))
@@ -38,11 +56,95 @@ def _scores(docs: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarray:
     return out
 
 
+def _maxsims(docs: pa.Array, queries: pa.Array) -> np.ndarray:
+    """Late interaction of list<list<float>> arrays without empty lists."""
+    d, q = _flat(docs.flatten()), _flat(queries.flatten())
+    first = lambda x: np.cumsum([0, *pc.list_value_length(x).to_pylist()])[:-1]
+    return np.add.reduceat(np.maximum.reduceat(d @ q.T, first(docs), axis=0), first(queries), axis=1)
+
+
+def _best(names: np.ndarray, scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and queries of each query's best scores, ties by name; what is not a number is no hit."""
+    worse = -np.round(scores, DIGITS)
+    worse[np.isnan(worse)] = np.inf
+    kth = np.partition(worse, limit - 1, axis=0)[limit - 1] if len(names) > limit else np.full(scores.shape[1], np.inf)
+    d, q = np.nonzero((worse <= kth) & (worse < np.inf))  # the best of each query, with all that tie with the last
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))
+    by = np.lexsort((place[d], worse[d, q], q))
+    d, q = d[by], q[by]
+    nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    return d[nth < limit], q[nth < limit]
+
+
+_HITS = "query_id string, doc_id string, score double"
+
+
+def _nearest(docs: DataFrame, queries: DataFrame, score: Callable[[pa.Array, pa.Array], np.ndarray], limit: int) -> DataFrame:
+    """The best documents (doc_id, vec) of each query (query_id, vec) by a score of two columns of vectors.
+
+    A bounded number of queries goes to all workers, and documents stay where they are; more queries are dealt
+    into groups, each of which meets each group of documents in one task.  What is shuffled then are a few hits per
+    query and batch, never query-document pairs.
+    """
+
+    def hits(names: list[str], vecs: pa.Array, ids: np.ndarray, asked: pa.Array) -> Iterator[pa.RecordBatch]:
+        weight = len(asked.flatten()) if pa.types.is_list(asked.type.value_type) else len(asked)
+        per_doc = max(1, len(vecs.flatten()) // max(1, len(vecs))) if pa.types.is_list(vecs.type.value_type) else 1
+        step = max(1, _HELD_SCORES // max(1, weight * per_doc))
+        for at in range(0, len(names), step):
+            own, part = np.array(names[at : at + step], dtype=object), vecs.slice(at, step)
+            scores = score(part, asked)
+            d, q = _best(own, scores, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.string()), pa.array(own[d], pa.string()), pa.array(scores[d, q])], names=["query_id", "doc_id", "score"])
+
+    some = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if some.num_rows <= QUERY_BLOCK:
+        some = some.combine_chunks()
+        sent = docs.sparkSession.sparkContext.broadcast(some)
+
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = sent.value
+            if not asked.num_rows:
+                return
+            ids, q = np.array(asked["query_id"].to_pylist(), dtype=object), asked["vec"].combine_chunks()
+            for batch in batches:
+                if batch.num_rows:
+                    yield from hits(batch.column("doc_id").to_pylist(), batch.column("vec"), ids, q)
+
+        return top_k(docs.mapInArrow(of_batches, _HITS), limit)
+
+    def of_cell(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return _EMPTY
+        ids, q = np.array(asked["query_id"].to_pylist(), dtype=object), asked["vec"].combine_chunks()
+        found = pa.Table.from_batches(hits(own["doc_id"].to_pylist(), own["vec"].combine_chunks(), ids, q))
+        if not found.num_rows:
+            return found
+        # The best of a cell's slices, per query.
+        best = found.append_column("worse", pa.array(-np.round(found["score"].to_numpy(), DIGITS))).sort_by([("query_id", "ascending"), ("worse", "ascending"), ("doc_id", "ascending")])
+        of = np.array(best["query_id"].to_pylist(), dtype=object)
+        begins = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
+        nth = np.arange(len(of)) - np.repeat(begins, np.diff(np.append(begins, len(of))))
+        return best.filter(pa.array(nth < limit)).drop_columns(["worse"])
+
+    width = some["vec"].nbytes // some.num_rows
+    n_queries, n_docs = queries.count(), docs.count()
+    groups = -(-n_queries // CELL_QUERIES)
+    cells = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_docs * max(1, width) // CELL_BYTES))
+    asked = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("b"))
+    held = docs.select("doc_id", "vec", F.pmod(F.monotonically_increasing_id(), F.lit(cells)).cast("int").alias("b"))
+    held = held.select("doc_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("a"), "b")
+    return top_k(held.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(of_cell, _HITS), limit)
+
+
+_EMPTY = pa.table({"query_id": pa.array([], pa.string()), "doc_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+
 @dataclass
 class DenseSearcher:
-    """Exact nearest neighbours.  Query vectors go out in blocks of a fixed number; every batch of
-    documents is scored as one matrix product and keeps its own best, so what is shuffled is a
-    few hits per query and batch, not query-document pairs."""
+    """Exact nearest neighbours: every batch of documents is scored against a block of queries as one matrix
+    product and keeps its own best.  A vector of zeros scores 0 by cosine; null vectors are not searched."""
 
     vectors: DataFrame
     doc_id: str = "doc_id"
@@ -55,45 +157,22 @@ class DenseSearcher:
             raise ValueError(f"unknown distance: {self.distance}")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        block: list = []
-        found = None
-        for row in queries.select("query_id", self.query_vector).where(F.col(self.query_vector).isNotNull()).toLocalIterator():
-            block.append(row)
-            if len(block) == QUERY_BLOCK:
-                part, block = self._search_block(block, limit), []
-                found = part if found is None else found.unionByName(part)
-        if block or found is None:
-            part = self._search_block(block, limit)
-            found = part if found is None else found.unionByName(part)
-        return top_k(found, limit)
-
-    def _search_block(self, rows: list, limit: int) -> DataFrame:
-        docs = self.vectors.select(F.col(self.doc_id).cast("string").alias("doc_id"), F.col(self.vector).alias("vec")).where("vec is not null")
-        ids = [str(r[0]) for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64)
-        sent = docs.sparkSession.sparkContext.broadcast((ids, matrix))  # at most QUERY_BLOCK vectors
         distance = self.distance
+        docs = self.vectors.select(F.col(self.doc_id).cast("string").alias("doc_id"), F.col(self.vector).alias("vec")).where("vec is not null")
+        asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col(self.query_vector).alias("vec")).where("vec is not null")
+        return _nearest(docs, asked, lambda d, q: _scores(_flat(d), _flat(q), distance), limit)
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
-                m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1]).astype(np.float64)
-                scores = _scores(m, matrix, distance)
-                worse = -np.round(scores, DIGITS)
-                kth = np.partition(worse, limit - 1, axis=0)[limit - 1] if len(names) > limit else np.full(len(ids), np.inf)
-                d, q = np.nonzero(worse <= kth)  # the best of each query, with all that tie with the last
-                place = np.empty(len(names), np.int64)
-                place[np.argsort(names, kind="stable")] = np.arange(len(names))
-                by = np.lexsort((place[d], worse[d, q], q))
-                d, q = d[by], q[by]
-                nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-                d, q = d[nth < limit], q[nth < limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=object)[q], pa.string()), pa.array(names[d], pa.string()), pa.array(scores[d, q])], names=["query_id", "doc_id", "score"])
-
-        return docs.mapInArrow(best, "query_id string, doc_id string, score double")
+
+@dataclass
+class MaxSimSearcher:
+    """Exact late interaction over all documents (doc_id, vecs), in the same blocks; those without vectors are not searched."""
+
+    docs: DataFrame
+    vecs: str = "vecs"
+
+    def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
+        some = lambda rows, key: rows.select(F.col(key).cast("string").alias(key), F.col(self.vecs).alias("vec")).where("size(vec) > 0")
+        return _nearest(some(self.docs, "doc_id"), some(queries, "query_id"), _maxsims, limit)
 
 
 @dataclass
@@ -188,9 +267,31 @@ class UniqueDocSearcher:
     retriever: Searcher
     pid2did: DataFrame = field(repr=False)
     oversample: int = 5
+    strict: bool = True
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        return dedupe_by_document(self.retriever.search(queries, limit * self.oversample), self.pid2did, limit)
+        return dedupe_by_document(self.retriever.search(queries, limit * self.oversample), self.pid2did, limit, self.strict)
+
+
+def with_payload(hits: DataFrame, points: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Hits with the text of their points (empty where there is none) and a payload of the other columns.
+
+    A point whose payload has a doc_id of its own is shown by it, any other by its key.
+    """
+    others = [c for c in points.columns if c not in (key, text)]
+    held = points.select(F.col(key).cast("string").alias("_key"), (F.col(text) if text in points.columns else F.lit(None).cast("string")).alias("_text"), (F.struct(*others) if others else F.lit(None).cast("string")).alias("_payload"))
+    joined = hits.join(held, F.col("doc_id").cast("string") == F.col("_key"), "left")
+    shown = F.coalesce(F.col("_payload.doc_id").cast("string"), F.col("doc_id").cast("string")) if "doc_id" in others else F.col("doc_id").cast("string")
+    return joined.select("query_id", shown.alias("doc_id"), "score", "rank", F.coalesce("_text", F.lit("")).alias("text"), F.col("_payload").alias("payload"))
+
+
+def warm_up(cache: EmbeddingCache, slot: Slot, queries: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
+    """query, vec for the distinct texts of queries, prompt and all; those that the cache lacks are encoded and saved."""
+    texts = queries.select("query").where("query is not null").distinct()
+    prompted = F.concat(F.lit(slot.query_prompt or ""), F.col("query"))
+    items = texts.select(prompted.alias("item_id"), prompted.alias("text"), "query")
+    encode = lambda rows: encode_column(rows, make, f"{slot.backend}:{slot.model_id}", "item_id")
+    return cache.fill(slot.model_id, f"query-{slot.kind}", items.select("item_id", "text"), encode).join(items.select("item_id", "query"), "item_id").select("query", "vec")
 
 
 def missing_query_vectors(queries: DataFrame, cache: DataFrame) -> DataFrame:

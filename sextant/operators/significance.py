@@ -1,17 +1,22 @@
 """Paired comparison of runs: deltas, bootstrap intervals, permutation and signed-rank tests.
 
 Resampling is indexed by md5 of (seed, resample, place), so it is the same on every engine and
-partitioning.  The work per resample is one row per query; resamples are spread over tasks.
+partitioning.  The work per resample is one row per query; resamples are spread over tasks.  Python runs only on
+result rows, one per metric and two runs, for the tails of distributions that SQL lacks.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Resamples of the bootstrap and permutations of the randomisation tests.
+RESAMPLES = 10_000
+
 
 def hash_number(text: Column) -> Column:
     """The first 32 bits of md5 as a number."""
@@ -40,22 +45,36 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     return pairs.select("metric", "d", (F.row_number().over(own.orderBy("query_id")) - 1).alias("i"), F.count("*").over(own).alias("n"))
 
 
-def bootstrap_ci(pairs: DataFrame, resamples: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def _draws(rows: DataFrame, fields: list[str], resamples: int, seed: str) -> DataFrame:
+    """chunk, r, i, h and the fields of rows (metric, i, ...) for every resample r.
+
+    A place's hash is taken once for all metrics, and chunks of resamples are dealt over the tasks before they are written out.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = -(-resamples // (4 * tasks))
+    places = rows.groupBy("i").agg(F.collect_list(F.struct("metric", *fields)).alias("of"))  # one entry per metric
+    chunks = places.select("i", "of", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // size))).alias("chunk")).repartition(tasks, "chunk")
+    last = F.least((F.col("chunk") + 1) * size, F.lit(resamples)) - 1
+    drawn = chunks.select("chunk", "i", "of", F.explode(F.sequence(F.col("chunk") * size, last)).alias("r"))
+    hashed = drawn.select("chunk", "r", "i", "of", hash_number(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string"))).alias("h"))
+    return hashed.select("chunk", "r", "i", "h", F.explode("of").alias("x")).select("chunk", "r", "i", "h", "x.*")
+
+
+def bootstrap_ci(pairs: DataFrame, resamples: int = RESAMPLES, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """metric, ci_low, ci_high: percentiles of the mean difference over resamples with replacement."""
     rows = _numbered(pairs)
-    draws = rows.select("metric", "n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    pick = F.pmod(hash_number(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string"))), F.col("n")).cast("int")
-    picked = draws.select("metric", "r", pick.alias("i")).join(rows.select("metric", "i", "d"), ["metric", "i"])
-    means = picked.groupBy("metric", "r").agg(F.avg("d").alias("m"))
+    drawn = _draws(rows, ["n"], resamples, str(seed)).select("chunk", "metric", "r", F.pmod("h", "n").cast("int").alias("i"))
+    picked = drawn.join(rows.select("metric", "i", "d"), ["metric", "i"])
+    means = picked.groupBy("chunk", "metric", "r").agg(F.avg("d").alias("m"))
     return means.groupBy("metric").agg(F.percentile("m", F.lit((1 - ci) / 2)).alias("ci_low"), F.percentile("m", F.lit((1 + ci) / 2)).alias("ci_high"))
 
 
-def permutation_p(pairs: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
+def permutation_p(pairs: DataFrame, permutations: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """metric, p: (hits + 1) / (permutations + 1) for sign flips of the differences."""
     rows = _numbered(pairs)
-    flips = rows.select("metric", "d", "i", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("r"))
-    sign = F.when(hash_number(F.concat_ws(":", F.lit(str(seed)), F.lit("flip"), F.col("r").cast("string"), F.col("i").cast("string"))) % 2 == 0, 1.0).otherwise(-1.0)
-    means = flips.groupBy("metric", "r").agg(F.abs(F.avg(F.col("d") * sign)).alias("m"))
+    sign = F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
+    means = _draws(rows, ["d"], permutations, f"{seed}:flip").groupBy("chunk", "metric", "r").agg(F.abs(F.avg(F.col("d") * sign)).alias("m"))
     observed = rows.groupBy("metric").agg(F.abs(F.avg("d")).alias("o"))
     reached = F.round("m", 9) >= F.round("o", 9)
     return means.join(observed, "metric").groupBy("metric").agg(((F.sum(reached.cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
@@ -93,7 +112,63 @@ def compare_all_pairs(metrics: DataFrame) -> DataFrame:
     return both.groupBy("metric", "run_a", "run_b").agg(F.avg("d").alias("delta"), share(F.col("b") > F.col("a")).alias("win"), share(F.col("b") < F.col("a")).alias("loss"), F.when(F.round(spread, 9) > 0, F.avg("d") / spread).alias("t"))
 
 
-def fisher_p(metrics: DataFrame, permutations: int = 1000, seed: int = 42, max_p: float = 0.05) -> DataFrame:
+def student_p(t: float | None, freedom: float) -> float | None:
+    """Two-sided p of a t statistic: the tail of Student's distribution by Simpson's rule over its angle."""
+    if t is None or freedom <= 0:
+        return None
+    # With t = sqrt(freedom) * tan(angle), the density is cos(angle) ** (freedom - 1) up to a constant.
+    upto, steps = math.atan(abs(t) / math.sqrt(freedom)), 2000
+
+    def area(end: float) -> float:
+        h = end / steps
+        at = [math.cos(i * h) ** (freedom - 1) for i in range(steps + 1)]
+        return h / 3 * (at[0] + at[-1] + 4 * sum(at[1:-1:2]) + 2 * sum(at[2:-1:2]))
+
+    return max(0.0, 1 - area(upto) / area(math.pi / 2))
+
+
+def studentized_range_p(q: float, runs: int, freedom: float) -> float:
+    """P(range of `runs` standard normals over an independent deviation of so many degrees of freedom >= q)."""
+    z = np.linspace(-8, 8, 801)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    below = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    s = np.linspace(max(1e-3, 1 - 8 / math.sqrt(2 * freedom)), 1 + 8 / math.sqrt(2 * freedom), 241)
+    logs = (freedom - 1) * np.log(s) - freedom * s * s / 2
+    weight = np.exp(logs - logs.max())
+    within = [float(np.trapezoid(runs * density * np.clip(np.interp(z + q * v, z, below, right=1.0) - below, 0, 1) ** (runs - 1), z)) for v in s]
+    return float(min(1.0, max(0.0, 1 - np.trapezoid(weight * np.array(within), s) / np.trapezoid(weight, s))))
+
+
+def student_test(metrics: DataFrame, max_p: float = 0.05) -> DataFrame:
+    """metric, run_a, run_b, p, significant by the paired t test, of every two runs; p is null without spread."""
+    counts = metrics.groupBy("metric", "run").count().groupBy("metric").agg(F.min("count").alias("n"))
+    rows = compare_all_pairs(metrics).join(counts, "metric")  # a row per metric and two runs
+    of = F.udf(lambda t, n: student_p(t, n - 1), "double")
+    return rows.select("metric", "run_a", "run_b", of("t", "n").alias("p")).withColumn("significant", F.coalesce(F.col("p") <= max_p, F.lit(False)))
+
+
+def tukey_test(metrics: DataFrame, max_p: float = 0.05) -> DataFrame:
+    """metric, run_a, run_b, p, significant by Tukey's honest significant differences over all runs, queries as blocks."""
+    by_query, by_run, all_ = Window.partitionBy("metric", "query_id"), Window.partitionBy("metric", "run"), Window.partitionBy("metric")
+    left = metrics.select("metric", "query_id", "run", "value", F.avg("value").over(by_query).alias("q"), F.avg("value").over(by_run).alias("m"), F.avg("value").over(all_).alias("g"))
+    error = left.groupBy("metric").agg(F.sum(F.pow(F.col("value") - F.col("q") - F.col("m") + F.col("g"), 2)).alias("ss"), F.count_distinct("run").alias("k"), F.count_distinct("query_id").alias("n"))
+    rows = compare_all_pairs(metrics).join(error, "metric")
+    freedom = (F.col("k") - 1) * (F.col("n") - 1)
+    q = F.abs("delta") / F.sqrt(F.col("ss") / F.nullif(freedom, F.lit(0)) / F.col("n"))
+    of = F.udf(lambda q, k, f: None if q is None or not f else studentized_range_p(q, k, f), "double")
+    spread = F.when(F.round("ss", 12) > 0, q)
+    return rows.select("metric", "run_a", "run_b", of(spread, "k", freedom).alias("p")).withColumn("significant", F.coalesce(F.col("p") <= max_p, F.lit(False)))
+
+
+def compare_pair(metrics: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+    """One row per metric: means, delta, win, loss, tie, bootstrap interval, signed-rank and permutation p of run b against run a."""
+    pairs = paired(metrics, a, b)
+    of = F.udf(two_sided_p, "double")
+    ranks = wilcoxon(pairs).select("metric", of("z").alias("wilcoxon_p"))
+    return pair_summary(pairs).join(bootstrap_ci(pairs, resamples, seed=seed), "metric").join(ranks, "metric").join(permutation_p(pairs, resamples, seed), "metric")
+
+
+def fisher_p(metrics: DataFrame, permutations: int = RESAMPLES, seed: int = 42, max_p: float = 0.05) -> DataFrame:
     """metric, run_a, run_b, p, significant for every two runs: the sign-flip (randomisation) test for each."""
     left = metrics.select(F.col("run").alias("run_a"), "query_id", "metric", F.col("value").alias("a"))
     right = metrics.select(F.col("run").alias("run_b"), "query_id", "metric", F.col("value").alias("b"))

@@ -9,7 +9,7 @@ import re
 
 from ..functions.text import ENTITY_PATTERNS, TOKEN_PATTERN
 from ..operators.rag import CLOSING, EXCERPTS_HEADING, QUESTION_PREFIX, TOP_K
-from .queries import RESAMPLES
+from ..operators.significance import RESAMPLES
 
 _WORD = r"[^ \t\n\r\f]+"
 _TOKENS = "list_transform(regexp_extract_all(lower({0}), '" + TOKEN_PATTERN + "'), lambda t: rtrim(t, '.'))"
@@ -61,7 +61,7 @@ TABLES = {
     "fusable": f"select query_id, doc_id, score, {_BEST} rank, 1 arm from bm1 qualify rank <= 50 union all select query_id, doc_id, score, {_BEST} rank, 2 arm from bm2 qualify rank <= 50",
     "sib": "select distinct d.query_id, p.doc_id from (select distinct q.query_id, p.did from qrels q join pid2did p using (doc_id)) d join pid2did p using (did) where (d.query_id, p.doc_id) not in (select query_id, doc_id from qrels)",
     "sibq": "select query_id, doc_id, 2::integer grade from qrels union all select query_id, doc_id, 1::integer from sib",
-    "pool": f"select query_id, doc_id, score, {_BEST} in_rank from bm1 qualify in_rank <= 30",
+    "pool": f"select query_id, doc_id, score, {_BEST} in_rank from bm1 qualify in_rank <= 100",
     "training": """select row_id, md5(query) query_id, query, pos, neg from (select conv_id row_id, arg_min(text, turn) filter (role = 'user') query,
         list({'docid': md5(text), 'text': text} order by turn) filter (role = 'assistant') pos, list({'docid': md5(text), 'text': text} order by turn) filter (role <> 'assistant') neg from conversations group by conv_id) where query is not null""",
     "lasts": "select *, min(row_id) over (partition by query_id) q_ord from training qualify row_number() over (partition by query_id order by row_id desc) = 1",
@@ -200,8 +200,8 @@ ORACLE = {
     "hybrid_dbsf": _top("(select query_id, doc_id, sum(case when d > 0 then (score - (m - 3 * d)) / (6 * d) else 0.5 end) score from (select *, avg(score) over (partition by query_id, arm) m, stddev_samp(score) over (partition by query_id, arm) d from fusable) group by all)", 10),
     "hybrid_rerank_maxsim": _top(
         "(select query_id, doc_id, score from maxsim where (query_id, doc_id) in (select query_id, doc_id from (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) pr from (select query_id, doc_id, sum(1.0::double / (1 + rank)) score from ("
-        f"select *, {_BEST} rank from head_hits qualify rank <= 50 union all select *, {_BEST} rank from tail_hits qualify rank <= 50) group by all)) where pr <= 10))",
-        5,
+        f"select *, {_BEST} rank from head_hits qualify rank <= 500 union all select *, {_BEST} rank from tail_hits qualify rank <= 500) group by all)) where pr <= 100))",
+        10,
     ),
     "maxsim_topk": _top("maxsim", 10),
     "dedupe_by_doc": _cut("select * from (" + _DEDUPED.format(_BM1_50) + ") where rank <= 10"),
@@ -209,9 +209,9 @@ ORACLE = {
     "rerank_pairwise": _cut(
         "select *, row_number() over (partition by query_id order by round(score, 6) desc, in_rank) rank from (select p.query_id, p.doc_id, in_rank, len(list_intersect(list_distinct(q.t), d.t)) / greatest(len(list_distinct(q.t)), 1)::double score from pool p join qtok q using (query_id) join ptok d using (doc_id)) qualify rank <= 10"
     ),
-    "rerank_maxsim": _cut(f"select h.query_id, h.doc_id, x.score, row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 30) h join maxsim x using (query_id, doc_id) qualify row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) <= 10"),
+    "rerank_maxsim": _cut(f"select h.query_id, h.doc_id, x.score, row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 100) h join maxsim x using (query_id, doc_id) qualify row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) <= 10"),
     "rerank_filtered_maxsim": _cut(
-        f"select h.query_id, h.doc_id, coalesce(x.score, h.score) score, row_number() over (partition by h.query_id order by (x.score is null)::int, round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 30) h left join (select * from maxsim where doc_id::bigint % 2 = 0) x using (query_id, doc_id)"
+        f"select h.query_id, h.doc_id, coalesce(x.score, h.score) score, row_number() over (partition by h.query_id order by (x.score is null)::int, round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 100) h left join (select * from maxsim where doc_id in (select doc_id from mv where len(vecs) = 8)) x using (query_id, doc_id) qualify rank <= 10"
     ),
     "rerank_ngram_bm25": _cut(f"select * from ({_BM2_POOL}) where rank <= 10"),
     "rerank_fused_ngram": _cut(f"select query_id, doc_id, f score, row_number() over (partition by query_id order by round(f, 12) desc, in_rank) rank from (select query_id, doc_id, in_rank, 1.0::double / (60 + in_rank) + 1.0::double / (60 + rank) f from ({_BM2_POOL})) qualify rank <= 10"),

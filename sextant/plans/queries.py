@@ -16,12 +16,12 @@ from ..operators.ann import HyperplaneIndex
 from ..operators.bm25 import NgramStats, SparseEncoder, query_grams
 from ..operators.ranking import dedupe_by_document, top_k
 from ..operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LateInteractionStrategy, LexicalStrategy, NgramBM25Strategy, Reranker, SiblingExpansionStrategy
-from ..operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, SparseSearcher, UniqueDocSearcher, missing_query_vectors
+from ..operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, MaxSimSearcher, SparseSearcher, UniqueDocSearcher, missing_query_vectors
 from ..sources import ingest, store
+from ..sources.staging import staged
 from .roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-RESAMPLES = 1000
 
 
 def query(f: Callable[[Roles], DataFrame]) -> Callable[[Roles], DataFrame]:
@@ -127,18 +127,18 @@ def warmup_missing(r: Roles) -> DataFrame:
 
 @query
 def tokenize(r: Roles) -> DataFrame:
-    return r.table("documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+    return r.documents().select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query
 def ngrams(r: Roles) -> DataFrame:
-    tokens = r.table("documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
+    tokens = r.documents().select("doc_id", T.tokenize(F.col("text")).alias("tokens"))
     return tokens.select("doc_id", F.array_join(T.ngrams(F.col("tokens"), 2), " ").alias("grams"))
 
 
 @query
 def term_freq(r: Roles) -> DataFrame:
-    grams = r.table("documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("gram"))
+    grams = r.documents().select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("gram"))
     return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("tf"))
 
 
@@ -154,7 +154,7 @@ def ngram_idf(r: Roles) -> DataFrame:
 
 @query
 def quoted_flag(r: Roles) -> DataFrame:
-    return r.table("documents").select("doc_id", T.has_quote(F.col("text")).alias("quoted"))
+    return r.documents().select("doc_id", T.has_quote(F.col("text")).alias("quoted"))
 
 
 @query
@@ -164,7 +164,7 @@ def entities(r: Roles) -> DataFrame:
 
 @query
 def word_counts(r: Roles) -> DataFrame:
-    return r.table("documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return r.documents().select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
 @query
@@ -217,10 +217,10 @@ def dense_topk_l1(r: Roles) -> DataFrame:
 
 def sparse_search(r: Roles, with_idf: bool, limit: int) -> DataFrame:
     """Grams stand for their hashes, so that no collision comes between this and its SQL."""
-    enc = SparseEncoder().fit(r.passages())
-    postings = enc.encode_grams(r.passages()).withColumnRenamed("gram", "idx")
-    encoded = query_grams(r.queries(), 2).select("query_id", F.col("gram").alias("idx"), F.lit(1.0).alias("val"))
-    return SparseSearcher(postings, r.passages().count(), with_idf=with_idf).search_encoded(encoded, limit)
+    asked = query_grams(r.queries(), 2).select("query_id", "gram")
+    _, postings, n_docs = SparseEncoder().fit_postings(r.passages(), asked)
+    encoded = asked.select("query_id", F.col("gram").alias("idx"), F.lit(1.0).alias("val"))
+    return SparseSearcher(postings.withColumnRenamed("gram", "idx"), n_docs, with_idf=with_idf).search_encoded(encoded, limit)
 
 
 @query
@@ -250,14 +250,13 @@ def _arms(r: Roles) -> list[DenseSearcher]:
 
 @query
 def hybrid_rerank_maxsim(r: Roles) -> DataFrame:
-    s = HybridRerankSearcher(_arms(r), MaxSimScorer(r.multivectors()), multiplier=2)
-    return hits(s.search(r.query_multivectors(), 5))
+    s = HybridRerankSearcher(_arms(r), MaxSimScorer(r.multivectors()))
+    return hits(s.search(r.query_multivectors(), 10))
 
 
 @query
 def maxsim_topk(r: Roles) -> DataFrame:
-    pairs = r.multivectors().select("doc_id").join(F.broadcast(r.query_multivectors().select("query_id")))  # the stated query set against all rows
-    return hits(top_k(MaxSimScorer(r.multivectors()).score(r.query_multivectors(), pairs), 10))
+    return hits(MaxSimSearcher(r.multivectors()).search(r.query_multivectors(), 10))
 
 
 @query
@@ -279,7 +278,7 @@ def unique_doc_topk(r: Roles) -> DataFrame:
 
 
 def _reranked(r: Roles, strategy, stats: NgramStats | None = None) -> DataFrame:
-    return hits(Reranker(Bm25Searcher(stats or r.stats(), 1), strategy, multiplier=3).search(r.queries(), 10))
+    return hits(Reranker(Bm25Searcher(stats or r.stats(), 1), strategy).search(r.queries(), 10))
 
 
 @query
@@ -289,13 +288,13 @@ def rerank_pairwise(r: Roles) -> DataFrame:
 
 @query
 def rerank_maxsim(r: Roles) -> DataFrame:
-    return hits(Reranker(_arms(r)[0], LateInteractionStrategy(MaxSimScorer(r.multivectors())), multiplier=3).search(r.query_multivectors(), 10))
+    return hits(Reranker(_arms(r)[0], LateInteractionStrategy(MaxSimScorer(r.multivectors()))).search(r.query_multivectors(), 10))
 
 
 @query
 def rerank_filtered_maxsim(r: Roles) -> DataFrame:
-    indexed = MaxSimScorer(r.multivectors().where("m % 2 = 0"))
-    return hits(Reranker(_arms(r)[0], FilteredLateInteractionStrategy(indexed), multiplier=1).search(r.query_multivectors(), 30))
+    indexed = MaxSimScorer(r.multivectors().where("size(vecs) = 8"))  # the last document may have fewer vectors: it lacks in the index
+    return hits(Reranker(_arms(r)[0], FilteredLateInteractionStrategy(indexed)).search(r.query_multivectors(), 10))
 
 
 @query
@@ -379,11 +378,12 @@ def doc_level_diagnosis(r: Roles) -> DataFrame:
 
 
 def _metrics_of(r: Roles, *names: str) -> DataFrame:
+    """run, query_id, metric, value; written, as every comparison reads it several times."""
     out = None
     for n in names:
         one = _per_query(r, name=n).withColumn("run", F.lit(n))
         out = one if out is None else out.unionByName(one)
-    return out
+    return staged(out, "metrics")
 
 
 def _pairs(r: Roles) -> DataFrame:
@@ -397,12 +397,12 @@ def pairwise_stats(r: Roles) -> DataFrame:
 
 @query
 def bootstrap_ci(r: Roles) -> DataFrame:
-    return rounded(S.bootstrap_ci(_pairs(r), RESAMPLES))
+    return rounded(S.bootstrap_ci(_pairs(r)))
 
 
 @query
 def permutation_p(r: Roles) -> DataFrame:
-    return rounded(S.permutation_p(_pairs(r), RESAMPLES))
+    return rounded(S.permutation_p(_pairs(r)))
 
 
 @query
@@ -417,7 +417,7 @@ def compare_all_pairs(r: Roles) -> DataFrame:
 
 @query
 def fisher_p(r: Roles) -> DataFrame:
-    return rounded(S.fisher_p(_metrics_of(r, "tf", "words", "pairs"), RESAMPLES))
+    return rounded(S.fisher_p(_metrics_of(r, "tf", "words", "pairs")))
 
 
 # ---- diagnostics
@@ -425,17 +425,17 @@ def fisher_p(r: Roles) -> DataFrame:
 
 @query
 def corpus_stats(r: Roles) -> DataFrame:
-    return rounded(D.corpus_stats(r.table("documents")))
+    return rounded(D.corpus_stats(r.documents()))
 
 
 @query
 def needs_chunking(r: Roles) -> DataFrame:
-    return D.needs_chunking(D.corpus_stats(r.table("documents")))
+    return D.needs_chunking(D.corpus_stats(r.documents()))
 
 
 @query
 def word_stats(r: Roles) -> DataFrame:
-    return rounded(D.word_stats(r.table("documents")))
+    return rounded(D.word_stats(r.documents()))
 
 
 @query
@@ -484,7 +484,7 @@ def entity_signal(r: Roles) -> DataFrame:
 
 def _ranks(r: Roles) -> DataFrame:
     stats = r.stats()
-    return D.ngram_ranks(stats, r.qrels(), r.negatives(stats), r.queries())
+    return D.ngram_ranks(stats, r.qrels(), r.negatives(), r.queries())
 
 
 @query

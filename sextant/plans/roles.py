@@ -1,9 +1,12 @@
-"""Corpus, queries, labels, vectors and so on, derived from whole tables."""
+"""Corpus, queries, labels, vectors and so on, derived from whole tables.
+
+What several parts of a plan read (passages, labels, statistics, negatives) is written once per query, so that the
+documents are read and cut once.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 from ..operators.bm25 import NgramStats
 from ..operators.ranking import top_k
+from ..sources.staging import place, spread, staged
 
 PASSAGE_WORDS = 350
 N_NEGATIVES = 20
+#: Labelled queries up to this number are broadcast when their passages are looked for.
+BROADCAST_QUERIES = 20_000
+#: Queries without an inner word that are held against all passages at a time.
+SHORT_QUERIES = 500
 
 
 class Roles:
@@ -25,17 +33,25 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents").select("doc_id", "text"))
+
     def scratch(self, name: str) -> str:
         """A new place in the folder that all executors share."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sextant-')}"
-        return f"{base}/{name}-{uuid.uuid4().hex}"
+        return place(self.spark, name)
+
+    @cached_property
+    def _passages(self) -> DataFrame:
+        words = self.documents().select("doc_id", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0)).alias("w"))
+        # A document without words has no cut: the sequence is empty, and its words are not looked for twice.
+        last = F.floor((F.size("w") - 1) / PASSAGE_WORDS).cast("int")
+        cuts = words.select("doc_id", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.size("w") > 0), lambda c: F.struct(c.alias("c"), F.array_join(F.slice("w", c * PASSAGE_WORDS + 1, F.lit(PASSAGE_WORDS)), " ").alias("text")))).alias("x"))
+        did = F.col("doc_id").cast("string")
+        return staged(cuts.select(F.concat_ws("_", did, F.col("x.c").cast("string")).alias("doc_id"), did.alias("did"), F.col("x.text").alias("text")), "passages")
 
     def passages(self) -> DataFrame:
         """doc_id, did, text: documents in windows of 350 words."""
-        words = self.table("documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
-        cuts = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PASSAGE_WORDS).cast("int"))).alias("c"))
-        text = F.array_join(F.slice("w", F.col("c") * PASSAGE_WORDS + 1, F.lit(PASSAGE_WORDS)), " ")
-        return cuts.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("c").cast("string")).alias("doc_id"), F.col("doc_id").cast("string").alias("did"), text.alias("text"))
+        return self._passages
 
     def pid2did(self) -> DataFrame:
         return self.passages().select("doc_id", "did")
@@ -44,33 +60,55 @@ class Roles:
         return self.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("item_id").alias("q_ord"), normalised(F.col("text")).alias("query"))
 
     def qrels(self) -> DataFrame:
-        """Passages that contain a query word for word.
+        """Passages that contain a query word for word: query_id, doc_id, grade."""
+        return self._qrels
+
+    @cached_property
+    def _qrels(self) -> DataFrame:
+        """A passage has to have the query's longest inner word, so only those are joined and looked at.
 
-        A passage has to have the query's longest inner word, so only those are joined and looked at.
-        Queries of one or two words have none and are held against all passages.
+        Queries of one or two words have none; they are held against all passages, a bounded number at a time.
         """
         q = self.queries().select("query_id", "query", F.split("query", " ").alias("w"))
         inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
         anchor = F.array_max(F.transform(inner, lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x"))))["x"]
-        q = q.withColumn("anchor", anchor)
+        q = staged(q.select("query_id", "query", anchor.alias("anchor")), "labelled-queries")
         p = self.passages().select("doc_id", "text")
+        long = q.where("anchor is not null")
+        if long.count() <= BROADCAST_QUERIES:
+            long = F.broadcast(long)
         words = p.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("anchor"))
-        long = words.join(F.broadcast(q.where("anchor is not null").select("query_id", "query", "anchor")), "anchor") if self._few_queries() else words.join(q.where("anchor is not null").select("query_id", "query", "anchor"), "anchor")
-        short = p.join(q.where("anchor is null").select("query_id", "query"), F.contains("text", "query"))
-        found = long.where(F.contains("text", "query")).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
-        return found.distinct().withColumn("grade", F.lit(1))
-
-    def _few_queries(self) -> bool:
-        return self.table("benchmark").count() <= 100_000
-
-    def stats(self, max_n: int = 2) -> NgramStats:
-        return NgramStats.build(self.passages(), self.queries(), max_n)
+        found = words.join(long, "anchor").where(F.contains("text", "query")).select("query_id", "doc_id")
+        block: list[tuple[str, str]] = []
+
+        def held_against(block: list[tuple[str, str]]) -> DataFrame:
+            asked = F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("query")) for i, t in block))
+            return p.select("doc_id", F.explode(F.filter(asked, lambda x: F.contains(F.col("text"), x["query"]))).alias("x")).select("x.query_id", "doc_id")
+
+        for row in q.where("anchor is null and query is not null").toLocalIterator():
+            block.append((row.query_id, row.query))
+            if len(block) == SHORT_QUERIES:
+                found, block = found.unionByName(held_against(block)), []
+        if block:
+            found = found.unionByName(held_against(block))
+        return staged(found.distinct().withColumn("grade", F.lit(1)), "labels")
+
+    @cached_property
+    def _stats(self) -> NgramStats:
+        return NgramStats.build(self.passages(), self.queries())
+
+    def stats(self) -> NgramStats:
+        return self._stats
+
+    @cached_property
+    def _negatives(self) -> DataFrame:
+        gold = self.qrels()
+        scores = self.stats().score(1).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+        return staged(top_k(scores.join(gold, ["query_id", "doc_id"], "left_anti"), N_NEGATIVES).select("query_id", "doc_id"), "negatives")
 
-    def negatives(self, stats: NgramStats | None = None) -> DataFrame:
+    def negatives(self) -> DataFrame:
         """The 20 best unigram BM25 passages of each labelled query that are not its gold."""
-        gold = self.qrels()
-        scores = (stats or self.stats()).score(1).join(gold.select("query_id").distinct(), "query_id", "left_semi")
-        return top_k(scores.join(gold, ["query_id", "doc_id"], "left_anti"), N_NEGATIVES).select("query_id", "doc_id")
+        return self._negatives
 
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.col("embedding").alias("vec"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.vectors import norm
 
 KINDS = ("dense", "sparse", "late_interaction")
 BACKENDS = ("local", "sentence", "http", "ngram")
-#: HTTP answers that are worth another try.
+# HTTP answers that are worth another try.
 RETRIED = frozenset({429, 500, 502, 503, 504})
 
 
@@ -40,6 +44,13 @@ class Slot:
         if self.kind in ("dense", "late_interaction") and not self.size:
             raise ValueError(f"slot {self.name} needs a size")
 
+    def api_key(self, variable: str, environment: Mapping[str, str] = os.environ) -> str:
+        """The key among the options, or else in the environment; an HTTP slot without one is an error."""
+        key = self.options.get("api_key") or environment.get(variable)
+        if not key:
+            raise ValueError(f"slot {self.name} needs an API key: the option api_key, or {variable}")
+        return key
+
     def encoder_options(self) -> dict[str, Any]:
         """Options for the encoder; n-gram slots have defaults, and API keys are kept apart."""
         own = {"max_n": 2, "k1": 1.5, "b": 0.75} if self.backend == "ngram" else {}
@@ -88,6 +99,37 @@ class HttpEncoder:
 _MADE: dict[str, Encoder] = {}
 
 
+class Encoders:
+    """Makers of encoders by backend; what they make depends on the slot alone, and each worker makes it once."""
+
+    def __init__(self, **makers: Callable[[Slot], Encoder]):
+        unknown = set(makers) - set(BACKENDS)
+        if unknown:
+            raise ValueError(f"unknown backends: {sorted(unknown)}")
+        self.makers = makers
+
+    def _made(self, slot: Slot) -> Callable[[], Encoder]:
+        if slot.backend not in self.makers:
+            raise ValueError(f"no encoder for the backend {slot.backend}")
+        maker = self.makers[slot.backend]
+        return lambda: maker(slot)
+
+    def documents(self, slot: Slot, rows: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+        """id, vec of every row; vectors of a slot by cosine have length one."""
+        return self._scaled(slot, encode_column(rows, self._made(slot), f"{slot.backend}:{slot.model_id}:{slot.name}", id_column, text))
+
+    def queries(self, slot: Slot, queries: DataFrame) -> DataFrame:
+        """query_id, vec of every query (query_id, query), which the slot's prompt goes before."""
+        asked = queries.select("query_id", F.concat(F.lit(slot.query_prompt or ""), F.col("query")).alias("text"))
+        return self.documents(slot, asked, "query_id")
+
+    def _scaled(self, slot: Slot, vectors: DataFrame) -> DataFrame:
+        if slot.kind != "dense" or slot.distance != "cosine":
+            return vectors
+        size = norm(F.col("vec"))
+        return vectors.withColumn("vec", F.when(size > 0, F.transform("vec", lambda x: (x / size).cast("float"))).otherwise(F.col("vec")))
+
+
 def encode_column(rows: DataFrame, make: Callable[[], Encoder], key: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id and vec for every row, in Arrow batches; each worker makes the encoder of `key` once."""
 

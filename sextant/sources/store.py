@@ -1,14 +1,16 @@
 """A store of points (one row per document, one column per slot) and a cache of embeddings, as Parquet.
 
-Writes go to a new version folder that a one-line pointer table names afterwards, so readers see
-a whole version or the one before it, and a failed write changes nothing.
+Writes go to a new version folder that a numbered one-line pointer names afterwards.  Pointers are never
+overwritten: readers take the highest number, so they see a whole version or the one before it, a failed write
+changes nothing, and of two writers that started from the same version the second fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,19 +26,30 @@ def latest(points: DataFrame, key: str = "id", version: str = "version") -> Data
     return points.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
+def one_each(items: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """One item of each key: the last version, or else, versions or none, the one that is last by its written form."""
+    by = [F.col(version).desc()] if version else []
+    own = Window.partitionBy(key).orderBy(*by, F.to_json(F.struct(*items.columns)).desc())
+    return items.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n").select(*items.columns)
+
+
 def new_points(items: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Items whose key the store does not have; only the key column of the store is read."""
-    return items.join(existing.select(key), key, "left_anti")
+    """Items whose key the store does not have, one of each key; only the key column of the store is read."""
+    return one_each(items.join(existing.select(key), key, "left_anti"), key)
 
 
-def upserted(existing: DataFrame, items: DataFrame, key: str = "id") -> DataFrame:
-    """The store after items replaced the points of the same key."""
+def upserted(existing: DataFrame, items: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """The store after items, one of each key, replaced the points of the same key; with a version, only older points or equals."""
+    items = one_each(items, key, version)
+    if version:
+        held = existing.select(key, F.col(version).alias("_held"))
+        items = items.join(held, key, "left").where(F.col("_held").isNull() | (F.col(version) >= F.col("_held"))).select(*items.columns)
     return existing.join(items.select(key), key, "left_anti").unionByName(items, allowMissingColumns=True)
 
 
 def backfilled(points: DataFrame, slot: str, values: DataFrame, key: str = "id") -> DataFrame:
     """Points with one slot filled from values (key, slot); other slots, and points without a value, stay."""
-    filled = values.select(key, F.col(slot).alias("_new"))
+    filled = one_each(values.select(key, slot), key).select(key, F.col(slot).alias("_new"))
     joined = points.join(filled, key, "left")
     return joined.withColumn(slot, F.coalesce("_new", slot)).select(*points.columns)
 
@@ -48,38 +61,76 @@ class PointStore:
     spark: SparkSession
     path: str
 
-    def _pointer(self) -> str:
-        return f"{self.path}/current"
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers there are."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = place.getFileSystem(conf)
+        if not files.exists(place):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(place)]
+        whole = [n for n in names if n.startswith("current-") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.removeprefix("current-")) for n in whole)
 
     def exists(self) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        place = jvm.org.apache.hadoop.fs.Path(self._pointer())
-        return place.getFileSystem(conf).exists(place)
+        return bool(self._numbers())
+
+    def _current(self) -> tuple[int, str, str]:
+        """Number, version folder and slots of the newest pointer."""
+        numbers = self._numbers()
+        if not numbers:
+            raise ValueError(f"no collection at {self.path}")
+        row = self.spark.read.parquet(f"{self.path}/current-{numbers[-1]}").first()
+        return numbers[-1], row["version"], row["slots"]
 
     def read(self) -> DataFrame:
-        version = self.spark.read.parquet(self._pointer()).first()["version"]
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        return self.spark.read.parquet(f"{self.path}/{self._current()[1]}")
 
-    def _commit(self, points: DataFrame) -> None:
+    def slots(self) -> dict[str, Slot]:
+        """The slots that the collection was made with or given since, by name."""
+        return {x["name"]: Slot(**x) for x in json.loads(self._current()[2])} if self.exists() else {}
+
+    def _commit(self, points: DataFrame, slots: dict[str, Slot] | None = None) -> None:
+        before = self._current() if self.exists() else (0, "", "[]")
+        defined = before[2] if slots is None else json.dumps([asdict(x) for x in slots.values()])
         version = f"v-{uuid.uuid4().hex}"
         points.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(self._pointer())
-
-    def ensure(self, schema: StructType, recreate: bool = False) -> None:
-        """Creates an empty collection; nothing happens if there is one, unless it is to be recreated."""
+        row = self.spark.createDataFrame([(version, defined)], "version string, slots string")
+        row.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/current-{before[0] + 1}")
+
+    def ensure(self, schema: StructType, recreate: bool = False, slots: Iterable[Slot] = ()) -> None:
+        """Creates an empty collection with its slots; where there is one, its slots have to be the same, unless it is to be recreated."""
+        wanted = {x.name: x for x in slots}
+        unknown = [n for n in wanted if n not in schema.names]
+        if unknown:
+            raise ValueError(f"no columns for the slots {unknown}")
         if recreate or not self.exists():
-            self._commit(self.spark.createDataFrame([], schema))
-
-    def upload(self, items: DataFrame, key: str = "id", skip_existing: bool = True) -> None:
+            self._commit(self.spark.createDataFrame([], schema), wanted)
+            return
+        for name, have in self.slots().items():
+            if name in wanted and (have.kind, have.size, have.distance) != (wanted[name].kind, wanted[name].size, wanted[name].distance):
+                raise ValueError(f"slot {name} is {have.kind} of size {have.size} by {have.distance}")
+
+    def _checked(self, items: DataFrame) -> DataFrame:
+        """Items with an error for every dense vector that has not its slot's size."""
+        for name, slot in self.slots().items():
+            if name in items.columns and slot.size and slot.kind == "dense":
+                size = F.size(name)
+                wrong = F.raise_error(F.concat(F.lit(f"slot {name} has {slot.size} places, a vector "), size.cast("string")))
+                items = items.withColumn(name, F.when(F.col(name).isNotNull() & (size != slot.size), wrong).otherwise(F.col(name)))
+        return items
+
+    def upload(self, items: DataFrame, key: str = "id", skip_existing: bool = True, version: str | None = None) -> None:
+        """Adds items; points of the same key stay, or are replaced, with a version only by one that is not older."""
         if items.schema[key].dataType.simpleString() not in ("bigint", "int", "string"):
             raise TypeError(f"{key} has to be a number or a string")
-        have = self.read()
-        self._commit(have.unionByName(new_points(items, have, key), allowMissingColumns=True) if skip_existing else upserted(have, items, key))
+        have, items = self.read(), self._checked(items)
+        self._commit(have.unionByName(new_points(items, have, key), allowMissingColumns=True) if skip_existing else upserted(have, items, key, version))
 
     def add_slot(self, slot: Slot, of: str = "array<struct<idx:bigint,val:double>>") -> None:
         have = self.read()
         if slot.name not in have.columns:
-            self._commit(have.withColumn(slot.name, F.lit(None).cast(of)))
+            self._commit(have.withColumn(slot.name, F.lit(None).cast(of)), self.slots() | {slot.name: slot})
 
     def backfill(self, slot: str, values: DataFrame, key: str = "id") -> None:
         have = self.read()
@@ -110,11 +161,11 @@ class EmbeddingCache:
     def save(self, model: str, kind: str, vectors: DataFrame) -> None:
         store = PointStore(self.spark, self._place(model, kind))
         have = self.load(model, kind)
-        store._commit(have.join(vectors.select("item_id"), "item_id", "left_anti").unionByName(vectors.select(*have.columns)))
+        store._commit(upserted(have, vectors.select(*have.columns), "item_id"))
 
     def fill(self, model: str, kind: str, items: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """item_id, vec for all items (item_id, text): cached ones, and the others encoded and saved."""
-        keyed = items.select("item_id", "text", F.xxhash64("text").alias("text_hash"))
+        keyed = one_each(items.select("item_id", "text"), "item_id").select("item_id", "text", F.xxhash64("text").alias("text_hash"))
         have = self.load(model, kind)
         missing = keyed.join(have, ["item_id", "text_hash"], "left_anti")
         fresh = encode(missing.select("item_id", "text")).join(missing.select("item_id", "text_hash"), "item_id")

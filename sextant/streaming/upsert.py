@@ -1,4 +1,7 @@
-"""A stream of points into a store: each micro-batch is one upsert of the last version of each key."""
+"""A stream of points into a store: each micro-batch is one upsert of the last version of each key.
+
+A late batch with an older version than the store has changes nothing, and a batch that is run again neither.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,6 @@ def upsert_stream(points: DataFrame, store: PointStore, checkpoint: str, key: st
     store.ensure(points.schema)
 
     def apply(batch: DataFrame, _: int) -> None:
-        store.upload(latest(batch, key, version), key, skip_existing=False)
+        store.upload(latest(batch, key, version), key, skip_existing=False, version=version)
 
     return points.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -132,3 +132,51 @@ def test_fisher(spark):
     rows = [(run, f"q{i}", "m", v + (0.2 if run == "b" else 0.0)) for run in "abc" for i, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7])]
     got = {(r.run_a, r.run_b): r for r in S.fisher_p(spark.createDataFrame(rows, "run string, query_id string, metric string, value double"), 500).collect()}
     assert got["a", "b"].significant and not got["a", "c"].significant and len(got) == 3
+
+
+def test_comparison_in_one_call(spark):
+    rows = [(run, f"q{i}", "m", v + (0.2 if run == "b" and i != 3 else 0.0)) for run in "ab" for i, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.5])]
+    row = S.compare_pair(spark.createDataFrame(rows, "run string, query_id string, metric string, value double"), "a", "b", 400).first()
+    assert (row.n, round(row.delta, 9), row.win, row.loss) == (5, 0.16, 0.8, 0.0) and row.ci_low <= 0.16 <= row.ci_high and 0 < row.p <= 1 and 0 < row.wilcoxon_p <= 1
+
+
+def test_tails():
+    # Quantiles of Student's t and of the studentized range from printed tables.
+    for t, freedom in ((2.228, 10), (2.776, 4), (1.96, 100_000), (12.706, 1)):
+        assert abs(S.student_p(t, freedom) - 0.05) < 2e-4
+    for q, runs, freedom in ((3.88, 3, 10), (4.33, 4, 10), (3.58, 3, 20), (2.77, 2, 100_000)):
+        assert abs(S.studentized_range_p(q, runs, freedom) - 0.05) < 1e-3
+    assert S.student_p(None, 3) is None
+
+
+def test_tests_of_all_pairs(spark):
+    noise = [0.01, -0.02, 0.03, 0.0, -0.01, 0.02, -0.03, 0.01]
+    rows = [(run, f"q{i}", "m", 0.1 * i + shift + e * k) for k, (run, shift) in enumerate((("a", 0.0), ("b", 0.0), ("c", 0.3))) for i, e in enumerate(noise)]
+    metrics = spark.createDataFrame(rows, "run string, query_id string, metric string, value double")
+    for test in (S.student_test, S.tukey_test):
+        got = {(r.run_a, r.run_b): r for r in test(metrics).collect()}
+        assert len(got) == 3 and got["a", "c"].significant and got["b", "c"].significant and not got["a", "b"].significant
+    same = S.tukey_test(metrics.where("run <> 'b'").withColumn("value", F.lit(1.0))).first()
+    assert same.p is None and not same.significant
+
+
+def test_assistant(spark):
+    class Two:
+        def search(self, queries, limit):
+            return queries.where("query_id = 'q'").selectExpr("query_id", "'b' doc_id", "1.0D score", "1 rank")
+
+    queries = spark.createDataFrame([("q", "Why?"), ("r", "What?")], "query_id string, query string")
+    corpus = spark.createDataFrame([("b", "B text")], "doc_id string, text string")
+
+    def generate(model, messages, temperature, max_tokens):
+        return {"answer": f"{model} {messages[0]['role']} {messages[1]['content'][:14]} {temperature} {max_tokens}", "citations": []}
+
+    got = {r.query_id: r for r in rag.Assistant(Two(), corpus, generate, "m").ask(queries).collect()}
+    assert got["q"].answer == "m system Question: Why? 0.1 4096" and got["r"].answer == rag.NOTHING_FOUND
+
+
+def test_lengths_by_a_tokenizer(spark):
+    corpus = spark.createDataFrame([("a b",), (None,), ("c",)], "text string")
+    lengths = D.token_lengths(corpus, lambda: lambda texts: [len(t.split()) + 2 for t in texts])
+    row = D.corpus_stats(lengths, length=F.col("len")).first()
+    assert (row.n_docs, row.total, row.max) == (3, 9, 4)

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sextant.functions.vectors import cosine
+from sextant.operators import search
 from sextant.operators.ann import HyperplaneIndex
 from sextant.operators.bm25 import NgramStats, SparseEncoder, gram_total
-from sextant.operators.ranking import dbsf, dedupe_by_document, rrf
-from sextant.operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LexicalStrategy, NgramBM25Strategy, PairScorerStrategy, Reranker, SiblingExpansionStrategy
-from sextant.operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, SparseSearcher, UniqueDocSearcher
+from sextant.operators.ranking import dbsf, dedupe_by_document, rrf, top_k
+from sextant.operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LexicalStrategy, NgramBM25Strategy, PairScorerStrategy, Reranker, ServiceStrategy, SiblingExpansionStrategy
+from sextant.operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, MaxSimSearcher, SparseSearcher, UniqueDocSearcher
 
 CORPUS = [("d1", "the court held that the statute is void"), ("d2", "the statute is void for vagueness"), ("d3", "a contract requires consideration"), ("d4", "")]
 
@@ -157,3 +159,76 @@ def test_sibling_expansion(spark, stats, corpus, queries):
     assert {(r.doc_id, r.expanded_from, r.score) for r in strategy.expand(h).collect()} == {("d1", None, 2.0), ("d2", "d1", 2.0), ("d3", None, 1.0), ("d4", "d3", 1.0)}
     assert order(strategy.rerank(queries, h)) == ["d2", "d3"]
     assert order(UniqueDocSearcher(Bm25Searcher(stats, 2), of).search(queries, 3)) == ["d2"]
+
+
+@pytest.mark.parametrize("sf,most", [("sf0.01", 0.17), ("sf0.1", 0.05)])
+def test_ann_recall_on_the_table(spark, sf, most):
+    """Its own table: vectors without clusters, the hard case."""
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").selectExpr("cast(vec_id as string) doc_id", "embedding vec", "vec_id").cache()
+    q = v.where("vec_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    index = HyperplaneIndex(v, 64)
+    exact = {(r.query_id, r.doc_id) for r in DenseSearcher(v).search(q, 10).collect()}
+    found = {(r.query_id, r.doc_id) for r in index.search(q, 10).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+    assert index.candidates(q).count() <= most * v.count() * q.count()
+
+
+def test_vectors_of_zeros(spark):
+    rows = [(f"z{i:02}", [0.0, 0.0]) for i in range(30)] + [("a", [1.0, 0.0]), ("b", [0.5, 0.5]), ("n", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, vec array<float>").coalesce(1)
+    got = DenseSearcher(docs).search(spark.createDataFrame([("q", [1.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, vec array<float>"), 3)
+    assert [r.doc_id for r in got.where("query_id = 'q'").orderBy("rank").collect()] == ["a", "b", "z00"]
+    assert {r.score for r in got.where("query_id = 'z'").collect()} == {0.0}
+    assert docs.select(cosine(F.col("vec"), F.array(F.lit(1.0), F.lit(0.0))).alias("s")).where("s = 0").count() == 30
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((70, 4, 3)).round(2)
+    docs = spark.createDataFrame([(f"{i:02}", m[i].tolist(), m[i, 0].tolist()) for i in range(70)], "doc_id string, vecs array<array<float>>, vec array<float>").repartition(3)
+    q = docs.where("doc_id < '20'").withColumnRenamed("doc_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r.doc_id, r.rank, round(r.score, 5)) for r in df.collect())
+    searchers = [DenseSearcher(docs), DenseSearcher(docs, distance="manhattan"), MaxSimSearcher(docs)]
+    whole = [rows(s.search(q, 4)) for s in searchers]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "CELL_QUERIES", 8)
+    monkeypatch.setattr(search, "_HELD_SCORES", 60)
+    assert [rows(s.search(q, 4)) for s in searchers] == whole
+    pairs = q.select("query_id").crossJoin(docs.select("doc_id"))
+    assert whole[2] == rows(top_k(MaxSimScorer(docs).score(q, pairs), 4))
+
+
+def test_payload_of_hits(spark):
+    h = hits(spark, [("q", "1", 3.0, 1), ("q", "2", 2.0, 2), ("q", "9", 1.0, 3)])
+    points = spark.createDataFrame([(1, "text one", "p1", 5), (2, None, None, 6)], "id long, text string, doc_id string, year int")
+    got = {r["rank"]: r for r in search.with_payload(h, points, "id").collect()}
+    assert [(got[i].doc_id, got[i].text) for i in (1, 2, 3)] == [("p1", "text one"), ("2", ""), ("9", "")]
+    assert got[1].payload.year == 5 and got[3].payload is None
+
+
+def test_hits_without_a_document(spark, stats, queries):
+    of = spark.createDataFrame([("p2", "B")], "doc_id string, did string")
+    h = hits(spark, [("q", "p1", 3.0, 1), ("q", "p2", 2.0, 2)])
+    with pytest.raises(Exception, match="no document for passage p1"):
+        dedupe_by_document(h, of, 5).collect()
+    assert order(dedupe_by_document(h, of, 5, strict=False)) == ["p1", "p2"]
+    strategy = SiblingExpansionStrategy(NgramBM25Strategy(stats), of, strict=False)
+    assert order(strategy.rerank(queries, h)) == ["p1", "p2"]
+    with pytest.raises(Exception, match="no document for passage p1"):
+        SiblingExpansionStrategy(NgramBM25Strategy(stats), of).rerank(queries, h).collect()
+
+
+def test_service_strategy(spark, corpus, queries):
+    h = hits(spark, [("q", "d1", 4.0, 1), ("q", "d3", 3.0, 2), ("q", "gone", 2.0, 3)])
+    post = lambda model, query, texts: (200, [{"index": i, "relevance_score": len(texts[i]) + len(query) / 100} for i in reversed(range(len(texts)))])
+    assert [(r.doc_id, r.score) for r in ServiceStrategy(corpus, "m", post).rerank(queries, h).orderBy("rank").collect()] == [("d1", 39.19), ("d3", 33.19), ("gone", 0.19)]
+    with pytest.raises(Exception, match="3 passages, 1 scores"):
+        ServiceStrategy(corpus, "m", lambda m, q, t: (200, [{"index": 0, "relevance_score": 1.0}])).rerank(queries, h).collect()
+
+
+def test_sparse_postings_in_one_pass(spark, corpus, queries):
+    wanted = queries.selectExpr("query_id", "explode(split(query, ' ')) gram")
+    enc, postings, n = SparseEncoder(1).fit_postings(corpus, wanted)
+    whole = {(r.doc_id, r.gram): r.val for r in enc.encode_grams(corpus).collect()}
+    asked = {r.gram for r in wanted.collect()}
+    assert n == 4 and enc.mean_tokens == 4.5 and {(r.doc_id, r.gram): r.val for r in postings.collect()} == {k: v for k, v in whole.items() if k[1] in asked}

@@ -1,11 +1,13 @@
 """Ingestion, the store, the cache, encoders and streams."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.sources import encoders, ingest, store
+from sextant.operators.search import warm_up
+from sextant.sources import encoders, ingest, staging, store
 from sextant.streaming.upsert import upsert_stream
 
 
@@ -118,3 +120,80 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(2, "d", 2)], schema).coalesce(1).write.mode("append").parquet(str(source))
     run()
     assert {(r.id, r.text) for r in points.read().collect()} == {(1, "b"), (2, "d")}
+
+
+def test_late_batches_and_equal_keys(spark, tmp_path):
+    schema = "id long, text string, version long"
+    points = store.PointStore(spark, f"file://{tmp_path}/late")
+    points.ensure(spark.createDataFrame([], schema).schema)
+    points.upload(spark.createDataFrame([(2, "b", 5), (2, "c", 4), (3, "x", 1)], schema))
+    assert points.count() == 2
+    points.upload(spark.createDataFrame([(2, "old", 3), (2, "older", 2), (3, "new", 2)], schema), skip_existing=False, version="version")
+    assert {(r.id, r.version) for r in points.read().collect() if r.id == 3} == {(3, 2)} and points.read().where("text like 'old%'").count() == 0
+    points.upload(spark.createDataFrame([(3, "y", 9), (3, "z", 9)], schema), skip_existing=False)
+    assert [(r.id, r.text) for r in points.read().where("id = 3").collect()] == [(3, "z")]
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    points = store.PointStore(spark, f"file://{tmp_path}/two")
+    a = spark.createDataFrame([(1, "x")], "id long, text string")
+    points.ensure(a.schema)
+    before = points._current()
+    points.upload(a)
+    monkeypatch.setattr(store.PointStore, "_current", lambda self: before)
+    with pytest.raises(Exception, match="(?i)exists"):
+        points.upload(spark.createDataFrame([(2, "y")], "id long, text string"))
+    monkeypatch.undo()
+    assert [r.id for r in points.read().collect()] == [1]
+
+
+def test_slots_of_a_collection(spark, tmp_path):
+    points = store.PointStore(spark, f"file://{tmp_path}/slots")
+    slot = encoders.Slot("v", "m", size=2)
+    schema = spark.createDataFrame([], "id long, v array<float>").schema
+    points.ensure(schema, slots=[slot])
+    assert points.slots() == {"v": slot}
+    points.ensure(schema, slots=[slot])
+    with pytest.raises(ValueError):
+        points.ensure(schema, slots=[encoders.Slot("v", "m", size=3)])
+    with pytest.raises(ValueError):
+        store.PointStore(spark, f"file://{tmp_path}/none").ensure(schema, slots=[encoders.Slot("w", "m", size=3)])
+    with pytest.raises(Exception, match="slot v has 2 places"):
+        points.upload(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], schema))
+    points.upload(spark.createDataFrame([(1, [1.0, 2.0])], schema))
+    assert points.count() == 1
+
+
+def test_encoders_by_backend(spark, tmp_path):
+    class Lengths:
+        def encode(self, texts):
+            return [[float(len(t)), 0.0] for t in texts]
+
+    made = encoders.Encoders(sentence=lambda slot: Lengths())
+    slot = encoders.Slot("v", "m", backend="sentence", size=2, distance="dot", query_prompt="ask: ")
+    asked = spark.createDataFrame([("1", "ab"), ("2", "ab")], "query_id string, query string")
+    assert [r.vec for r in made.queries(slot, asked).collect()] == [[7.0, 0.0]] * 2
+    unit = encoders.Slot("u", "m", backend="sentence", size=2)
+    assert made.documents(unit, spark.createDataFrame([("1", "abc"), ("2", "")], "doc_id string, text string")).where("vec[0] = 1").count() == 1
+    with pytest.raises(ValueError):
+        made.documents(encoders.Slot("h", "m", backend="http", size=1), asked)
+    with pytest.raises(ValueError):
+        encoders.Encoders(odd=lambda slot: Lengths())
+    with pytest.raises(ValueError):
+        encoders.Slot("h", "m", backend="http", size=1).api_key("NO_SUCH_VARIABLE", {})
+    assert encoders.Slot("h", "m", backend="http", size=1).api_key("K", {"K": "v"}) == "v"
+    cache = store.EmbeddingCache(spark, f"file://{tmp_path}/warm")
+    for _ in range(2):
+        assert {r.query: r.vec for r in warm_up(cache, slot, asked, Lengths).collect()} == {"ab": [7.0, 0.0]}
+
+
+def test_shared_folder(spark):
+    assert staging.place(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    def without(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    assert staging.shared_dir(without("local[4]")) == staging.shared_dir(without("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            staging.shared_dir(without(master))
