@@ -5,7 +5,9 @@ its own text is trainable.  The examples of a conversation are prefixes of one f
 stream, so they are kept as that stream's segments, one per turn, with the example that a
 segment closes and the span under its loss mask; `render_examples` writes any of them out
 as a text of its own.  That keeps the output in proportion to the input even where one
-conversation holds a third of all turns.
+conversation holds a third of all turns.  Segments are numbered in ranges of turns, so such a
+conversation is spread over tasks; `read_back` reads every example through its prefix and mask,
+and a digest over all of a conversation's text, which cannot be split, takes one task for it.
 
 Template: `<|role|>\\n`, the escaped text, `<|end|>\\n`.  In texts and roles a backslash is
 written `\\\\`, and `<|` is written `<\\|`; both are undone on reading.
@@ -21,10 +23,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .stages import staged
 
 #: Fixed values of the template.
 OPEN, CLOSE_ROLE, END = "<|", "|>\n", "<|end|>\n"
@@ -58,29 +65,45 @@ def expand_prefix_targets(turns: DataFrame, trained_role: str = TRAINED_ROLE) ->
         F.char_length(body).cast("bigint").alias("body_chars"),
     )
     # Equal segments of one conversation, role and turn are interchangeable, so this order is total.
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    ordered = formatted.repartitionByRange(*order[:3], F.left("text", F.lit(64))).sortWithinPartitions(*order)
+    own = "segment bigint, example bigint, start bigint, trained boolean, part int"
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs over a conversation's turns in order; keeps three numbers of it at a time."""
+        """Numbers a range's turns by conversation, as if the range began there; keeps three numbers of one at a time."""
+        part = TaskContext.get().partitionId()
         conv, segment, example, start = object(), 0, 0, 0
         for batch in batches:
             out = []
-            for c, role, text, head_n, body_n in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text", "head_chars", "body_chars"))):
+            for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
                 if c != conv:
                     conv, segment, example, start = c, 0, 0, 0
                 trained = role == trained_role
-                lo = start + head_n if trained else None
-                out.append((c, segment, text, example if trained else None, start, lo, lo + body_n if trained else None))
+                out.append((segment, example, start, trained, part))
                 segment, example, start = segment + 1, example + trained, start + len(text)
             if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=SEGMENT_NAMES)
-
-    return ordered.mapInArrow(number, SEGMENTS)
-
-
-SEGMENT_NAMES = ["conv_id", "segment", "text", "example", "start", "loss_start", "loss_end"]
-SEGMENTS = "conv_id bigint, segment bigint, text string, example bigint, start bigint, loss_start bigint, loss_end bigint"
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+                numbers = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                kept = ["conv_id", "text", "head_chars", "body_chars"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *numbers], names=kept + [x.split()[0] for x in own.split(", ")])
+
+    rows = staged(ordered.mapInArrow(number, f"conv_id bigint, text string, head_chars bigint, body_chars bigint, {own}"), "turns")
+    # What a conversation has in the ranges before; only the first conversation of a range has any, so these are fewer rows than tasks.
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(F.col("trained").cast("bigint")).alias("m"), F.sum(F.char_length("text")).cast("bigint").alias("chars"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("conv_id").alias("of"), F.col("part").alias("in"), *(F.sum(c).over(before).alias(f"{c}_before") for c in ("n", "m", "chars"))).where("n_before is not null")
+    rows = rows.join(F.broadcast(parts), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")), "left")
+    start = F.col("start") + F.coalesce("chars_before", F.lit(0))
+    lo = F.when(F.col("trained"), start + F.col("head_chars"))
+    return rows.select(
+        "conv_id",
+        (F.col("segment") + F.coalesce("n_before", F.lit(0))).alias("segment"),
+        "text",
+        F.when(F.col("trained"), F.col("example") + F.coalesce("m_before", F.lit(0))).alias("example"),
+        start.alias("start"),
+        lo.alias("loss_start"),
+        (lo + F.col("body_chars")).alias("loss_end"),
+    )
 
 
 def render_examples(segments: DataFrame) -> DataFrame:
@@ -97,40 +120,66 @@ def render_examples(segments: DataFrame) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from formatted segments alone."""
-    digests = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint, rendered_chars bigint"
-    names = [x.split()[0] for x in digests.split(", ")]
+    """Digests of each conversation, from its examples: each is the stream up to its end, with its mask.
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, done = None, None, []
+    `examples_sha256` is over the lines `example:end:loss_start:loss_end:sha256 of the example's text`.
+    """
+    digests = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint, rendered_chars bigint, examples_sha256 string"
+    names = [x.split()[0] for x in digests.split(", ")]
 
-        def close() -> None:
-            n, turns, loss_n, loss, chars, examples, rendered = state
-            done.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, examples, rendered))
+    @dataclass
+    class Read:
+        """What has been read of one conversation."""
+
+        turns: object = field(default_factory=hashlib.sha256)
+        loss: object = field(default_factory=hashlib.sha256)
+        stream: object = field(default_factory=hashlib.sha256)
+        examples: object = field(default_factory=hashlib.sha256)
+        n_turns: int = 0
+        loss_chars: int = 0
+        chars: int = 0
+        n_examples: int = 0
+        rendered: int = 0
+
+        def segment(self, text: str, start: int) -> None:
+            if self.chars != start or not (text.startswith(OPEN) and text.endswith(END)):
+                raise ValueError("a segment does not follow the one before it")
+            role, body = text[len(OPEN) : -len(END)].split(CLOSE_ROLE, 1)
+            self.n_turns += 1
+            self.turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
+            self.stream.update(text.encode("utf-8", "surrogatepass"))
+            self.chars += len(text)
+
+        def example(self, number: int, last: str, start: int, lo: int, hi: int) -> None:
+            """An example that ends with the segment read last: all of the stream so far, of which [lo, hi) is trained on."""
+            if number != self.n_examples or hi + len(END) != self.chars or lo < start:
+                raise ValueError("an example does not end with its reply")
+            target = unescape(last[lo - start : hi - start])
+            self.loss.update(target.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(target)
+            self.examples.update(f"{number}:{self.chars}:{lo}:{hi}:{self.stream.copy().hexdigest()}\n".encode())
+            self.n_examples += 1
+            self.rendered += self.chars
+
+        def row(self, conv: int | None) -> tuple:
+            return conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n_examples, self.rendered, self.examples.hexdigest()
 
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, read, done = None, None, []
         for batch in batches:
-            for c, text, start, lo, hi in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "start", "loss_start", "loss_end"))):
-                if state is None or c != conv:
-                    if state is not None:
-                        close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                if state[4] != start or not (text.startswith(OPEN) and text.endswith(END)):
-                    raise ValueError(f"conversation {c}: a segment does not follow the one before it")
-                role, body = text[len(OPEN) : -len(END)].split(CLOSE_ROLE, 1)
-                state[0] += 1
-                state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
-                state[4] += len(text)
-                if lo is not None:
-                    target = unescape(text[lo - start : hi - start])
-                    state[2] += len(target)
-                    state[3].update(target.encode("utf-8", "surrogatepass"))
-                    state[5] += 1
-                    state[6] += state[4]
+            for c, text, example, start, lo, hi in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "example", "start", "loss_start", "loss_end"))):
+                if read is None or c != conv:
+                    if read is not None:
+                        done.append(read.row(conv))
+                    conv, read = c, Read()
+                read.segment(text, start)
+                if example is not None:
+                    read.example(example, text, start, lo, hi)
             if len(done) >= 1000:
                 yield _rows(done, names)
                 done = []
-        if state is not None:
-            close()
+        if read is not None:
+            done.append(read.row(conv))
         if done:
             yield _rows(done, names)
 

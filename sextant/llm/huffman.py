@@ -12,7 +12,7 @@ per id of the vocabulary.  Encoding and decoding work on whole batches: a decode
 through all checkpoints of many blocks side by side, one table look-up per id.
 
 Defined results: a null or empty text is its end id alone; documents with equal doc_id go
-by their bytes; a null doc_id comes first; an empty table gives an empty result;
+by a hash of their ids; a null doc_id comes first; an empty table gives an empty result;
 columns other than doc_id and text are ignored.
 """
 
@@ -38,8 +38,8 @@ LIMIT = 16
 CHECKPOINT = 256
 #: A block is closed at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 65_536
-#: Blocks that are decoded side by side.
-SIDE_BY_SIDE = 16
+#: Blocks that are decoded side by side, and their bytes; a larger block is decoded alone.
+SIDE_BY_SIDE, SIDE_BYTES = 16, 16 << 20
 ID_VALUES = 1 << 16
 
 
@@ -94,13 +94,14 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray, limit: int = LIMIT) ->
 
 def encode_batch(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Bytes of documents side by side, each document's first byte, and each id's bit offset in its document."""
-    size = lengths.astype(np.int32)[ids]
+    kind = np.int32 if LIMIT * len(ids) < 2**31 else np.int64  # one very long document may need more
+    size = lengths.astype(kind)[ids]
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    ends = np.zeros(len(ids) + 1, np.int32)  # a batch has under 2**31 bits
+    ends = np.zeros(len(ids) + 1, kind)
     np.cumsum(size, out=ends[1:])
     bits = ends[first[1:]] - ends[first[:-1]]
     at_byte = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
-    shift = (at_byte[:-1] * 8 - ends[first[:-1]]).astype(np.int32)
+    shift = (at_byte[:-1] * 8 - ends[first[:-1]]).astype(kind)
     inside = ends[:-1] - np.repeat(ends[first[:-1]], counts)
     at = ends[:-1] + np.repeat(shift, counts)
     out = np.zeros(at_byte[-1] // 8 + 2, np.uint64)
@@ -121,18 +122,19 @@ def decode_lanes(payload: bytes, bit_at: np.ndarray, n: np.ndarray, table: np.nd
     raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
     ahead = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
     order = np.argsort(-n, kind="stable")
-    at, left = bit_at[order].astype(np.int32), n[order]
+    kind = np.int32 if 8 * len(payload) < 2**31 else np.int64
+    at, left = bit_at[order].astype(kind), n[order]
     out = np.zeros(int(n.sum()), np.uint16)
     to = (np.cumsum(n) - n)[order]
     mask = np.uint32((1 << limit) - 1)
-    upper = np.int32(32 - limit)
+    upper = kind(32 - limit)
     for step in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(-left, -step, side="left"))  # lanes with more than `step` ids
         a = at[:live]
         seen = (ahead[a >> 3] >> (upper - (a & 7)).astype(np.uint8)) & mask
         found = table[seen]
         out[to[:live] + step] = found >> np.uint32(5)
-        a += (found & np.uint32(31)).astype(np.int32)
+        a += (found & np.uint32(31)).astype(kind)
     return out
 
 
@@ -194,13 +196,13 @@ def write_ids(ids: DataFrame, path: str) -> None:
                 points = _checkpoint_places(offsets[lo:hi], n)
                 row = {
                     "part": part, "block": block, "part_start": start, "n_ids": int(n.sum()), "doc_ids": docs.slice(lo, hi - lo).to_pylist(), "doc_counts": n.tolist(),
-                    "doc_bytes": (at[lo:hi] - at[lo]).tolist(), "checkpoints": inside[points].astype("<u4").tobytes(), "payload": payload[at[lo] : at[hi]],
+                    "doc_bytes": (at[lo:hi] - at[lo]).tolist(), "checkpoints": inside[points].astype("<u8").tobytes(), "payload": payload[at[lo] : at[hi]],
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
                 block, start, lo = block + 1, start + row["n_ids"], hi
 
-    # The ids are sampled for the ranges, and so are ordered before they are encoded.
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # The ids are sampled for the ranges, and so are ordered before they are encoded; rows of one doc_id may fill many ranges.
+    ordered = ids.withColumn("h", F.xxhash64("ids")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
     # The codes are as dense as they get; Parquet need not try again.
     ordered.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
@@ -237,15 +239,20 @@ def decoded(spark: SparkSession, path: str, column: str, of, kind: pa.DataType)
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SIDE_BY_SIDE):
-                rows = batch.slice(at, SIDE_BY_SIDE)
+            size = pc.binary_length(batch.column("payload")).to_numpy()
+            group = np.maximum(np.cumsum(size) // SIDE_BYTES, 0) * batch.num_rows + np.arange(len(size)) // SIDE_BY_SIDE
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(size)]]).tolist()
+            for at, upto in zip(cuts, cuts[1:]):
+                rows = batch.slice(at, upto - at)
+                if not rows.num_rows:
+                    continue
                 counts = rows.column("doc_counts").flatten().to_numpy()
                 per_block = pc.list_value_length(rows.column("doc_counts")).to_numpy()
                 payload = rows.column("payload").to_pylist()
                 base = np.concatenate([[0], np.cumsum([len(x) for x in payload])])[:-1]
                 first = rows.column("doc_bytes").flatten().to_numpy() + np.repeat(base, per_block)
                 k = -(-counts // CHECKPOINT)
-                bit_at = np.frombuffer(b"".join(rows.column("checkpoints").to_pylist()), "<u4").astype(np.int64) + np.repeat(first * 8, k)
+                bit_at = np.frombuffer(b"".join(rows.column("checkpoints").to_pylist()), "<u8").astype(np.int64) + np.repeat(first * 8, k)
                 size = np.full(len(bit_at), CHECKPOINT, np.int64)
                 size[np.cumsum(k) - 1] = counts - (k - 1) * CHECKPOINT
                 ids = decode_lanes(b"".join(payload), bit_at, size, table)

@@ -2,15 +2,16 @@
 
 Class k holds the pieces of which k, and not k + 1, fit into one sequence: lengths
 over capacity / (k + 1) and up to capacity / k.  Every sequence of class k takes
-exactly k pieces, whatever they are, so where a piece goes depends only on its number
-within its class; workers number their own pieces and never talk about bins.
+exactly k pieces, whatever they are, so each worker fills the sequences of its own pieces
+and never talks about bins.  What is left of the workers' classes is numbered per class and fills
+sequences in the same way; what is left of that, fewer pieces than k in class k, is put together by size.
 
 Documents are cut to suit the classes: whole sequences first; of what is left, a piece
 that nearly fills its class's share stays, else the share of the next class is cut off.
 
 Defined results: a null or empty text is its end id alone, one piece of length 1;
-repeated rows are packed each for itself; ties go by doc_id, start, length and checksum;
-an empty table gives an empty result; columns other than doc_id and text are ignored.
+repeated rows are packed each for itself; which of the sequences that suit a piece takes it follows from the order in
+which workers meet pieces; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +31,8 @@ from .tokens import worker_tokenizer
 from .words import slices
 
 CAPACITY = 2048
-#: Smaller pieces than capacity / CLASSES share the last class.
-CLASSES = 64
+#: Documents are cut for classes below this one; smaller rests stay as they are, in classes of their own up to the capacity.
+CUT_CLASSES = 64
 #: A piece stays whole if it fills this part of its share.
 FILL = 0.985
 #: The most pieces that the end of a document, under one capacity, is cut into.
@@ -42,7 +44,7 @@ CACHED_WORDS = 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def cut_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[int]:
+def cut_lengths(n: int, capacity: int = CAPACITY, classes: int = CUT_CLASSES) -> list[int]:
     """Lengths of the pieces of a document of n ids, in order."""
     out = [capacity] * (n // capacity)
     rest = n % capacity
@@ -57,7 +59,7 @@ def cut_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> lis
     return out + [rest] * (rest > 0)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, classes: int = CUT_CLASSES) -> DataFrame:
     """Encodes every text, appends end_id and cuts the ids; one row per piece, without the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,35 +78,74 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, bucket_rows: int = 100_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32).
+_FILLED = PIECES + ", part int, k int, bin bigint, offset bigint"
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
-    Pieces are numbered per class in buckets of about `bucket_rows`, whose counts are
-    summed up; what no sequence of its class is filled by, under k pieces of class k and
-    so a number that does not grow with the data, is put together by size in one task.
+
+def _filled(pieces: DataFrame, capacity: int, classes: int) -> DataFrame:
+    """Adds to pieces their part (task) and class, and the part's sequence and the place there; none for what fills no sequence.
+
+    A task holds the pieces of its open sequences, under k of class k, whatever the number of its pieces.
     """
-    pieces = staged(pieces.withColumn("k", F.least(F.lit(classes), F.floor(F.lit(capacity) / F.col("length")))), "pieces")
-    buckets = max(8, -(-pieces.count() // bucket_rows))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    counts = pieces.groupBy("k", "bucket").count()
-    upto = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("k", "bucket", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("k")).alias("in_class"))
-    bins = counts.groupBy("k").agg(F.floor(F.max("in_class") / F.col("k")).alias("bins"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bins = TaskContext.get().partitionId(), 0
+        open_: dict[int, list[tuple]] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for piece in zip(*(batch.column(n).to_pylist() for n in _NAMES)):
+                k = min(classes, capacity // piece[2])
+                held = open_.setdefault(k, [])
+                held.append(piece)
+                if len(held) == k:
+                    at = 0
+                    for p in held:
+                        out.append((*p, part, k, bins, at))
+                        at += p[2]
+                    bins += 1
+                    held.clear()
+            if out:
+                yield _rows_of(out)
+        left = [(*p, part, k, None, None) for k, held in open_.items() for p in held]
+        if left:
+            yield _rows_of(left)
+
+    return pieces.select(*_NAMES).mapInArrow(fill, _FILLED)
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32() if x.endswith(" int") else pa.int64() for x in _FILLED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in _FILLED.split(", ")])
+
+
+def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int | None = None, bucket_rows: int = 4_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32, doc_tokens)."""
+    pieces = staged(_filled(pieces, capacity, classes or capacity), "pieces")
+    whole = pieces.where("bin is not null")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = whole.groupBy("part").agg((F.max("bin") + 1).alias("bins"))  # one row per task
+    n_whole = parts.agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
+    parts = parts.select("part", F.coalesce(F.sum("bins").over(before), F.lit(0)).alias("first_bin"))
+    done = whole.join(parts, "part").withColumn("sequence_id", F.col("first_bin") + F.col("bin"))
+
+    # What the parts have left over, numbered per class in buckets of a bounded size.
+    left = pieces.where("bin is null").drop("bin", "offset")
+    sizes = left.groupBy("k").agg(F.count("*").alias("in_class"))  # one row per class
     earlier = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("k", "bins", F.coalesce(F.sum("bins").over(earlier), F.lit(0)).alias("first_bin"), F.sum("bins").over(Window.partitionBy()).alias("base"))
-    counts = F.broadcast(counts.join(bins, "k"))  # at most classes * buckets rows
-    own = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "length", "ids_crc32")
-    numbered = (
-        pieces.withColumn("i", F.row_number().over(own) - 1)
-        .join(counts, ["k", "bucket"])
-        .withColumn("i", F.col("i") + F.col("before"))
-        .withColumn("bin", F.floor(F.col("i") / F.col("k")))
-    )
-    numbered = staged(numbered, "numbered")
+    sizes = sizes.withColumn("bins", F.floor(F.col("in_class") / F.col("k"))).withColumn("first_bin", F.coalesce(F.sum("bins").over(earlier), F.lit(0)) + F.lit(n_whole))
+    sizes = sizes.withColumn("base", F.sum("bins").over(Window.partitionBy()) + F.lit(n_whole))
+    left = left.join(F.broadcast(sizes), "k")  # classes are at most the capacity
+    # A class has few pieces of one part, so parts spread over buckets whatever documents repeat.
+    left = staged(left.withColumn("bucket", F.pmod(F.xxhash64("part", "doc_id", "start"), F.ceil(F.col("in_class") / F.lit(bucket_rows)))), "left")
+    counts = left.groupBy("k", "bucket").count()
+    upto = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("k", "bucket", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
+    own = Window.partitionBy("k", "bucket").orderBy("doc_id", "start", "length", "ids_crc32", "part")
+    numbered = left.withColumn("i", F.row_number().over(own) - 1).join(counts, ["k", "bucket"]).withColumn("i", F.col("i") + F.col("before"))
+    numbered = staged(numbered.withColumn("bin", F.floor(F.col("i") / F.col("k"))), "numbered")
     full = numbered.where("bin < bins").withColumn("sequence_id", F.col("first_bin") + F.col("bin"))
     inside = Window.partitionBy("sequence_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     full = full.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def by_size(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in parts]
@@ -123,10 +164,10 @@ def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CL
         got = got.append_column("bin", pa.array(bins_, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         yield from got.to_batches()
 
-    rest = numbered.where("bin >= bins").select(*names, "base").repartition(1).mapInArrow(by_size, PIECES + ", base bigint, bin bigint, offset bigint")
+    rest = numbered.where("bin >= bins").select(*_NAMES, "base").repartition(1).mapInArrow(by_size, PIECES + ", base bigint, bin bigint, offset bigint")
     rest = rest.withColumn("sequence_id", F.col("base") + F.col("bin"))
-    out = [*names, F.col("sequence_id").cast("bigint").alias("sequence_id"), F.col("offset").cast("bigint").alias("offset")]
-    return full.select(*out).unionByName(rest.select(*out))
+    out = [*_NAMES, F.col("sequence_id").cast("bigint").alias("sequence_id"), F.col("offset").cast("bigint").alias("offset")]
+    return done.select(*out).unionByName(full.select(*out)).unionByName(rest.select(*out))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

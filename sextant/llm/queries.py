@@ -77,11 +77,14 @@ ORACLE: dict[str, str] = {
     "op1_chat_prefix_targets": r"""
         with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
                    union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-        s as (select *, length('<|' || replace(replace(replace(r, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) || replace(replace(t, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10)) n from c),
-        p as (select *, sum(n) over (partition by conv_id order by turn, r) upto from s)
+        h as (select *, '<|' || replace(replace(replace(r, '\', '\\'), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) head, replace(replace(t, '\', '\\'), '<|', '<\|') body from c),
+        s as (select *, head || body || '<|end|>' || chr(10) f from h),
+        p as (select *, sum(length(f)) over w upto, string_agg(f, '') over w prefix, sum((r = 'assistant')::int) over w - 1 e from s window w as (partition by conv_id order by turn, r rows unbounded preceding)),
+        x as (select *, upto - length(f) + length(head) lo from p)
         select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn)) turns_sha256, coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
-            sha256(coalesce(string_agg(t, '' order by turn) filter (r = 'assistant'), '')) loss_sha256, sum(n)::bigint formatted_chars, count(*) filter (r = 'assistant') n_examples, coalesce(sum(upto) filter (r = 'assistant'), 0)::bigint rendered_chars
-        from p group by conv_id""",
+            sha256(coalesce(string_agg(t, '' order by turn) filter (r = 'assistant'), '')) loss_sha256, sum(length(f))::bigint formatted_chars, count(*) filter (r = 'assistant') n_examples, coalesce(sum(upto) filter (r = 'assistant'), 0)::bigint rendered_chars,
+            sha256(coalesce(string_agg(e || ':' || upto || ':' || lo || ':' || lo + length(body) || ':' || sha256(prefix) || chr(10), '' order by e) filter (r = 'assistant'), '')) examples_sha256
+        from x group by conv_id""",
     "op2_near_duplicates": f"""
         with recursive w as (select doc_id, {_SPACE_WORDS} w from documents),
         g as materialized (select distinct doc_id, g from (select doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) g from w)),
@@ -91,6 +94,27 @@ ORACLE: dict[str, str] = {
         r(a, label) as (select distinct a, a from e union select e.b, r.label from r join e using (a)),
         l as (select a, min(label) label from r group by a)
         select doc_id, coalesce(n.n, 0) n_shingles, coalesce(l.label, doc_id) component_id, coalesce(l.label, doc_id) = doc_id kept from documents left join n using (doc_id) left join l on l.a = doc_id""",
+    "op6_jump_sharding": """
+        with recursive d as (select doc_id, coalesce(text, '') t, octet_length(encode(coalesce(text, ''))) + 1 size from documents),
+        steps as (select list_transform(range(256), lambda n: list_reduce(list_concat([n::ubigint], list_transform(range(8), lambda i: 0::ubigint)), lambda c, i: case when c % 2 = 1 then xor(3988292384::ubigint, c >> 1) else c >> 1 end)) tab),
+        texts as (select distinct t, hex(encode(t)) h from d),
+        crc as (select t, xor(4294967295::ubigint, list_reduce(list_concat([4294967295::ubigint], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::ubigint)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255::ubigint)::int + 1]))) crc from texts, steps),
+        k0 as (select distinct doc_id, case when doc_id is null then 9223372036854775808::ubigint when doc_id >= 0 then doc_id::ubigint else (doc_id::hugeint + 18446744073709551616)::ubigint end x from d),
+        k1 as (select doc_id, xor(x, x >> 30) x from k0),
+        k2 as (select doc_id, ((x::uhugeint * 13787848793156543929::uhugeint) % 18446744073709551616::uhugeint)::ubigint x from k1),
+        k3 as (select doc_id, xor(x, x >> 27) x from k2),
+        k4 as (select doc_id, ((x::uhugeint * 10723151780598845931::uhugeint) % 18446744073709551616::uhugeint)::ubigint x from k3),
+        k5 as (select doc_id, xor(x, x >> 31) x from k4),
+        jump(x, key, b, j) as (select distinct x, x, -1::bigint, 0::bigint from k5 union all
+          select x, key2, j, floor((j + 1) * (2147483648.0::double / ((key2 >> 33)::double + 1)))::bigint from (select x, j, ((key::uhugeint * 2862933555777941757::uhugeint + 1::uhugeint) % 18446744073709551616::uhugeint)::ubigint key2 from jump where j < 17)),
+        s as (select x, max(b) filter (b < 16) shard, max(b) filter (b < 17) grown from jump group by x),
+        r0 as (select d.doc_id, d.size, crc.crc, s.shard, s.grown, ((k5.x::uhugeint + crc.crc::uhugeint * 2654435761::uhugeint + d.size::uhugeint) % 18446744073709551616::uhugeint)::ubigint x from d join crc using (t) join k5 on k5.doc_id is not distinct from d.doc_id join s on s.x = k5.x),
+        r1 as (select * replace (xor(x, x >> 30) as x) from r0),
+        r2 as (select * replace (((x::uhugeint * 13787848793156543929::uhugeint) % 18446744073709551616::uhugeint)::ubigint as x) from r1),
+        r3 as (select * replace (xor(x, x >> 27) as x) from r2),
+        r4 as (select * replace (((x::uhugeint * 10723151780598845931::uhugeint) % 18446744073709551616::uhugeint)::ubigint as x) from r3),
+        r5 as (select * replace (xor(xor(x, x >> 31), 9223372036854775808::ubigint) as x) from r4)
+        select doc_id, size::bigint size, crc::bigint text_crc32, 'key' law, shard::integer shard, (row_number() over (partition by shard order by x, doc_id, size, crc) - 1)::bigint slot, grown::integer grown_shard from r5""",
     "op8_decontamination": f"""
         with b as (select item_id, {_ALNUM_WORDS} w from benchmark),
         bw as materialized (select distinct item_id, least(len(w), 10) n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') g from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from b where len(w) > 0)),

@@ -1,7 +1,7 @@
 """Secrets: patterns, and strings that look random rather than named.
 
 Base spans are assignments of passwords, tokens and the like, access keys and long hex
-strings.  Beyond them, every long run of key characters is scored by two Markov models of
+strings.  Beyond them, every long run of key characters (with up to two signs of padding) is scored by two Markov models of
 character pairs, one of random strings and one of ordinary identifiers; where the
 log-likelihood ratio, in all and per character, is high enough for the run or for its best
 stretch (a key at the end of a path), the run is a span of the kind `random`.  The models learn from labelled samples when the plan is made; scoring is one
@@ -137,7 +137,7 @@ def kinds(weights: tuple[float, ...] | None = None) -> list[Kind]:
 
         return F.exists(F.array(ratio(run, weights)), holds)
 
-    return [*BASE, Kind("random", rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}+", looks_random)]
+    return [*BASE, Kind("random", rf"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}+={{0,2}}", looks_random)]
 
 
 def find_secrets(docs: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:

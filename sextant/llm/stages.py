@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import shared_dir, staged
+
+__all__ = ["BATCH_BYTES", "prefixed_offsets", "shared_dir", "staged", "table"]
 
 #: Most bytes of rows that go to a Python worker at a time, so that long texts don't add up.
 BATCH_BYTES = 8 << 20
@@ -20,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='sextant-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prefixed_offsets(counts: DataFrame, key: str, n: str, out: str) -> DataFrame:
     """Adds to a small table of counts the sum of `n` over all smaller keys.
 
