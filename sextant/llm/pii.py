@@ -5,12 +5,11 @@ protected entity may reveal it.  For each term t in a document with an entity e,
 how far t narrows e down: the pointwise mutual information log(P(e|t) / P(e)) as a part of
 e's information content log(1 / P(e)); both probabilities are shares of documents, over all
 of them.  A term of which that part is at least `GENERALISE` is generalised, and of which it is
-at least `REMOVE` is removed, wherever it stands.  To be a term it has to be seen with
-the entity in `LEAST_CONTEXTS` documents where the entity has different surroundings, or next to
-it in as many surroundings, so copies of one passage prove nothing.
+at least `REMOVE` is removed, wherever it stands.  To be a term it has to be in
+`LEAST_CONTEXTS` documents where the entity has different surroundings, so copies of one passage prove nothing.
 
-Defined results: a null or empty text has no spans; repeated rows are documents of their
-own for counting; spans of different kinds may overlap and all stay; columns other than doc_id
+Defined results: a null or empty text has no spans; rows equal in doc_id and text count as one
+document, and each has its spans; spans of different kinds may overlap and all stay; columns other than doc_id
 and text are ignored by `find_personal_data` and kept by `sanitised`.
 """
 
@@ -49,10 +48,10 @@ TERM = "term"
 GENERALISE = 0.75
 REMOVE = 0.9
 LEAST_CONTEXTS = 3
-#: Words on either side of an entity that are its surroundings.
+#: Words on either side of an entity that tell one place of it from another.
 NEAR = 3
-#: Terms up to this number are broadcast (at most a few MB); more are joined by a shuffle.
-BROADCAST_TERMS = 50_000
+#: Tables up to this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 _WORD = r"[\p{L}\p{N}]++"
 
 
@@ -73,7 +72,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _mentions(scanned: DataFrame) -> DataFrame:
-    """doc, entity, terms, context: the words next to each protected entity, and a hash of them or, without any, of the text's words."""
+    """doc, entity, context: a hash of the words next to each protected entity or, without any, of the text's words."""
     spans = scanned.select("doc", "words", F.explode(together([f"of_{n}" for n in NAMES])).alias("x"))
     bare = F.when(F.col("x.rank") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
     before, after = _words(F.col("x.before")), _words(F.col("x.after"))
@@ -82,8 +81,8 @@ def _mentions(scanned: DataFrame) -> DataFrame:
     after = F.when(F.char_length("x.after") >= CONTEXT, F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
     rows = spans.select("doc", "words", F.concat_ws(":", "x.kind", bare).alias("entity"), before.alias("b"), after.alias("a"))
     last = F.slice("b", F.greatest(F.size("b") - NEAR + 1, F.lit(1)), F.lit(NEAR))
-    rows = rows.select("doc", "words", "entity", F.concat(last, F.slice("a", 1, NEAR)).alias("terms"))
-    return rows.select("doc", "entity", "terms", F.when(F.size("terms") > 0, F.xxhash64("terms")).otherwise(F.xxhash64("words")).alias("context"))
+    rows = rows.select("doc", "words", "entity", F.concat(last, F.slice("a", 1, NEAR)).alias("around"))
+    return rows.select("doc", "entity", F.when(F.size("around") > 0, F.xxhash64("around")).otherwise(F.xxhash64("words")).alias("context"))
 
 
 def _outside(text: Column) -> Column:
@@ -104,75 +103,75 @@ def _share(together: Column, holding: Column, of_entity: Column, total: int) ->
     return F.when(content > 0, F.log(together / holding * F.lit(float(total)) / of_entity) / content)
 
 
-def _base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row key and span arrays of every row, and the distinct words of rows that have any; without the texts.
+def _base_spans(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, clean text and any others) with their key and span arrays, and the distinct words of those that have any; without the text.
 
     Written once, read by each use.
     """
-    rows = with_spans(_keyed(_cleaned(docs)), "text", KINDS, "of_")
+    rows = with_spans(_keyed(rows), "text", KINDS, "of_")
     some = F.greatest(*(F.size(f"of_{n}") for n in NAMES)) > 0
     rows = rows.withColumn("words", F.when(some, F.array_distinct(_words(F.col("text")))))
     rows = rows.withColumn("covered", F.when(some, F.array_except("words", _words(_outside(F.col("text"))))))
     return staged(rows.drop("text"), "spans")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+def _small(rows: DataFrame, weight: Column | int = 64) -> DataFrame:
+    """Marked to be broadcast if the rows, of about `weight` bytes each, are few enough."""
+    size = rows.agg(F.sum(weight if isinstance(weight, Column) else F.lit(weight))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame | None:
     """term and disclosure of every term that reaches GENERALISE; None if there is none to look at.
 
     A term is held by at least those documents with a protected entity that have it, so what these leave
-    no chance to, however often it stands beside the entity, is put aside first; the others are
-    counted with each entity of their documents, and those still left over the whole corpus.
+    no chance to is put aside first; the others are counted with each entity of their documents, and those
+    still left over the whole corpus.
     """
-    found = (_base_spans(docs) if found is None else found).withColumn("doc", F.col("row_key"))
+    found = (_base_spans(_cleaned(docs)) if found is None else found).withColumn("doc", F.col("row_key"))
     mentions = staged(_mentions(found), "mentions")
     total = found.agg(F.count_distinct("doc")).first()[0]
     entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"), F.count_distinct("context").alias("contexts"))
-    entities = staged(entities.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("of_entity") < total)).drop("contexts"), "entities")
+    entities = staged(entities.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("of_entity") >= LEAST_CONTEXTS) & (F.col("of_entity") < total)).drop("contexts"), "entities")
     most = entities.agg(F.max("of_entity")).first()[0]
     if most is None:
         return None
     known = mentions.join(_small(entities), "entity")
     members = staged(known.groupBy("doc", "entity", "of_entity").agg(F.min("context").alias("context")), "members")
-    near = known.select("entity", "context", F.explode(F.array_distinct("terms")).alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"))
-    near = staged(near.where(F.col("contexts") >= LEAST_CONTEXTS).select("entity", "term", F.lit(True).alias("near")), "near")
 
     covered = F.transform("covered", lambda w: F.struct(w.alias("term"), F.lit(True).alias("covered")))
     bare = F.transform(F.array_except("words", "covered"), lambda w: F.struct(w.alias("term"), F.lit(False).alias("covered")))
-    spanned = found.where("words is not null").dropDuplicates(["doc"]).select("doc", F.explode(F.concat(bare, covered)).alias("x")).select("doc", "x.*").where(F.char_length("term") >= 3)
+    spanned = found.where("words is not null").select("doc", F.explode(F.concat(bare, covered)).alias("x")).select("doc", "x.*")
+    if found.count() > total:
+        spanned = spanned.distinct()  # equal rows
     least = spanned.groupBy("term").agg(F.count("*").alias("least"))
-    least = least.where(_share(F.least(F.lit(most), F.col("least")), F.col("least"), F.lit(most), total) >= GENERALISE - 1e-9)
-    # Three documents, or three places beside the entity in fewer.
-    least = staged(least.join(near.select("term", "near").distinct(), "term", "left").where((F.col("least") >= LEAST_CONTEXTS) | F.col("near")).drop("near"), "least")
+    least = least.where((F.col("least") >= LEAST_CONTEXTS) & (_share(F.least(F.lit(most), F.col("least")), F.col("least"), F.lit(most), total) >= GENERALISE - 1e-9))
+    least = staged(least, "least")
     held = spanned.join(_small(least), "term").join(members, "doc")
     held = held.where(_share(F.least("of_entity", "least"), F.col("least"), F.col("of_entity"), total) >= GENERALISE - 1e-9)
     key = ["entity", "term", "of_entity", "least"]
     held = held.groupBy(*key, "context").agg(F.count("*").alias("n"), F.min("covered").alias("covered"))
     pairs = held.groupBy(*key).agg(F.sum("n").alias("together"), F.count("*").alias("contexts"), F.min("covered").alias("covered"))
     bound = _share(F.col("together"), F.col("least"), F.col("of_entity"), total)
-    pairs = pairs.where(bound >= GENERALISE).join(near, ["entity", "term"], "left")
     # What stands in the spans alone is protected by them.
-    pairs = staged(pairs.where(F.col("near") | (F.col("contexts") >= LEAST_CONTEXTS) & ~F.col("covered")), "revealing")
+    pairs = staged(pairs.where((bound >= GENERALISE - 1e-9) & (F.col("contexts") >= LEAST_CONTEXTS) & ~F.col("covered")), "revealing")
     if pairs.isEmpty():
         return None
     words = _keyed(_cleaned(docs)).select(F.col("row_key").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     holding = words.join(_small(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count_distinct("doc").alias("holding"))
     share = _share(F.col("together"), F.col("holding"), F.col("of_entity"), total)
-    terms = pairs.join(holding, "term").groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    terms = pairs.join(holding, "term").groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= GENERALISE - 1e-9)
     terms = staged(terms, "terms")
     return None if terms.isEmpty() else terms
 
 
 def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """row_key, row_doc, of_term for the rows (doc_id, clean text) that have a disclosing term."""
-    known = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    known = _small(terms)
     keyed = _keyed(rows)
     held = keyed.select(*_KEY, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(known, "term")
     held = staged(held.distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("term", "disclosure")).alias("held")), "held")
-    found = keyed.join(F.broadcast(held) if held.count() <= BROADCAST_TERMS else held, _KEY)
+    found = keyed.join(_small(held, 64 + 48 * F.size("held")), _KEY)
     # A text's own terms become one pattern; terms are letters and digits only.
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("held", lambda x: x["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     found = found.withColumn("tp", F.split(F.regexp_replace("text", pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1))
@@ -194,13 +193,13 @@ def _with_terms(rows: DataFrame, spans_of: DataFrame, terms: DataFrame | None) -
     if terms is None:
         return rows.withColumn("of_term", F.array().cast(f"array<{SPAN}>"))
     spans = staged(_term_spans(spans_of, terms), "term-spans")
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_TERMS else spans
+    spans = _small(spans, 64 + 120 * F.size("of_term"))
     return rows.join(spans, _KEY, "left").withColumn("of_term", F.coalesce("of_term", F.array().cast(f"array<{SPAN}>")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per document."""
-    found = _base_spans(docs)
+    found = _base_spans(_cleaned(docs))
     rows = _with_terms(found, _cleaned(docs), disclosing_terms(docs, found))
     rows = rows.withColumn("base", together([f"of_{n}" for n in NAMES]))
     rows = rows.withColumn("all_spans", together(["base", "of_term"]))
@@ -218,9 +217,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, by the first one's kind; n_chars follows the text.
     """
     names = docs.columns
-    terms = disclosing_terms(docs)
-    rows = docs.withColumn("given", F.struct(*[F.col(n) for n in names])).select("given", F.col("doc_id").cast("bigint").alias("doc_id"), clean(F.col("text")).alias("text"))
-    rows = _with_terms(with_spans(_keyed(rows), "text", KINDS, "of_"), _cleaned(docs), terms)
+    given = F.struct(*[F.col(n) for n in names]).alias("given")
+    found = _base_spans(docs.select(given, F.col("doc_id").cast("bigint").alias("doc_id"), clean(F.col("text")).alias("text")))
+    texts = found.select("doc_id", clean(F.col("given.text")).alias("text"))
+    rows = _with_terms(found, texts, disclosing_terms(texts, found.drop("given")))
     rows = rows.withColumn("all_spans", together([*(f"of_{n}" for n in NAMES), "of_term"])).drop(*(f"of_{n}" for n in NAMES), "of_term")
     label = lambda x: F.when(x["value"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
     begin = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")

@@ -1,9 +1,15 @@
 """Terms that stand in the documents of an entity, near it or far from it."""
 
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from sextant.llm import pii
 
+from test_against_brute_force import PII
+
 
 def test_terms_far_from_their_entity(spark):
     gap = "some plain words that are in every text of this whole table and lead from here to there at the end"
@@ -16,3 +22,57 @@ def test_terms_far_from_their_entity(spark):
     got = {r.term: r.disclosure for r in pii.disclosing_terms(df).collect()}
     assert got.keys() == {"quuxley", "vexmoor"} and min(got.values()) > 0.999
     assert "term:0:7" in {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}[0]
+
+
+def _brute_force(rows):
+    """Terms by the definition, over all words and entities, without any bound."""
+    docs = sorted({(i, t or "") for i, t in rows}, key=str)
+    words = [set(re.findall(r"[^\W_]+", t.lower())) for _, t in docs]
+    places, bare = {}, []
+    for d, (_, t) in enumerate(docs):
+        spans = sorted((m.start(), k, m.end(), n, m[0]) for k, (n, p, flags, holds) in enumerate(PII) for m in re.finditer(p, t, flags) if holds(m))
+        outside = t
+        for n, p, flags, holds in PII:
+            outside = re.sub(p, lambda m, holds=holds: "\n" if holds(m) else m[0], outside, flags=flags)
+        bare.append(set(re.findall(r"[^\W_]+", outside.lower())))
+        for a, k, b, n, value in spans:
+            entity = f"{n}:" + (re.sub("[^0-9]", "", value) if k >= 2 else value.lower())
+            near = lambda text: re.findall(r"[^\W_]+", text.lower())
+            before, after = near(t[:a])[-3:], near(t[b:])[:3]
+            places.setdefault(entity, {}).setdefault(d, set()).add(tuple(before + after) or ("", *sorted(words[d])))
+    n = len(docs)
+    out = {}
+    for entity, of in places.items():
+        if len(set().union(*of.values())) < 3 or len(of) == n:
+            continue
+        for term in set().union(*(words[d] for d in of)):
+            both = [d for d in of if term in words[d]]
+            if len(both) < 3 or all(term not in bare[d] for d in both) or len({min(of[d]) for d in both}) < 3:
+                continue
+            holding = sum(term in w for w in words)
+            share = math.log(len(both) / holding * n / len(of)) / math.log(n / len(of))
+            if share >= pii.GENERALISE - 1e-9:
+                out[term] = max(out.get(term, 0), share)
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(4)
+    filler = [f"w{i}" for i in range(60)]
+    people = [(f"p{i}@corp.example.com", [f"name{i}", f"desk{i}", "x" * (i + 1)]) for i in range(8)]
+    rows = []
+    for i in range(300):
+        w = [rng.choice(filler) for _ in range(rng.randint(4, 30))]
+        if rng.random() < 0.4:
+            mail, terms = rng.choice(people)
+            w.insert(rng.randrange(len(w)), mail)
+            for t in terms:
+                if rng.random() < 0.8:
+                    w.insert(rng.randrange(len(w)), t.title() if rng.random() < 0.5 else t)
+        elif rng.random() < 0.1:
+            w.append(rng.choice(rng.choice(people)[1]))
+        rows.append((i, " ".join(w)))
+    rows += rows[:40] + [(400 + i, rows[3][1]) for i in range(5)] + [(None, None), (None, "+1 743 555 3824 name1")]
+    got = {r.term: round(r.disclosure, 9) for r in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    want = {t: round(v, 9) for t, v in _brute_force(rows).items()}
+    assert got == want and len(want) > 8
