@@ -37,18 +37,20 @@ class Chain:
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 180, rate: float = 0.15, ridge: float = 4e-4) -> Chain:
     """Pages are (features, labels) of their blocks in order; maximises the penalised likelihood by Adam."""
-    pages = [(x, y) for x, y in pages if len(y)]
-    t, f = max(len(y) for _, y in pages), pages[0][0].shape[1]
-    x = np.zeros((len(pages), t, f))
+    pages = sorted(((x, y) for x, y in pages if len(y)), key=lambda page: -len(page[1]))
+    t, f = len(pages[0][1]), pages[0][0].shape[1]
+    live = [sum(len(y) > i for _, y in pages) for i in range(t)]  # the first so many pages have a block i
     y = np.zeros((len(pages), t), np.int64)
     on = np.zeros((len(pages), t))
     for i, (a, b) in enumerate(pages):
-        x[i, : len(b)], y[i, : len(b)], on[i, : len(b)] = a, b, 1
+        y[i, : len(b)], on[i, : len(b)] = b, 1
+    there = on > 0
+    x = np.concatenate([a for a, _ in pages]).astype(np.float64)  # rows of the blocks there are, page by page
     theta = [np.zeros((f, 2)), np.zeros((2, 2)), np.zeros(2)]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in theta]
     gold = np.eye(2)[y] * on[..., None]
     pairs = np.einsum("bti,btj->ij", gold[:, :-1], gold[:, 1:])
-    counted = [np.einsum("btf,btk->fk", x, gold), pairs, gold[:, 0].sum(0)]
+    counted = [x.T @ gold[there], pairs, gold[:, 0].sum(0)]
     n = on.sum()
 
     def soft(v: np.ndarray, axis: int) -> np.ndarray:
@@ -57,19 +59,21 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 180, rate: f
 
     for r in range(1, rounds + 1):
         emit, step, first = theta
-        e = x @ emit
+        e = np.zeros((len(pages), t, 2))
+        e[there] = x @ emit
         ahead, behind = np.zeros_like(e), np.zeros_like(e)
         ahead[:, 0] = first + e[:, 0]
         for i in range(1, t):
-            moved = soft(ahead[:, i - 1, :, None] + step, 1) + e[:, i]
-            ahead[:, i] = np.where(on[:, i, None] > 0, moved, ahead[:, i - 1])
+            m = live[i]
+            ahead[:m, i] = soft(ahead[:m, i - 1, :, None] + step, 1) + e[:m, i]
+            ahead[m:, i] = ahead[m:, i - 1]
         for i in range(t - 2, -1, -1):
-            moved = soft(step + (e[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
-            behind[:, i] = np.where(on[:, i + 1, None] > 0, moved, behind[:, i + 1])
+            m = live[i + 1]
+            behind[:m, i] = soft(step + (e[:m, i + 1] + behind[:m, i + 1])[:, None, :], 2)
         total = soft(ahead[:, -1], 1)
         single = np.exp(ahead + behind - total[:, None, None]) * on[..., None]
         double = np.exp(ahead[:, :-1, :, None] + step + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
-        expected = [np.einsum("btf,btk->fk", x, single), double.sum((0, 1)), single[:, 0].sum(0)]
+        expected = [x.T @ single[there], double.sum((0, 1)), single[:, 0].sum(0)]
         for p, want, have, m in zip(theta, counted, expected, moment):
             g = (want - have) / n - ridge * p
             m[0] = 0.9 * m[0] + 0.1 * g

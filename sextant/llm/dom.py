@@ -101,6 +101,7 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     open_: dict[str, int] = {}
+    block_at: list[int] = []  # places of open block elements in the stack
     parts: list[str] = []
     bits = linked = 0
     dropped: list[tuple[str, bool]] = []  # open elements without text; whether the end tag comes before another of its name begins
@@ -132,6 +133,8 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         nonlocal bits
         name, _ = stack.pop()
         open_[name] -= 1
+        if block_at and block_at[-1] == len(stack):
+            block_at.pop()
         if dropped and dropped[-1][0] == name:
             dropped.pop()
         bits = stack[-1][1] if stack else 0
@@ -154,7 +157,7 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         name = m[2]
         if name is None:
             if m[0].startswith("<![CDATA[") and not dropped:
-                parts.append(m[0][9:-3])
+                parts.append(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m[1]:
@@ -184,12 +187,13 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         if name in BLOCK or name == "option":
             while stack and name in _ENDS.get(stack[-1][0], ()):
                 pop()
-            if open_.get("p") and name in _ENDS["p"] and not any(n in ("button", "td", "th") for n, _ in stack[-3:]):
-                # Inline elements left open inside the paragraph end with it.
-                depth = next((i for i in range(len(stack) - 1, max(len(stack) - 12, -1), -1) if stack[i][0] in BLOCK), None)
-                if depth is not None and stack[depth][0] == "p":
-                    while len(stack) > depth:
-                        pop()
+            if name in _ENDS["p"] and block_at and stack[block_at[-1]][0] == "p":
+                # Inline elements left open inside the paragraph, however many, end with it.
+                depth = block_at[-1]
+                while len(stack) > depth:
+                    pop()
+        if name in BLOCK:
+            block_at.append(len(stack))
         stack.append((name, bits | _own_bits(name, m[3], known)))
         bits = stack[-1][1]
         open_[name] = open_.get(name, 0) + 1

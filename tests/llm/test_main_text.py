@@ -55,3 +55,27 @@ def test_page_without_an_end_of_head():
 
 def test_elements_left_open_are_linear():
     blocks_of("<video><foreignobject>" * 50_000 + "<select><div>" * 50_000)
+
+
+def test_paragraphs_end_with_what_they_hold():
+    deep = "<b>" * 40
+    assert [b.text for b in blocks_of(f"<p>One {deep}two<p>Three<div>Four</div>five")] == ["One two", "Three", "Four", "five"]
+    cells = f"<p>A<table><tr><td>{'<i>' * 9}cell<p>in<td>next</table>after"
+    assert [b.text for b in blocks_of(cells)] == ["A", "cell", "in", "next", "after"]
+    assert [b.text for b in blocks_of("a<![CDATA[hello")] == ["ahello"] and [b.text for b in blocks_of("<![CDATA[x]]>y")] == ["xy"]
+    blocks_of("<p><button>" + "<b>" * 50_000 + "<div></div>" * 50_000)  # in linear time
+
+
+#: Pages written by hand, in layouts that the generator of the training pages does not write, and their article.
+BY_HAND = [
+    ("<article><p>Yes.</p></article>", "Yes."),
+    ("<!doctype html><title>T</title><body><article><p>" + "Long words of one paragraph, one after another. " * 4000 + "</p></article>", ("Long words of one paragraph, one after another. " * 4000).strip()),
+    ("<html><body><a class='sr-only' href='#m'>Skip to the main content</a><nav><a href=a>Home</a> <a href=b>About</a></nav><main id=m><article><h1>Rain over the hills</h1><p>It rained for three days, and the river rose.</p><p>On the fourth day the sun came out.</p></article></main><footer>Printed by hand. All rights reserved.</footer></body></html>", "Rain over the hills It rained for three days, and the river rose. On the fourth day the sun came out."),
+    ("<body><header><a href=/>Daily</a></header><div class='overflow-hidden'><article><h2>Markets</h2><p>Prices fell on Monday, traders said, after a quiet week.</p><ul><li>Wheat fell by a tenth, the most in a year.</li><li>Rice held its price.</li></ul></article></div><aside><h3>Most read</h3><a href=1>One</a><a href=2>Two</a></aside><form><label>Mail</label><input><button>Join</button></form></body>", "Markets Prices fell on Monday, traders said, after a quiet week. Wheat fell by a tenth, the most in a year. Rice held its price."),
+    ("<body><div role=navigation><a href=x>Start</a><a href=y>Archive</a></div><article><p>First, the dough has to rest.<p>Then it is baked, slowly, for an hour.</article><section class=comments><h3>2 comments</h3><p>I tried it and it was very good, thank you.</p></section>", "First, the dough has to rest. Then it is baked, slowly, for an hour."),
+]
+
+
+@pytest.mark.parametrize("page,text", BY_HAND)
+def test_pages_by_hand(page, text):
+    assert pages.main_text(page, pages.default_model()) == text
