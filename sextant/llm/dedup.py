@@ -4,8 +4,8 @@ A document is the set of its distinct word shingles.  Documents with equal sets
 class from the start.  Class representatives carry minwise tokens; a tree begins with all
 of them and, at every node, branches by the values of a few tokens that the node's path
 picks, so documents go down together with the probability of their similarity at each
-token.  A node of few documents is compared exhaustively, by sketches; what looks similar
-there is confirmed on the full sets.  Independent trees are repeated until a pair at the
+token.  A node of few documents, or one of which most are near copies of one of them, is
+compared exhaustively, by sketches; what looks similar there is confirmed on the full sets.  Independent trees are repeated until a pair at the
 threshold is met with the target probability.
 
 In a node the similar documents are first joined by a spanning forest, a link less than
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,7 +46,13 @@ LEAF = 96
 #: Documents of a block when classes of a large node are held against each other; two blocks meet at a time.
 BLOCK = 2048
 #: A child with more than this part of its parent has not been split by the token.
-UNSPLIT = 0.5
+UNSPLIT = 0.8
+#: Share of equal tokens from which a document of a node is taken for a near copy of the node's pivot.
+RESOLVED_CUT = 0.75
+#: Large nodes up to this number are broadcast, with their pivots' tokens (at most 16 MB); more are joined by a shuffle.
+BROADCAST_NODES = 50_000
+#: Documents that are held against one document's set, sent once.
+PARTNERS = 32
 MOST_LEVELS = 8
 #: Sketches agree in 0.8 of 64 places on average where sets do in 0.8; below this share is five deviations off.
 SKETCH_CUT = 0.55
@@ -122,19 +129,29 @@ def _children(path: Column, branches: int) -> Column:
 def _leaves(reps: DataFrame, n_reps: int, trees: int, branches: int) -> DataFrame:
     """path, rep, size, pivot: the documents of all nodes that are compared, from all trees."""
     roots = F.flatten(F.array(*(_children(F.xxhash64(F.lit(t)), branches) for t in range(trees))))
-    rows = reps.select("rep", F.lit(n_reps).cast("bigint").alias("above"), F.explode(roots).alias("path"))
+    rows = reps.select("rep", "tokens", F.lit(n_reps).cast("bigint").alias("above"), F.explode(roots).alias("path"))
     found = None
     for level in range(1, MOST_LEVELS + 1):
-        nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-        rows = staged(rows.join(nodes, "path"), "nodes")
-        done = (F.col("size") <= LEAF) | (F.col("size") > UNSPLIT * F.col("above")) | F.lit(level == MOST_LEVELS)
-        leaves = rows.where(done).select("path", "rep", "size", "pivot")
+        sizes = staged(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "sizes")
+        # Large nodes are few and their rows stay where they are; small ones meet by path, none with more than a leaf's rows.
+        large = sizes.where(F.col("size") > LEAF).join(reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("of_pivot")), "pivot")
+        few = sizes.where(F.col("size") > LEAF).count() <= BROADCAST_NODES
+        equal = F.aggregate(F.zip_with("tokens", "of_pivot", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        held = rows.join(F.broadcast(large) if few else large, "path").select("path", "rep", "size", "pivot", "above", (equal >= int(RESOLVED_CUT * TOKENS)).alias("alike"))
+        small = rows.select("path", "rep").join(sizes.where(F.col("size") <= LEAF), "path").select("path", "rep", "size", "pivot", F.lit(0).cast("bigint").alias("above"), F.lit(True).alias("alike"))
+        nodes = staged(held.unionByName(small), "nodes")
+        # Near copies of the pivot go down together whatever token is picked: a node mostly of them is compared as it is.
+        own = nodes.where(F.col("size") > LEAF)
+        resolved = own.groupBy("path").agg((F.avg(F.col("alike").cast("double")) >= 0.5).alias("resolved"))
+        own = own.join(F.broadcast(resolved) if few else resolved, "path")
+        done = F.col("resolved") | (F.col("size") > UNSPLIT * F.col("above")) | F.lit(level == MOST_LEVELS)
+        leaves = own.where(done).select("path", "rep", "size", "pivot").unionByName(nodes.where(F.col("size") <= LEAF).select("path", "rep", "size", "pivot"))
         found = leaves if found is None else found.unionByName(leaves)
-        rest = rows.where(~done)
+        rest = own.where(~done)
         if level == MOST_LEVELS or rest.isEmpty():
-            return found
+            return staged(found, "leaves")
         down = rest.select("path", "rep", F.col("size").alias("above")).join(reps.select("rep", "tokens"), "rep")
-        rows = down.select("rep", "above", F.explode(_children(F.col("path"), branches)).alias("path"))
+        rows = down.select("rep", "tokens", "above", F.explode(_children(F.col("path"), branches)).alias("path"))
     return found
 
 
@@ -270,12 +287,38 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """The pairs whose full sets are similar enough; a document's set is sent once for a block of its partners."""
     pairs = staged(pairs.where("a <> b").distinct(), "pairs")
-    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("c"), F.size("x").alias("nx"), F.size("y").alias("ny")).where(100 * F.col("c") >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select("a", "b")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size).select("doc_id", "items")
+    sets = staged(sets, "sets")
+    blocks = pairs.groupBy("a").agg(_blocks(F.count("*"), PARTNERS).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    right = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "block", "b", "items")
+    left = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "block", F.lit(None).cast("bigint").alias("b"), "items")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            column = batch.column("items")
+            items, bounds = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]).tolist()
+            found = []
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                other = items[bounds[i] : bounds[i + 1]]
+                if b is None:
+                    of, own = a, other.copy()
+                    continue
+                if of != a:
+                    raise ValueError(f"no set of document {a} before its partners")
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    found.append((a, b))
+            if found:
+                x, y = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    # Nulls come first: each block begins with the set that its partners are held against.
+    met = left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", "b")
+    return met.select("a", "b", "items").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
@@ -334,7 +377,7 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, trees:
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, but only the first of each class of near duplicates.
 
-    Rows that repeat a doc_id are one document, of which one row stays; null doc_ids stay.
+    Rows that repeat a doc_id are one document, of which one row stays, the same on every run; null doc_ids stay.
     """
     marks = staged(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
     gone = marks.where("not kept").select("doc_id").distinct()
@@ -343,4 +386,6 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.struct(F.xxhash64(*docs.columns), F.to_json(row))).alias("row"))
+    return kept.where("doc_id is null").unionByName(one.select("row.*"))
