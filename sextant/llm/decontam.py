@@ -6,8 +6,9 @@ is counted over all documents.  Where a document has a window's prefix, the pref
 in the window says where the window would begin; it has to lie inside the document
 (positional and length bounds), its hash has to agree, and then its words have to.
 
-Item windows are held in blocks of a bounded number of item words; each block is one
-broadcast index and one pass over the documents that adds its hits to those found before.
+Item windows are held in blocks of a bounded number of item words, long items in overlapping pieces; each block is one
+broadcast index and one pass over the documents that adds its hits to those found before.  Passes are written in
+between, so driver and workers hold one block's index at a time, however large the benchmark is.
 
 Defined results: a null text, or one without words, has no words, hits or items; items
 without words have no windows; equal item ids count once; repeated documents are rows of
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stages import staged
 from .words import ALNUM, Texts, slices, span_hashes, windows
 
 WINDOW = 10
@@ -166,10 +168,32 @@ class Index:
         return at[keep], w[keep]
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[Block]:
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """item_id, text, n_words: items in pieces of at most `most` words that overlap by a window less a word, so each window is in one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts.of(batch.column("text"))
+            starts, ends, first = t.runs(ALNUM)
+            out = []
+            for i, item in enumerate(batch.column("item_id").to_pylist()):
+                lo, upto = int(first[i]), int(first[i + 1])
+                for a in range(lo, max(upto - window + 1, lo + 1), max(1, most - window + 1)) if upto > lo else ():
+                    b = min(a + max(most, window), upto)
+                    out.append((item, t.data[starts[a] : ends[b - 1]].tobytes().decode(), b - a))
+            if out:
+                ids, texts, n = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["item_id", "text", "n_words"])
+
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    return rows.mapInArrow(cut, "item_id string, text string, n_words bigint")
+
+
+def _blocks(items: DataFrame, block_words: int, window: int) -> Iterator[Block]:
+    """Blocks in order of items, one at a time."""
     block = Block()
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        n = len(row.text) // 2 + 1
+    for row in staged(_pieces(items, window, block_words), "item-pieces").orderBy("item_id", "text").toLocalIterator():
+        n = row.n_words
         if block.ids and block.n_words + n > block_words:
             yield block
             block = Block()
@@ -258,23 +282,32 @@ RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    indexes = []
-    for block in _blocks(items, block_words):
+    for index, last in _indexes(docs, items, window, block_words):
+        rows = _mark(rows, index, last)
+        if not last:
+            rows = staged(rows, "marked")
+    return rows
+
+
+def _indexes(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> Iterator[tuple[Index, bool]]:
+    """Each block's index and whether it is the last one."""
+    blocks = _blocks(items, block_words, window)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         index = block.build(window)
         index.choose_prefixes(_shingle_counts(docs, index))
-        indexes.append(index)
-    for i, index in enumerate(indexes):
-        rows = _mark(rows, index, i == len(indexes) - 1)
-    return rows
+        yield index, following is None
+        block = following
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents in which no item's window occurs, with all their columns."""
     out = docs
-    for block in _blocks(items, block_words):
-        index = block.build(window)
-        index.choose_prefixes(_shingle_counts(docs, index))
+    for index, last in _indexes(docs, items, window, block_words):
         out = _without(out, index)
+        if not last:
+            out = staged(out, "clean")
     return out
 
 

@@ -174,7 +174,7 @@ def test_statistics(docs, spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and r.kept == (not r.base_failed)
 
 
-@pytest.mark.parametrize("block_words", [500_000, 60])
+@pytest.mark.parametrize("block_words", [500_000, 60, 14])
 def test_contamination(docs, spark, block_words):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))
