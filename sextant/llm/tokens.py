@@ -4,12 +4,14 @@ Every pre-token of the vocabulary used here lies between two white-space
 characters, so the ids of a text are the ids of its white-space separated
 chunks, one after another.  Chunks repeat far more often than texts do, so each
 Python worker keeps the ids of the chunks it has met, and only asks the tokenizers
-library for new ones.  The cache is emptied when it reaches a fixed number of entries;
-that changes time, never ids.
+library for new ones.  The cache is emptied when it reaches a fixed number of entries or characters;
+that changes time, never ids.  A file whose normaliser or pre-tokenizer is not the known one is left to the library,
+text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -17,7 +19,16 @@ import numpy as np
 
 from .words import HELD
 
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES, CACHE_CHARACTERS = 1_200_000, 32_000_000
+# How a vocabulary file divides texts that can be encoded chunk by chunk.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Characters that the pattern below and the library's own see alike.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
 _PLAIN_TEXT = re.compile("[\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
@@ -84,6 +95,12 @@ class WordCachedTokenizer:
         self._ends = np.zeros(1 << 16, bool)
         self._ends[ends] = True
         self._chunks = _Chunks()
+        self._characters = 0
+        if self._tok.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
+        with open(path, encoding="utf-8") as f:
+            of = json.load(f)
+        self.by_chunks = of["normalizer"] == NORMALIZER and of["pre_tokenizer"] == PRE_TOKENIZER and of["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in of["added_tokens"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self._tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -111,6 +128,7 @@ class WordCachedTokenizer:
     def _learn(self, new: list[str]) -> None:
         odd: list[str] = []
         plain = new
+        self._characters += sum(map(len, new))
         text = " ".join(new)
         if "<|" in text or not _PLAIN_TEXT.fullmatch(text):
             plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
@@ -123,6 +141,8 @@ class WordCachedTokenizer:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text; a null text has none."""
+        if not self.by_chunks:
+            return self._encode([t or "" for t in texts])
         out: list[bytes] = []
         group: list[list[bytes]] = []
         n = 0
@@ -139,14 +159,15 @@ class WordCachedTokenizer:
                     new.clear()
                 out += [b"".join(x) for x in group]
                 group, n = [], 0
-                if len(self._chunks) > self._cap:
+                if len(self._chunks) > self._cap or self._characters > CACHE_CHARACTERS:
                     self._chunks.clear()
+                    self._characters = 0
         return out
 
 
     def forget(self) -> None:
         """Frees the cache; workers live on after the job that filled it."""
-        self._chunks = _Chunks()
+        self._chunks, self._characters = _Chunks(), 0
 
 
 _OPEN: dict[str, WordCachedTokenizer] = {}

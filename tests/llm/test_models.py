@@ -116,3 +116,10 @@ def test_tokens_equal_the_library(texts):
     got = TOKENIZER.encode_texts(texts)
     for t, ids in zip(texts, got):
         assert np.frombuffer(ids, np.uint16).tolist() == TOKENIZER._tok.encode(t or "", add_special_tokens=False).ids
+
+
+def test_another_vocabulary_is_left_to_the_library():
+    other = WordCachedTokenizer(vocabulary_path("byte_bpe_50k.json"))
+    assert TOKENIZER.by_chunks and not other.by_chunks
+    texts = ["Two  words\n", "", None, "é😀 x"]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in other.encode_texts(texts)] == [other._tok.encode(t or "", add_special_tokens=False).ids for t in texts]
