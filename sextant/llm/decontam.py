@@ -6,9 +6,9 @@ is counted over all documents.  Where a document has a window's prefix, the pref
 in the window says where the window would begin; it has to lie inside the document
 (positional and length bounds), its hash has to agree, and then its words have to.
 
-Item windows are held in blocks of a bounded number of item words, long items in overlapping pieces; each block is one
-broadcast index and one pass over the documents that adds its hits to those found before.  Passes are written in
-between, so driver and workers hold one block's index at a time, however large the benchmark is.
+Up to BLOCK_WORDS words, the benchmark's windows are one broadcast index.  A larger benchmark is joined by shuffles:
+windows by prefix, documents' shingles that a filter of a fixed size lets pass, then candidates with their documents,
+where the words are compared.  Both give the same rows.
 
 Defined results: a null text, or one without words, has no words, hits or items; items
 without words have no windows; equal item ids count once; repeated documents are rows of
@@ -26,14 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .stages import staged
 from .words import ALNUM, Texts, slices, span_hashes, windows
 
 WINDOW = 10
 SHINGLE = 3
-#: Words of items in one block: an index of about 100 bytes a word at most.
+#: Words of a benchmark that is broadcast: an index of about 100 bytes a word at most.  A larger one is joined by shuffles.
 BLOCK_WORDS = 500_000
+#: Words of a piece of an item; pieces overlap.
+PIECE_WORDS = 20_000
+#: Bits of the filters that go to the workers: 8 MB each, whatever they are made from.
+FILTER_BITS = 1 << 26
 _BITS = 20
 
 
@@ -43,7 +48,6 @@ class Block:
 
     ids: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
-    n_words: int = 0
 
     def build(self, window: int) -> "Index":
         t = Texts.of(pa.array(self.texts, pa.string())).lowered()
@@ -185,22 +189,19 @@ def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
                 ids, texts, n = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["item_id", "text", "n_words"])
 
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item_id"), "text").where("text is not null")
     return rows.mapInArrow(cut, "item_id string, text string, n_words bigint")
 
 
-def _blocks(items: DataFrame, block_words: int, window: int) -> Iterator[Block]:
-    """Blocks in order of items, one at a time."""
+def _index(docs: DataFrame, pieces: DataFrame, window: int) -> Index:
+    """The index of a benchmark of a bounded number of words."""
     block = Block()
-    for row in staged(_pieces(items, window, block_words), "item-pieces").orderBy("item_id", "text").toLocalIterator():
-        n = row.n_words
-        if block.ids and block.n_words + n > block_words:
-            yield block
-            block = Block()
-        block.ids.append(str(row.item_id))
+    for row in pieces.orderBy("item_id", "text").toLocalIterator():
+        block.ids.append(row.item_id)
         block.texts.append(row.text)
-        block.n_words += n
-    yield block
+    index = block.build(window)
+    index.choose_prefixes(_shingle_counts(docs, index))
+    return index
 
 
 def _shingle_counts(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
@@ -236,10 +237,11 @@ def _shingle_counts(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
     return out
 
 
-def _mark(rows: DataFrame, index: Index, last: bool) -> DataFrame:
-    """Adds a block's hits (a bit per word) and items; the last pass turns them into the result."""
-    sent = rows.sparkSession.sparkContext.broadcast(index)
-    schema = RESULT if last else "doc_id bigint, text string, hits binary, items array<string>"
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
+
+def _mark(docs: DataFrame, index: Index) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # of BLOCK_WORDS item words
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -250,65 +252,160 @@ def _mark(rows: DataFrame, index: Index, last: bool) -> DataFrame:
             cover = np.zeros(first[-1] + 1, np.int64)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + index.length[w], -1)
-            hit = np.cumsum(cover)[:-1] > 0
-            items: list[set[str]] = [set(x) for x in batch.column("items").to_pylist()]
+            hits = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
+            n_hit = hits[first[1:]] - hits[first[:-1]]
+            items: list[set[str]] = [set() for _ in range(len(t))]
             doc = np.searchsorted(first, at, side="right") - 1
             for d, i in np.unique(np.stack([doc, index.item[w]], 1), axis=0).tolist():
                 items[d].add(index.ids[i])
-            bits = []
-            for d, old in enumerate(batch.column("hits").to_pylist()):
-                own = hit[first[d] : first[d + 1]]
-                if old:
-                    own = own | np.unpackbits(np.frombuffer(old, np.uint8), count=len(own)).astype(bool)
-                bits.append(own)
-            ids = batch.column("doc_id")
-            if not last:
-                packed = [np.packbits(b).tobytes() for b in bits]
-                yield pa.RecordBatch.from_arrays([ids, batch.column("text"), pa.array(packed, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
-                continue
-            n_hit = [int(b.sum()) for b in bits]
             said = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(said, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())],
+                [batch.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(said, pa.string()), pa.array(n_hit > 0, pa.bool_())],
                 names=[x.split()[0] for x in RESULT.split(", ")],
             )
 
-    return rows.mapInArrow(mark, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(mark, RESULT)
 
 
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+def _item_windows(pieces: DataFrame, window: int) -> DataFrame:
+    """words, shingles, item_id: every window, its words side by side and its shingle hashes in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts.of(batch.column("text")).lowered()
+            starts, ends, first = t.runs(ALNUM)
+            raw, hashes = t.data.tobytes(), span_hashes(t.data, starts, ends)
+            said = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+            out = []
+            for i, item in enumerate(batch.column("item_id").to_pylist()):
+                lo, upto = int(first[i]), int(first[i + 1])
+                n = min(window, upto - lo)
+                size = min(SHINGLE, n)
+                if n:
+                    h = windows(hashes[lo:upto], np.array([0, upto - lo]), size)[0].view(np.int64)
+                    out += [(" ".join(said[a : a + n]), h[a - lo : a - lo + n - size + 1], item) for a in range(lo, upto - n + 1)]
+            if out:
+                words, shingles, ids = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(shingles, pa.list_(pa.int64())), pa.array(ids, pa.string())], names=["words", "shingles", "item_id"])
+
+    return pieces.mapInArrow(cut, "words string, shingles array<bigint>, item_id string")
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the hashes `s` by FILTER_BITS; workers build it in parts."""
+    at = F.pmod("s", F.lit(FILTER_BITS)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        bits = np.frombuffer(row.bits, np.uint8)
+        out[(row.part - 1) * len(bits) : row.part * len(bits)] = bits
+    return out
+
+
+def _places(rows: DataFrame, sizes: list[int], hashes: DataFrame) -> DataFrame:
+    """row, s, at: where documents have shingles of these sizes that the filter of `hashes` lets pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(_filter(hashes))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            t = Texts.of(batch.column("text")).lowered()
+            starts, ends, first = t.runs(ALNUM)
+            hashes, row = span_hashes(t.data, starts, ends), batch.column("row").to_numpy()
+            for size in sizes:
+                h, bounds = windows(hashes, first, size)
+                bit = h & np.uint64(FILTER_BITS - 1)
+                may = np.flatnonzero((sent.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                doc = np.searchsorted(bounds, may, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(row[doc]), pa.array(h[may].view(np.int64)), pa.array(may - bounds[doc], pa.int64())], names=["row", "s", "at"])
+
+    return rows.select("row", "text").mapInArrow(find, "row bigint, s bigint, at bigint")
+
+
+def _joined(rows: DataFrame, pieces: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(row, begin, end, words) of every window in every document (row, text), and (words, item_id) of the benchmark."""
+    found = staged(_item_windows(pieces, window), "item-windows")
+    owners = found.select("words", "item_id").distinct()
+    shingles = staged(found.select("words", "shingles").dropDuplicates(["words"]).select("words", F.posexplode("shingles").alias("place", "s")), "item-shingles")
+    sizes = sorted(r.n for r in found.select(F.least(F.lit(SHINGLE), F.size(F.split("words", " "))).alias("n")).distinct().collect())  # at most SHINGLE
+    # A window with a shingle that no document has is in none; of the others the rarest shingle is the prefix.
+    counts = _places(rows, sizes, shingles).groupBy("s").agg(F.count("*").alias("n"))
+    known = shingles.join(counts, "s", "left").select("words", "place", "s", F.coalesce("n", F.lit(0)).alias("n"))
+    prefixes = known.groupBy("words").agg(F.min_by(F.struct("place", "s"), F.struct("n", "place")).alias("p"), F.min("n").alias("n"))
+    prefixes = staged(prefixes.where("n > 0").select("words", "p.place", "p.s"), "prefixes")
+    may = _places(rows, sizes, prefixes).join(prefixes, "s").select("row", (F.col("at") - F.col("place")).alias("begin"), "words")
+    may = staged(may.where("begin >= 0").distinct(), "candidates")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, said = None, []
+        for batch in batches:
+            out = []
+            for row, text, begin, words in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "begin", "words"))):
+                if begin is None:
+                    t = Texts.of(pa.array([text], pa.string())).lowered()
+                    starts, ends, _ = t.runs(ALNUM)
+                    raw = t.data.tobytes()
+                    of, said = row, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+                    continue
+                if row != of:
+                    raise ValueError(f"no text of row {row} before its candidates")
+                own = words.encode().split(b" ")
+                if said[begin : begin + len(own)] == own:
+                    out.append((row, begin, begin + len(own), words))
+            if out:
+                r, a, b, w = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.string())], names=["row", "begin", "end", "words"])
+
+    # Nulls come first: a document's text goes before its candidates.
+    texts = rows.join(may.select("row").distinct(), "row", "left_semi").select("row", "text", F.lit(None).cast("bigint").alias("begin"), F.lit(None).cast("string").alias("words"))
+    met = texts.unionByName(may.select("row", F.lit(None).cast("string").alias("text"), "begin", "words"))
+    hits = met.repartition("row").sortWithinPartitions("row", "begin").mapInArrow(verify, "row bigint, begin bigint, end bigint, words string")
+    return staged(hits, "hits"), owners
+
+
+def _digested(rows: DataFrame, hits: DataFrame, owners: DataFrame) -> DataFrame:
+    """The result rows: words under any window, and the items with such windows, per document."""
+    before = Window.partitionBy("row").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.groupBy("row", "begin").agg(F.max("end").alias("end"))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0))))
+    covered = spans.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"))
+    items = hits.select("row", "words").distinct().join(owners, "words").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    n_hit, said = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce(F.array_join("items", ","), F.lit(""))
+    out = rows.select("row", "doc_id", "n_words").join(covered, "row", "left").join(items, "row", "left")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.array_size("items"), F.lit(0)).cast("bigint").alias("n_items"), F.sha2(said.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            _, _, first = Texts.of(batch.column("text")).runs(ALNUM)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.diff(first), pa.int64())], names=["doc_id", "text", "n_words"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "doc_id bigint, text string, n_words bigint")
+
+
+def _few(pieces: DataFrame, most: int) -> bool:
+    return pieces.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] <= most
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for index, last in _indexes(docs, items, window, block_words):
-        rows = _mark(rows, index, last)
-        if not last:
-            rows = staged(rows, "marked")
-    return rows
-
-
-def _indexes(docs: DataFrame, items: DataFrame, window: int, block_words: int) -> Iterator[tuple[Index, bool]]:
-    """Each block's index and whether it is the last one."""
-    blocks = _blocks(items, block_words, window)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        index = block.build(window)
-        index.choose_prefixes(_shingle_counts(docs, index))
-        yield index, following is None
-        block = following
+    pieces = staged(_pieces(items, window, min(block_words, PIECE_WORDS)), "item-pieces")
+    if _few(pieces, block_words):
+        return _mark(docs, _index(docs, pieces, window))
+    rows = staged(_counted(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return _digested(rows, *_joined(rows, pieces, window))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents in which no item's window occurs, with all their columns."""
-    out = docs
-    for index, last in _indexes(docs, items, window, block_words):
-        out = _without(out, index)
-        if not last:
-            out = staged(out, "clean")
-    return out
+    pieces = staged(_pieces(items, window, min(block_words, PIECE_WORDS)), "item-pieces")
+    if _few(pieces, block_words):
+        return _without(docs, _index(docs, pieces, window))
+    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), "text", F.monotonically_increasing_id().alias("row")), "numbered")
+    hits, _ = _joined(rows.select("row", "text"), pieces, window)
+    return rows.join(hits.select("row").distinct(), "row", "left_anti").select("doc.*")
 
 
 def _without(docs: DataFrame, index: Index) -> DataFrame:

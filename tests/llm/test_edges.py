@@ -27,6 +27,7 @@ OPERATORS = {
     "sharding": lambda s, d: sharding.shard_documents(d),
     "huffman": lambda s, d: huffman.encode_documents(d, vocabulary_path()),
     "decontam": lambda s, d: decontam.find_contamination(d, _items(s)),
+    "decontam by joins": lambda s, d: decontam.find_contamination(d, _items(s), block_words=1),
     "secrets": lambda s, d: secrets.find_secrets(d),
     "sanitised": lambda s, d: pii.sanitised(d),
 }
@@ -62,6 +63,8 @@ def test_filters_keep_columns(spark):
     clean = decontam.drop_contaminated(docs, _items(spark))
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {1, 2, 3, 4, 5, 6, 9, 2**62 + 1}
+    joined = decontam.drop_contaminated(docs, _items(spark), block_words=1)
+    assert joined.columns == docs.columns and sorted(map(str, joined.collect())) == sorted(map(str, clean.collect()))
     good = quality.keep_good(docs, _labels(spark, ()))
     assert good.columns == docs.columns and good.count() == 0  # all too short, or repeating
     for f in (lambda d: dedup.one_of_each(d), lambda d: decontam.drop_contaminated(d, _items(spark, ())), lambda d: quality.keep_good(d, _labels(spark, ()))):
