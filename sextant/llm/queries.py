@@ -10,6 +10,7 @@ from .chat import expand_prefix_targets, read_back
 from .decontam import find_contamination
 from .dedup import near_duplicates
 from .huffman import encode_documents
+from .infill import fill_in_middle, infill_digests
 from .packing import pack_documents
 from .pages import extract_main_text
 from .pii import find_personal_data
@@ -66,9 +67,17 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files, op8_decontamination, op9_harmonic_packing, op10_markov_secrets)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files,
+        op8_decontamination, op9_harmonic_packing, op10_markov_secrets, op12_fill_in_middle,
+    )
+}
 
 _SPACE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -124,4 +133,12 @@ ORACLE: dict[str, str] = {
         k as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
         m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, item_id::varchar x from h) group by doc_id)
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join k using (doc_id) left join m using (doc_id)""",
+    "op12_fill_in_middle": """
+        with x as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(doc_id::varchar, '')) s from documents),
+        h as (select *, ('0x' || s[1:8])::bigint h1, ('0x' || s[9:16])::bigint h2, ('0x' || s[17:24])::bigint h3, ('0x' || s[25:32])::bigint h4 from x),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+            case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end form from h),
+        p as (select *, substr(t, 1, a) p, substr(t, a + 1, b - a) m, substr(t, b + 1) s3 from c)
+        select doc_id, n, form, case when form <> 'plain' then a end prefix_chars, case when form <> 'plain' then b - a end middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s3 || '<M>' || m else '<S>' || s3 || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p""",
 }
