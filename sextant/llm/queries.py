@@ -11,6 +11,7 @@ from .decontam import find_contamination
 from .dedup import near_duplicates
 from .huffman import encode_documents
 from .infill import fill_in_middle, infill_digests
+from .lexical import build_index
 from .packing import pack_documents
 from .pages import extract_main_text
 from .pii import find_personal_data
@@ -67,6 +68,10 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_index(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -75,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files,
-        op8_decontamination, op9_harmonic_packing, op10_markov_secrets, op12_fill_in_middle,
+        op8_decontamination, op9_harmonic_packing, op10_markov_secrets, op11_ranked_lexical_search, op12_fill_in_middle,
     )
 }
 
@@ -133,6 +138,15 @@ ORACLE: dict[str, str] = {
         k as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
         m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) s from (select distinct doc_id, item_id::varchar x from h) group by doc_id)
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated from d left join k using (doc_id) left join m using (doc_id)""",
+    "op11_ranked_lexical_search": f"""
+        with d as materialized (select row_number() over () r, doc_id, {_ALNUM_WORDS} w from documents),
+        s as (select count(*) n, sum(len(w))::bigint l from d where len(w) > 0),
+        p as materialized (select r, t, count(*) tf from (select r, unnest(w) t from d) group by r, t),
+        q as materialized (select item_id, t, count(*) c from (select item_id, unnest({_ALNUM_WORDS}) t from benchmark) group by item_id, t),
+        f as (select t, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint w from (select t, count(*) df from p where t in (select t from q) group by t), s),
+        x as (select item_id, r, sum(c * f.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * n) // l))))::bigint score from q join f using (t) join p using (t) join d using (r), s group by item_id, r),
+        o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) rank, doc_id, score from x join d using (r) where score > 0)
+        select item_id, rank::integer rank, doc_id, score from o where rank <= 20""",
     "op12_fill_in_middle": """
         with x as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(doc_id::varchar, '')) s from documents),
         h as (select *, ('0x' || s[1:8])::bigint h1, ('0x' || s[9:16])::bigint h2, ('0x' || s[17:24])::bigint h3, ('0x' || s[25:32])::bigint h4 from x),

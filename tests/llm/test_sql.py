@@ -16,5 +16,5 @@ def test_against_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).fetchdf()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = lambda df: sorted(map(repr, df[columns].astype(str).values.tolist()))
+    rows = lambda df: sorted(map(repr, df[columns].convert_dtypes().astype(str).values.tolist()))
     assert rows(got) == rows(want)
