@@ -11,6 +11,7 @@ from .decontam import find_contamination
 from .dedup import near_duplicates
 from .huffman import encode_documents
 from .infill import fill_in_middle, infill_digests
+from .langid import language_of
 from .lexical import build_index
 from .packing import pack_documents
 from .pages import extract_main_text
@@ -76,11 +77,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_prefix_targets, op2_near_duplicates, op3_disclosure_pii, op4_quality_trees, op5_crf_main_text, op6_jump_sharding, op7_huffman_token_files,
-        op8_decontamination, op9_harmonic_packing, op10_markov_secrets, op11_ranked_lexical_search, op12_fill_in_middle,
+        op8_decontamination, op9_harmonic_packing, op10_markov_secrets, op11_ranked_lexical_search, op12_fill_in_middle, op13_hyperdimensional_language,
     )
 }
 
