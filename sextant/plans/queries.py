@@ -14,6 +14,7 @@ from ..operators import rag
 from ..operators import significance as S
 from ..operators.ann import HyperplaneIndex
 from ..operators.bm25 import NgramStats, SparseEncoder, query_grams
+from ..operators.cells import CellIndex
 from ..operators.ranking import dedupe_by_document, top_k
 from ..operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LateInteractionStrategy, LexicalStrategy, NgramBM25Strategy, Reranker, SiblingExpansionStrategy
 from ..operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, MaxSimSearcher, SparseSearcher, UniqueDocSearcher, missing_query_vectors
@@ -264,6 +265,11 @@ def ann_lsh(r: Roles) -> DataFrame:
     return hits(HyperplaneIndex(r.vectors(), 64).search(r.query_vectors(), 10))
 
 
+@query
+def ann_cells(r: Roles) -> DataFrame:
+    return hits(CellIndex.build(r.vectors()).search(r.query_vectors(), 10))
+
+
 @query
 def dedupe_by_doc(r: Roles) -> DataFrame:
     return hits(dedupe_by_document(top_k(r.stats().score(1), 50), r.pid2did(), 10))
