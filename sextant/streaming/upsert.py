@@ -13,7 +13,7 @@ from ..sources.store import PointStore, latest
 
 def upsert_stream(points: DataFrame, store: PointStore, checkpoint: str, key: str = "id", version: str = "version") -> StreamingQuery:
     """Runs through what is there and stops; started again, it goes on where it stopped."""
-    store.ensure(points.schema)
+    store.ensure(points.schema, key=key)
 
     def apply(batch: DataFrame, _: int) -> None:
         store.upload(latest(batch, key, version), key, skip_existing=False, version=version)

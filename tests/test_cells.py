@@ -73,13 +73,15 @@ def test_other_folders_are_not_opened(spark, clustered):
     assert len(files) <= every / 3
 
 
-def test_more_is_read_where_the_estimate_fails(spark, clustered):
-    """A centre's statistics that promise too much: the scores that are found send the search on."""
-    docs, index = clustered
-    wrong = CellIndex.open(spark, index.path)
-    wrong.cells.n[:] = np.where(np.arange(len(wrong.cells.n)) % 2, wrong.cells.n, wrong.cells.n * 50)
-    q = docs.where("cast(doc_id as int) % 100 = 0").withColumnRenamed("doc_id", "query_id")
-    assert recall_of(wrong, docs, q) >= 0.9
+def test_more_is_read_where_the_estimate_fails(clustered):
+    """Low scores in the cells that were read send the search on, high ones end it."""
+    own = clustered[1].cells
+    q = own.centres[:5]
+    read = own.chosen(q, 10, 0.9)
+    assert read.any(axis=1).all() and not read.all()
+    more = own.chosen(q, 10, 0.9, read, np.full((5, 10), -1.0))
+    assert more.any(axis=1).all() and not (more & read).any()
+    assert not own.chosen(q, 10, 0.9, read, np.full((5, 10), 0.9999)).any()
 
 
 def test_one_vector_a_third_of_all_rows(spark, monkeypatch):
