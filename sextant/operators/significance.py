@@ -1,26 +1,33 @@
 """Paired comparison of runs: deltas, bootstrap intervals, permutation and signed-rank tests.
 
 Resampling is indexed by md5 of (seed, resample, place), so it is the same on every engine and
-partitioning.  The work per resample is one row per query; resamples are spread over tasks.  Python runs only on
-result rows, one per metric and two runs, for the tails of distributions that SQL lacks.
+partitioning.  A task holds a block of differences and adds up a range of resamples; no row is made of a query and a
+resample.  Other Python runs on result rows alone, one per metric and two runs, for the tails of distributions that SQL lacks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
+from hashlib import md5
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staged
+
 #: Resamples of the bootstrap and permutations of the randomisation tests.
 RESAMPLES = 10_000
-
-
-def hash_number(text: Column) -> Column:
-    """The first 32 bits of md5 as a number."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+#: Differences of a metric that a task holds.
+BLOCK_PLACES = 262_144
+#: Up to so many differences the signed-rank law is counted out.
+EXACT_RANKS = 50
+#: Hashes that are made at a time, and in a task.
+_HELD_HASHES, _TASK_HASHES = 262_144, 5_000_000
 
 
 def paired(metrics: DataFrame, a: str, b: str) -> DataFrame:
@@ -40,61 +47,115 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
     return out.withColumn("tie", 1 - F.col("win") - F.col("loss"))
 
 
-def _numbered(pairs: DataFrame) -> DataFrame:
-    own = Window.partitionBy("metric")
-    return pairs.select("metric", "d", (F.row_number().over(own.orderBy("query_id")) - 1).alias("i"), F.count("*").over(own).alias("n"))
+def _placed(pairs: DataFrame) -> DataFrame:
+    """metric, i, d: a metric's differences numbered from 0 by query_id, range by range, so no task numbers them all."""
+    rows = pairs.select("metric", "query_id", "d").repartitionByRange("metric", "query_id").withColumn("part", F.spark_partition_id())
+    rows = staged(rows, "differences")
+    before = Window.partitionBy("metric").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("metric", "part").agg(F.count("*").alias("own")).select("metric", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("metric", "part").orderBy("query_id")
+    return rows.withColumn("i", F.row_number().over(own) - 1).join(offsets, ["metric", "part"]).select("metric", (F.col("i") + F.col("first")).alias("i"), "d")
+
 
+def _hashes(prefix: str, resamples: range, places: range) -> np.ndarray:
+    """The first 32 bits of md5(prefix:r:i), a row for each resample r."""
+    at = [str(i).encode() for i in places]
+    heads = [f"{prefix}:{r}:".encode() for r in resamples]
+    return np.frombuffer(b"".join(md5(head + i).digest()[:4] for head in heads for i in at), dtype=">u4").astype(np.int64).reshape(len(heads), len(at))
 
-def _draws(rows: DataFrame, fields: list[str], resamples: int, seed: str) -> DataFrame:
-    """chunk, r, i, h and the fields of rows (metric, i, ...) for every resample r.
 
-    A place's hash is taken once for all metrics, and chunks of resamples are dealt over the tasks before they are written out.
+_SUMS = "metric string, r int, total double"
+
+
+def _resampled(rows: DataFrame, resamples: int, prefix: str, flips: bool) -> DataFrame:
+    """metric, r, mean: of each resample, by drawing places (r, i) -> hash mod n, or by a sign for each place.
+
+    Differences are packed into blocks of BLOCK_PLACES; a task has one block and a range of resamples, hashes the places once for all metrics,
+    and keeps one sum for each resample and metric.  What is shuffled are these sums.
     """
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    size = -(-resamples // (4 * tasks))
-    places = rows.groupBy("i").agg(F.collect_list(F.struct("metric", *fields)).alias("of"))  # one entry per metric
-    chunks = places.select("i", "of", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // size))).alias("chunk")).repartition(tasks, "chunk")
-    last = F.least((F.col("chunk") + 1) * size, F.lit(resamples)) - 1
-    drawn = chunks.select("chunk", "i", "of", F.explode(F.sequence(F.col("chunk") * size, last)).alias("r"))
-    hashed = drawn.select("chunk", "r", "i", "of", hash_number(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("i").cast("string"))).alias("h"))
-    return hashed.select("chunk", "r", "i", "h", F.explode("of").alias("x")).select("chunk", "r", "i", "h", "x.*")
+    rows = staged(rows, "places")
+    sizes = rows.groupBy("metric").agg(F.count("*").alias("n"))
+    packed = rows.groupBy("metric", F.floor(F.col("i") / BLOCK_PLACES).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("x"))
+    packed = packed.join(sizes, "metric").select("block", F.struct("metric", "n", F.transform("x", lambda x: x["d"]).alias("d")).alias("x"))
+    blocks = packed.groupBy("block").agg(F.collect_list("x").alias("of"))
+    longest = sizes.agg(F.max("n")).first()[0] or 1
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, resamples * longest // _TASK_HASHES)
+    step = max(1, resamples // min(tasks, resamples))
+    starts = F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(step))
+    cells = blocks.select("block", "of", F.explode(starts).alias("start")).repartition(min(tasks, resamples), "block", "start")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, of, start in zip(*(b.column(c).to_pylist() for c in ("block", "of", "start"))):
+                end, lo = min(start + step, resamples), block * BLOCK_PLACES
+                metrics = [(x["metric"], x["n"], np.array(x["d"])) for x in of]
+                own = range(lo, lo + max(len(d) for _, _, d in metrics))
+                places = own if flips else range(max(n for _, n, _ in metrics))
+                sums = {m: np.zeros(end - start) for m, _, _ in metrics}
+                wide = max(1, min(len(places), _HELD_HASHES))
+                high = max(1, _HELD_HASHES // wide)
+                for r in range(start, end, high):
+                    these = range(r, min(r + high, end))
+                    for i in range(places.start, places.stop, wide):
+                        part = range(i, min(i + wide, places.stop))
+                        h = _hashes(prefix, these, part)
+                        for m, n, d in metrics:
+                            if flips:
+                                k = max(0, min(lo + len(d), part.stop) - i)
+                                values = d[i - lo : i - lo + k] * np.where(h[:, :k] & 1, -1.0, 1.0)
+                            else:
+                                j = h[:, : max(0, n - i)] % n - lo
+                                inside = (j >= 0) & (j < len(d))
+                                values = np.where(inside, d[np.where(inside, j, 0)], 0.0)
+                            sums[m][r - start : these.stop - start] += values.sum(1)
+                names = [m for m, _, _ in metrics]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(names, dtype=object), end - start), pa.string()), pa.array(np.tile(np.arange(start, end, dtype=np.int32), len(names))), pa.array(np.concatenate([sums[m] for m in names]))],
+                    names=["metric", "r", "total"],
+                )
+
+    totals = cells.mapInArrow(add, _SUMS).groupBy("metric", "r").agg(F.sum("total").alias("total"))
+    return totals.join(sizes, "metric").select("metric", "r", (F.col("total") / F.col("n")).alias("m"))
 
 
 def bootstrap_ci(pairs: DataFrame, resamples: int = RESAMPLES, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """metric, ci_low, ci_high: percentiles of the mean difference over resamples with replacement."""
-    rows = _numbered(pairs)
-    drawn = _draws(rows, ["n"], resamples, str(seed)).select("chunk", "metric", "r", F.pmod("h", "n").cast("int").alias("i"))
-    picked = drawn.join(rows.select("metric", "i", "d"), ["metric", "i"])
-    means = picked.groupBy("chunk", "metric", "r").agg(F.avg("d").alias("m"))
+    means = _resampled(_placed(pairs), resamples, str(seed), flips=False)
     return means.groupBy("metric").agg(F.percentile("m", F.lit((1 - ci) / 2)).alias("ci_low"), F.percentile("m", F.lit((1 + ci) / 2)).alias("ci_high"))
 
 
 def permutation_p(pairs: DataFrame, permutations: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """metric, p: (hits + 1) / (permutations + 1) for sign flips of the differences."""
-    rows = _numbered(pairs)
-    sign = F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)
-    means = _draws(rows, ["d"], permutations, f"{seed}:flip").groupBy("chunk", "metric", "r").agg(F.abs(F.avg(F.col("d") * sign)).alias("m"))
+    rows = _placed(pairs)
+    means = _resampled(rows, permutations, f"{seed}:flip", flips=True)
     observed = rows.groupBy("metric").agg(F.abs(F.avg("d")).alias("o"))
-    reached = F.round("m", 9) >= F.round("o", 9)
+    reached = F.round(F.abs("m"), 9) >= F.round("o", 9)
     return means.join(observed, "metric").groupBy("metric").agg(((F.sum(reached.cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
 
 
-def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """metric, n, t_plus, t_minus, z: signed ranks of non-zero differences, mean ranks for ties; z is null if there are none."""
+def _signed_ranks(pairs: DataFrame) -> DataFrame:
+    """metric, n, t_plus, t_minus, z, plain: signed ranks of non-zero differences; `plain` where there are neither zeros nor ties."""
     own = Window.partitionBy("metric")
-    size = F.round(F.abs("d"), 9)
-    rows = pairs.withColumn("size", size).where("size > 0")
-    tied = F.count("*").over(Window.partitionBy("metric", "size"))
-    rows = rows.select("metric", "d", tied.alias("t"), (F.rank().over(own.orderBy("size")) + (tied - 1) / 2).alias("r"))
-    sums = rows.groupBy("metric").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("t_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("t_minus"),
-        F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("tie_term"),
+    rows = pairs.withColumn("size", F.round(F.abs("d"), 9))
+    # Differences of one size have one rank, so sizes are counted before they are put in order.
+    sizes = rows.where("size > 0").groupBy("metric", "size").agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("bigint")).alias("up"))
+    before = F.coalesce(F.sum("t").over(own.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.select("metric", "t", "up", (before + (F.col("t") + 1) / 2).alias("r"))
+    sums = ranked.groupBy("metric").agg(
+        F.sum("t").alias("n"), F.sum(F.col("up") * F.col("r")).alias("t_plus"), F.sum((F.col("t") - F.col("up")) * F.col("r")).alias("t_minus"),
+        F.sum((F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double")).alias("tie_term"), F.max("t").alias("most"),
     )
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48)
     z = (F.least("t_plus", "t_minus") - n * (n + 1) / 4) / F.when(spread > 0, spread)
-    return pairs.select("metric").distinct().join(sums, "metric", "left").select("metric", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t_plus", F.lit(0.0)).alias("t_plus"), F.coalesce("t_minus", F.lit(0.0)).alias("t_minus"), z.alias("z"))
+    all_ = rows.groupBy("metric").agg(F.count("*").alias("all"))
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return all_.join(sums, "metric", "left").select("metric", zero("n", 0), zero("t_plus", 0.0), zero("t_minus", 0.0), z.alias("z"), F.coalesce((F.col("n") == F.col("all")) & (F.col("most") == 1), F.lit(False)).alias("plain"))
+
+
+def wilcoxon(pairs: DataFrame) -> DataFrame:
+    """metric, n, t_plus, t_minus, z: signed ranks of non-zero differences, mean ranks for ties; z is null if there are none."""
+    return _signed_ranks(pairs).drop("plain")
 
 
 def two_sided_p(z: float | None) -> float:
@@ -102,6 +163,29 @@ def two_sided_p(z: float | None) -> float:
     return 1.0 if z is None else math.erfc(abs(z) / math.sqrt(2))
 
 
+@cache
+def rank_sum_counts(n: int) -> tuple[int, ...]:
+    """Of the 2^n ways to give n ranks a sign, how many have each sum of positive ranks."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        longer = counts + [0] * rank
+        counts = [c + (longer[s - rank] if s >= rank else 0) for s, c in enumerate(longer)]
+    return tuple(counts)
+
+
+def signed_rank_p(n: int, smaller: float, z: float | None, plain: bool) -> float:
+    """Two-sided p of a signed-rank test: exact for up to EXACT_RANKS differences without zeros and ties, else by the normal law."""
+    if not plain or not 0 < n <= EXACT_RANKS:
+        return two_sided_p(z)
+    return min(1.0, 2 * sum(rank_sum_counts(n)[: int(smaller) + 1]) / 2**n)
+
+
+def wilcoxon_p(pairs: DataFrame) -> DataFrame:
+    """metric, wilcoxon_p."""
+    of = F.udf(signed_rank_p, "double")  # on one row per metric
+    return _signed_ranks(pairs).select("metric", of("n", F.least("t_plus", "t_minus"), "z", "plain").alias("wilcoxon_p"))
+
+
 def compare_all_pairs(metrics: DataFrame) -> DataFrame:
     """metric, run_a, run_b, delta, win, loss for every two runs, and the paired t statistic (null without spread)."""
     left = metrics.select(F.col("run").alias("run_a"), "query_id", "metric", F.col("value").alias("a"))
@@ -163,9 +247,7 @@ def tukey_test(metrics: DataFrame, max_p: float = 0.05) -> DataFrame:
 def compare_pair(metrics: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """One row per metric: means, delta, win, loss, tie, bootstrap interval, signed-rank and permutation p of run b against run a."""
     pairs = paired(metrics, a, b)
-    of = F.udf(two_sided_p, "double")
-    ranks = wilcoxon(pairs).select("metric", of("z").alias("wilcoxon_p"))
-    return pair_summary(pairs).join(bootstrap_ci(pairs, resamples, seed=seed), "metric").join(ranks, "metric").join(permutation_p(pairs, resamples, seed), "metric")
+    return pair_summary(pairs).join(bootstrap_ci(pairs, resamples, seed=seed), "metric").join(wilcoxon_p(pairs), "metric").join(permutation_p(pairs, resamples, seed), "metric")
 
 
 def fisher_p(metrics: DataFrame, permutations: int = RESAMPLES, seed: int = 42, max_p: float = 0.05) -> DataFrame:
