@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import gram_hash, gram_structs, tokenize
 from ..sources.staging import staged
+from .accumulate import AskedTerms, best_sums
+from .ranking import best_first
 
 #: Query grams up to this number are broadcast (some 10 MB); more are joined by a shuffle.
 BROADCAST_GRAMS = 200_000
@@ -38,7 +42,7 @@ def query_grams(queries: DataFrame, max_n: int) -> DataFrame:
 
 def _counted(corpus: DataFrame, wanted: DataFrame, max_n: int) -> DataFrame:
     """doc_id, n_tokens, gram, n, tf of the wanted grams (gram), and one row with the gram _ITSELF for every document."""
-    tokens = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    tokens = corpus.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
     itself = F.array(F.struct(F.lit(_ITSELF).alias("gram"), F.lit(0).alias("n")))
     grams = tokens.select("doc_id", "n_tokens", F.explode(F.concat(itself, gram_structs(F.col("tokens"), max_n))).alias("g")).select("doc_id", "n_tokens", "g.gram", "g.n")
     vocabulary = wanted.select("gram").unionByName(corpus.sparkSession.range(1).select(F.lit(_ITSELF).alias("gram"))).distinct()
@@ -85,25 +89,65 @@ class NgramStats:
         grams = grams.withColumn("df", F.coalesce("df", F.lit(0)))
         return grams.withColumn("idf", idf(F.lit(float(self.n_docs)), F.col("df")))
 
+    def _weighted(self, n: int) -> DataFrame:
+        """query_id, gram, idf of the query grams up to an order that documents have."""
+        return self.wanted.where(F.col("n") <= n).join(self.df, "gram").select("query_id", "gram", idf(F.lit(float(self.n_docs)), F.col("df")).alias("idf"))
+
+    def _part(self, order: int) -> Column:
+        """What a posting adds to a score over grams up to an order."""
+        tf = F.col("tf")
+        norm = self.k1 * (1 - self.b + self.b * gram_total(F.col("n_tokens"), order) / self.avgdl(order))
+        return F.col("idf") * tf * (self.k1 + 1) / (tf + norm)
+
+    def scores(self, orders: list[int], pool: DataFrame | None = None) -> DataFrame:
+        """query_id, doc_id, score_n for every order n, from one pass over the postings; only in the pool (query_id, doc_id) if given.
+
+        Documents without a common gram have no row, and a score is null where they have none of its orders.
+        """
+        top = max(orders)
+        grams, postings = self._weighted(top), self.postings.where(F.col("n") <= top)
+        if self.n_wanted <= BROADCAST_GRAMS:
+            grams = F.broadcast(grams)
+        if pool is None:
+            joined = postings.repartition("doc_id").join(grams, "gram")  # a document's scores are whole in its task
+        else:
+            # A pool has few documents, and a pair needs its own grams only.
+            joined = pool.select("query_id", "doc_id").distinct().join(postings, "doc_id").join(grams, ["query_id", "gram"])
+        return joined.groupBy("query_id", "doc_id").agg(*(F.sum(F.when(F.col("n") <= n, self._part(n))).alias(f"score_{n}") for n in orders))
+
     def score(self, order: int | None = None, pool: DataFrame | None = None) -> DataFrame:
         """query_id, doc_id, score over grams up to an order; only in the pool (query_id, doc_id) if given.
 
         Documents without a common gram have no row.
         """
         n = order or self.max_n
-        grams = self.wanted.where(F.col("n") <= n).join(self.df, "gram").withColumn("idf", idf(F.lit(float(self.n_docs)), F.col("df"))).select("query_id", "gram", "idf")
-        postings = self.postings.where(F.col("n") <= n).drop("n")
-        if self.n_wanted <= BROADCAST_GRAMS:
-            # All of a document's postings in one task: its scores are whole there, and only each task's best are shuffled.
-            grams = F.broadcast(grams)
-            postings = postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        tf, dl = F.col("tf"), gram_total(F.col("n_tokens"), n)
-        norm = self.k1 * (1 - self.b + self.b * dl / self.avgdl(n))
-        joined = postings.join(grams, "gram")
-        if pool is not None:
-            joined = joined.join(pool.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-        part = F.col("idf") * tf * (self.k1 + 1) / (tf + norm)
-        return joined.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+        return self.scores([n], pool).withColumnRenamed(f"score_{n}", "score")
+
+    def best(self, orders: list[int], limit: int) -> DataFrame:
+        """n, query_id, doc_id, score, rank: the best documents of each query by every order, from one pass over the postings.
+
+        A task adds up its documents' scores in arrays over the queries, and only its best are shuffled.
+        """
+        if self.n_wanted > BROADCAST_GRAMS:
+            found = [self.score(n).withColumn("n", F.lit(n)) for n in orders]
+            hits = found[0]
+            for more in found[1:]:
+                hits = hits.unionByName(more)
+        else:
+            hits = self._best_in_tasks(orders, limit)
+        own = Window.partitionBy("n", "query_id").orderBy(*best_first())
+        return hits.select("n", "query_id", "doc_id", "score").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= limit)
+
+    def _best_in_tasks(self, orders: list[int], limit: int) -> DataFrame:
+        asked = AskedTerms.of(self._weighted(max(orders)).withColumnsRenamed({"gram": "term", "idf": "weight"}).toPandas())  # at most BROADCAST_GRAMS
+        lengths = {n: self.avgdl(n) for n in orders}
+        k1, b = self.k1, self.b
+
+        def parts(x: dict[str, np.ndarray]) -> dict[int, np.ndarray]:
+            norm = {n: k1 * (1 - b + b * (n * x["n_tokens"] - n * (n - 1) / 2) / mean) for n, mean in lengths.items()}
+            return {n: np.where(x["n"] <= n, x["tf"] * (k1 + 1) / (x["tf"] + norm[n]), np.nan) for n in lengths}
+
+        return best_sums(self.postings, "gram", ["n", "tf"], ["n_tokens"], asked, parts, limit, dict(self.wanted.dtypes)["query_id"])
 
 
 @dataclass
@@ -116,7 +160,7 @@ class SparseEncoder:
     mean_tokens: float | None = None
 
     def fit(self, corpus: DataFrame) -> SparseEncoder:
-        mean = corpus.agg(F.avg(F.size(tokenize(F.col("text"))))).first()[0]
+        mean = corpus.agg(F.avg(F.size(tokenize(F.coalesce("text", F.lit("")))))).first()[0]
         return SparseEncoder(self.max_n, self.k1, self.b, float(mean or 0.0))
 
     def fit_postings(self, corpus: DataFrame, wanted: DataFrame) -> tuple[SparseEncoder, DataFrame, int]:
@@ -126,6 +170,12 @@ class SparseEncoder:
         fitted = SparseEncoder(self.max_n, self.k1, self.b, mean)
         return fitted, fitted._saturated(counted.where(F.col("gram") != _ITSELF)), n_docs
 
+    @classmethod
+    def of_stats(cls, stats: NgramStats) -> tuple[SparseEncoder, DataFrame]:
+        """An encoder fitted by n-gram statistics, and doc_id, gram, val of their grams; the corpus is not read again."""
+        fitted = cls(stats.max_n, stats.k1, stats.b, stats.mean_tokens)
+        return fitted, fitted._saturated(stats.postings)
+
     def _saturated(self, tf: DataFrame) -> DataFrame:
         avgdl = gram_total(F.bround(F.lit(self.mean_tokens), 0), self.max_n)
         norm = self.k1 * (1 - self.b + self.b * gram_total(F.col("n_tokens"), self.max_n) / avgdl)
@@ -135,7 +185,7 @@ class SparseEncoder:
         """doc_id, gram, val before hashing; the mean is rounded half to even."""
         if self.mean_tokens is None:
             raise ValueError("fit the encoder before documents are encoded")
-        docs = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+        docs = corpus.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
         grams = docs.select("doc_id", "n_tokens", F.explode(gram_structs(F.col("tokens"), self.max_n)).alias("g"))
         return self._saturated(grams.groupBy("doc_id", "n_tokens", F.col("g.gram").alias("gram")).agg(F.count("*").alias("tf")))
 

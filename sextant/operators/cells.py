@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import place, staged
-from .ranking import top_k
-from .search import _best, _flat, _unit
+from .ranking import best_places, top_k
+from .search import _flat, _unit
 
 #: Vectors that centres are fitted on, and centres, at most.
 SAMPLE_ROWS, MOST_CELLS = 262_144, 65_536
@@ -252,7 +252,7 @@ class CellIndex:
                     for at in range(0, len(own) if len(asked) else 0, 2048):
                         part = own[at : at + 2048]
                         scores = vecs[part] @ queries[asked].T
-                        d, q = _best(names[part], scores, limit)
+                        d, q = best_places(names[part], scores, limit)
                         hits.append((asked[q], part[d], scores[d, q]))
                 if hits:
                     q, d, s = (np.concatenate(x) for x in zip(*hits))

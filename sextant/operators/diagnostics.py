@@ -143,11 +143,10 @@ def entity_signal(qrels: DataFrame, negatives: DataFrame, queries: DataFrame, co
 def ngram_ranks(stats: NgramStats, qrels: DataFrame, negatives: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, n, quoted, pool_size, rank, zero for every gram order."""
     pool = pools(qrels, negatives)
-    parts = None
-    for n in range(1, stats.max_n + 1):
-        s = stats.score(order=n, pool=pool)
-        part = pool.join(s, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "gold", F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(n).alias("n"))
-        parts = part if parts is None else parts.unionByName(part)
+    orders = range(1, stats.max_n + 1)
+    scored = pool.join(stats.scores(list(orders), pool), ["query_id", "doc_id"], "left")
+    each = F.array(*(F.struct(F.lit(n).alias("n"), F.coalesce(f"score_{n}", F.lit(0.0)).alias("score")) for n in orders))
+    parts = scored.select("query_id", "doc_id", "gold", F.explode(each).alias("x")).select("query_id", "doc_id", "gold", "x.score", "x.n")
     ranks = gold_ranks(parts, ["query_id", "n"])
     quoted = queries.select("query_id", has_quote(F.col("query")).alias("quoted"))
     return ranks.join(quoted, "query_id").join(pool_sizes(qrels, negatives), "query_id")

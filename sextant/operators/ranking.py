@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,3 +62,17 @@ def dedupe_by_document(hits: DataFrame, pid2did: DataFrame, limit: int | None =
     first = Window.partitionBy("query_id", "did").orderBy("rank")
     one = joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return top_k(one, limit, [F.col("rank")])
+
+
+def best_places(names: np.ndarray, scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and queries of each query's best scores, ties by name; what is not a number is no hit."""
+    worse = -np.round(scores, DIGITS)
+    worse[np.isnan(worse)] = np.inf
+    kth = np.partition(worse, limit - 1, axis=0)[limit - 1] if len(names) > limit else np.full(scores.shape[1], np.inf)
+    d, q = np.nonzero((worse <= kth) & (worse < np.inf))  # the best of each query, with all that tie with the last
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))
+    by = np.lexsort((place[d], worse[d, q], q))
+    d, q = d[by], q[by]
+    nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+    return d[nth < limit], q[nth < limit]

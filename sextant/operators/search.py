@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import DISTANCES, maxsim
 from ..sources.encoders import Encoder, Slot, encode_column
+from ..sources.staging import staged
 from ..sources.store import EmbeddingCache
-from .bm25 import SparseEncoder, idf
-from .ranking import DIGITS, dbsf, dedupe_by_document, rrf, top_k
+from .accumulate import AskedTerms, best_sums
+from .bm25 import BROADCAST_GRAMS, NgramStats, SparseEncoder, idf
+from .ranking import DIGITS, best_places, dbsf, dedupe_by_document, rrf, top_k
 
 #: Queries that are sent to all workers at once; more are dealt into groups that meet groups of documents.
 QUERY_BLOCK = 2048
@@ -63,20 +65,6 @@ def _maxsims(docs: pa.Array, queries: pa.Array) -> np.ndarray:
     return np.add.reduceat(np.maximum.reduceat(d @ q.T, first(docs), axis=0), first(queries), axis=1)
 
 
-def _best(names: np.ndarray, scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and queries of each query's best scores, ties by name; what is not a number is no hit."""
-    worse = -np.round(scores, DIGITS)
-    worse[np.isnan(worse)] = np.inf
-    kth = np.partition(worse, limit - 1, axis=0)[limit - 1] if len(names) > limit else np.full(scores.shape[1], np.inf)
-    d, q = np.nonzero((worse <= kth) & (worse < np.inf))  # the best of each query, with all that tie with the last
-    place = np.empty(len(names), np.int64)
-    place[np.argsort(names, kind="stable")] = np.arange(len(names))
-    by = np.lexsort((place[d], worse[d, q], q))
-    d, q = d[by], q[by]
-    nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    return d[nth < limit], q[nth < limit]
-
-
 _HITS = "query_id string, doc_id string, score double"
 
 
@@ -95,7 +83,7 @@ def _nearest(docs: DataFrame, queries: DataFrame, score: Callable[[pa.Array, pa.
         for at in range(0, len(names), step):
             own, part = np.array(names[at : at + step], dtype=object), vecs.slice(at, step)
             scores = score(part, asked)
-            d, q = _best(own, scores, limit)
+            d, q = best_places(own, scores, limit)
             yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.string()), pa.array(own[d], pa.string()), pa.array(scores[d, q])], names=["query_id", "doc_id", "score"])
 
     some = queries.limit(QUERY_BLOCK + 1).toArrow()
@@ -188,13 +176,17 @@ class SparseSearcher:
         """encoded: query_id, idx, val."""
         wanted = encoded.withColumnRenamed("val", "qval")
         held = self.postings.join(wanted.select("idx").distinct(), "idx", "left_semi")
-        weight = F.col("val") * F.col("qval")
-        joined = held.join(wanted, "idx")
+        weight = F.col("qval")
         if self.with_idf:
-            df = held.groupBy("idx").agg(F.count("*").alias("df"))
-            joined = joined.join(df, "idx")
+            wanted = wanted.join(held.groupBy("idx").agg(F.count("*").alias("df")), "idx")
             weight = weight * idf(F.lit(float(self.n_docs)), F.col("df"))
-        return top_k(joined.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")), limit)
+        wanted = wanted.select("query_id", F.col("idx").alias("term"), weight.alias("weight"))
+        some = wanted.limit(BROADCAST_GRAMS + 1).toPandas()
+        if len(some) <= BROADCAST_GRAMS:
+            hits = best_sums(self.postings, "idx", ["val"], [], AskedTerms.of(some), lambda x: {0: x["val"]}, limit, dict(wanted.dtypes)["query_id"])
+            return top_k(hits.drop("n"), limit)
+        joined = held.join(wanted.withColumnRenamed("term", "idx"), "idx")
+        return top_k(joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("val") * F.col("weight")).alias("score")), limit)
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         if self.encoder is None:
@@ -202,6 +194,15 @@ class SparseSearcher:
         return self.search_encoded(self.encoder.encode_queries(queries), limit)
 
 
+def _found(arms: list[Searcher], queries: DataFrame, depth: int) -> list[DataFrame]:
+    """What each arm finds; orders of the same n-gram statistics are searched in one pass."""
+    if len(arms) > 1 and all(isinstance(a, Bm25Searcher) for a in arms) and len({id(a.stats) for a in arms}) == 1:
+        orders = [a.order or a.stats.max_n for a in arms]
+        hits = staged(arms[0].asked(arms[0].stats.best(sorted(set(orders)), depth), queries), "arms")
+        return [hits.where(F.col("n") == n).drop("n") for n in orders]
+    return [a.search(queries, depth) for a in arms]
+
+
 @dataclass
 class HybridSearcher:
     """Several slots, each searched deeper than asked, fused by rank or by score."""
@@ -219,7 +220,7 @@ class HybridSearcher:
             raise ValueError(f"unknown fusion: {self.fusion}")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        found = [a.search(queries, limit * self.prefetch_multiplier) for a in self.arms]
+        found = _found(self.arms, queries, limit * self.prefetch_multiplier)
         return top_k(rrf(found, self.rrf_k, self.rank_base) if self.fusion == "rrf" else dbsf(found), limit)
 
 
@@ -255,7 +256,7 @@ class HybridRerankSearcher:
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         depth = limit * self.multiplier
-        found = [a.search(queries, depth * self.prefetch_multiplier) for a in self.prefetch]
+        found = _found(self.prefetch, queries, depth * self.prefetch_multiplier)
         pool = top_k(rrf(found, self.rrf_k, self.rank_base), depth) if len(found) > 1 else found[0].where(F.col("rank") <= depth)
         return top_k(self.scorer.score(queries, pool), limit)
 
@@ -303,9 +304,11 @@ def missing_query_vectors(queries: DataFrame, cache: DataFrame) -> DataFrame:
 class Bm25Searcher:
     """BM25 over the statistics of a set of queries; only those queries can be searched."""
 
-    stats: object
+    stats: NgramStats
     order: int | None = None
 
+    def asked(self, hits: DataFrame, queries: DataFrame) -> DataFrame:
+        return hits.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        scores = self.stats.score(self.order).join(queries.select("query_id"), "query_id", "left_semi")
-        return top_k(scores, limit)
+        return self.asked(self.stats.best([self.order or self.stats.max_n], limit), queries).select("query_id", "doc_id", "score", "rank")

@@ -184,12 +184,12 @@ def sparse_encode_query(r: Roles) -> DataFrame:
 
 @query
 def bm25_unigram(r: Roles) -> DataFrame:
-    return hits(top_k(r.stats().score(1), 10))
+    return hits(r.stats().best([1], 10))
 
 
 @query
 def bm25_bigram(r: Roles) -> DataFrame:
-    return hits(top_k(r.stats().score(2), 10))
+    return hits(r.stats().best([2], 10))
 
 
 def _dense(r: Roles, distance: str) -> DataFrame:
@@ -218,10 +218,10 @@ def dense_topk_l1(r: Roles) -> DataFrame:
 
 def sparse_search(r: Roles, with_idf: bool, limit: int) -> DataFrame:
     """Grams stand for their hashes, so that no collision comes between this and its SQL."""
-    asked = query_grams(r.queries(), 2).select("query_id", "gram")
-    _, postings, n_docs = SparseEncoder().fit_postings(r.passages(), asked)
-    encoded = asked.select("query_id", F.col("gram").alias("idx"), F.lit(1.0).alias("val"))
-    return SparseSearcher(postings.withColumnRenamed("gram", "idx"), n_docs, with_idf=with_idf).search_encoded(encoded, limit)
+    stats = r.stats()
+    _, postings = SparseEncoder.of_stats(stats)
+    encoded = stats.wanted.select("query_id", F.col("gram").alias("idx"), F.lit(1.0).alias("val"))
+    return SparseSearcher(postings.withColumnRenamed("gram", "idx"), stats.n_docs, with_idf=with_idf).search_encoded(encoded, limit)
 
 
 @query
@@ -272,7 +272,7 @@ def ann_cells(r: Roles) -> DataFrame:
 
 @query
 def dedupe_by_doc(r: Roles) -> DataFrame:
-    return hits(dedupe_by_document(top_k(r.stats().score(1), 50), r.pid2did(), 10))
+    return hits(dedupe_by_document(Bm25Searcher(r.stats(), 1).search(r.queries(), 50), r.pid2did(), 10))
 
 
 @query
@@ -328,7 +328,7 @@ def run_of(r: Roles, name: str) -> DataFrame:
     """Runs to compare: BM25 over words, over words and pairs, and frequencies without idf."""
     if name == "tf":
         return sparse_search(r, False, 100)
-    return top_k(r.stats().score(1 if name == "words" else 2), 100)
+    return Bm25Searcher(r.stats(), 1 if name == "words" else 2).search(r.queries(), 100)
 
 
 def _per_query(r: Roles, metrics: tuple[str, ...] = E.METRICS, name: str = "words") -> DataFrame:
@@ -337,7 +337,7 @@ def _per_query(r: Roles, metrics: tuple[str, ...] = E.METRICS, name: str = "word
 
 @query
 def build_run(r: Roles) -> DataFrame:
-    return hits(E.build_run(dedupe_by_document(top_k(r.stats().score(1), 50), r.pid2did())))
+    return hits(E.build_run(dedupe_by_document(Bm25Searcher(r.stats(), 1).search(r.queries(), 50), r.pid2did())))
 
 
 @query
@@ -377,7 +377,7 @@ def eval_graded(r: Roles) -> DataFrame:
 
 @query
 def doc_level_diagnosis(r: Roles) -> DataFrame:
-    return rounded(E.doc_level_diagnosis(top_k(r.stats().score(1), 10), r.qrels(), r.pid2did()))
+    return rounded(E.doc_level_diagnosis(Bm25Searcher(r.stats(), 1).search(r.queries(), 10), r.qrels(), r.pid2did()))
 
 
 # ---- comparison
@@ -505,5 +505,5 @@ def ngram_arm_deltas(r: Roles) -> DataFrame:
 
 @query
 def rag_prompt(r: Roles) -> DataFrame:
-    asked = rag.prompts(r.queries(), top_k(r.stats().score(2), rag.TOP_K), r.passages())
+    asked = rag.prompts(r.queries(), Bm25Searcher(r.stats(), 2).search(r.queries(), rag.TOP_K), r.passages())
     return asked.select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.char_length("prompt").cast("bigint").alias("chars"), F.array_join("retrieved", ",").alias("retrieved"))
