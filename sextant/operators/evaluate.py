@@ -96,21 +96,39 @@ def sibling_qrels(qrels: DataFrame, pid2did: DataFrame, positive: int = 2, sibli
     return both.groupBy("query_id", "doc_id").agg(F.when(F.max("own") == 1, F.lit(positive)).otherwise(F.lit(sibling)).alias("grade"))
 
 
-def doc_level_rows(run: DataFrame, qrels: DataFrame, pid2did: DataFrame) -> DataFrame:
-    """query_id, outcome (exact, sibling_only, miss) and the share of hits from a right document."""
-    of = pid2did.select("doc_id", "did")
-    dids = qrels.join(of, "doc_id").select("query_id", "did").distinct().withColumn("same", F.lit(1))
+def _documents(passages: DataFrame, pid2did: DataFrame, strict: bool, what: str) -> DataFrame:
+    """Passages with their did; one without a document is an error, or has none where not strict."""
+    joined = passages.join(pid2did.select("doc_id", "did"), "doc_id", "left")
+    if not strict:
+        return joined
+    missing = F.raise_error(F.concat(F.lit(f"no document for {what} "), F.col("doc_id").cast("string")))
+    return joined.withColumn("did", F.when(F.col("did").isNull(), missing).otherwise(F.col("did")))
+
+
+def doc_level_rows(run: DataFrame, qrels: DataFrame, pid2did: DataFrame, strict: bool = True) -> DataFrame:
+    """query_id, outcome (exact, sibling_only, miss) and the share of hits from a right document.
+
+    A hit or labelled passage without a document is an error; unless strict, such a hit is from no right document, and such a
+    label is reached by its own passage alone.
+    """
+    labelled = _documents(qrels, pid2did, strict, "labelled passage")
+    dids = labelled.where("did is not null").select("query_id", "did").distinct().withColumn("same", F.lit(1))
     gold = qrels.select("query_id", "doc_id").distinct().withColumn("gold", F.lit(1))
-    hits = run.join(of, "doc_id").join(dids, ["query_id", "did"], "left").join(gold, ["query_id", "doc_id"], "left")
+    asked = labelled.groupBy("query_id").agg(F.count("did").alias("mapped"))  # looked at below, so that labels are checked without hits too
+    hits = _documents(run.join(asked, "query_id", "left_semi"), pid2did, strict, "passage").join(dids, ["query_id", "did"], "left").join(gold, ["query_id", "doc_id"], "left")
     per = hits.groupBy("query_id").agg(F.max("gold").alias("gold"), F.max("same").alias("same"), (F.sum(F.coalesce("same", F.lit(0))) / F.count("*")).alias("precision"))
-    all_ = qrels.select("query_id").distinct().join(per, "query_id", "left")
     outcome = F.when(F.col("gold") == 1, "exact").when(F.col("same") == 1, "sibling_only").otherwise("miss")
-    return all_.select("query_id", outcome.alias("outcome"), F.coalesce("precision", F.lit(0.0)).alias("precision"))
+    return asked.join(per, "query_id", "left").select("query_id", outcome.alias("outcome"), F.when(F.col("mapped") >= 0, F.coalesce("precision", F.lit(0.0))).alias("precision"))
 
 
-def doc_level_diagnosis(run: DataFrame, qrels: DataFrame, pid2did: DataFrame) -> DataFrame:
+def doc_level_diagnosis(run: DataFrame, qrels: DataFrame, pid2did: DataFrame, strict: bool = True) -> DataFrame:
     """One row: shares of exact, sibling-only and missed queries, and the mean document precision."""
     share = lambda o: F.avg((F.col("outcome") == o).cast("double"))
-    return doc_level_rows(run, qrels, pid2did).agg(
+    return doc_level_rows(run, qrels, pid2did, strict).agg(
         F.count("*").alias("n_queries"), share("exact").alias("exact_pct"), share("sibling_only").alias("sibling_only_pct"), share("miss").alias("miss_pct"), F.avg("precision").alias("mean_doc_precision")
     )
+
+
+def queries_by_outcome(rows: DataFrame) -> DataFrame:
+    """outcome, n, query_ids: the queries of each outcome of `doc_level_rows`, in order."""
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("query_id")).alias("query_ids"))

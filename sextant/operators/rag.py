@@ -21,31 +21,27 @@ ANSWER = "query_id string, answer string, citations array<struct<doc_id:string,q
 
 
 def prompts(queries: DataFrame, hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, prompt, retrieved for every query with hits, passages in rank order."""
-    rows = hits.select("query_id", "doc_id", "rank").join(corpus.select("doc_id", "text"), "doc_id")
+    """query_id, prompt, retrieved for every query with hits, passages in rank order; one that the corpus lacks has an empty text."""
+    rows = hits.select("query_id", "doc_id", "rank").join(corpus.select("doc_id", "text"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     parts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "text"))).alias("h"))
     excerpts = F.array_join(F.transform("h", lambda x: F.concat(F.lit("[doc_id: "), x["doc_id"], F.lit("]\n"), x["text"])), "\n\n")
     text = F.concat(F.lit(QUESTION_PREFIX), F.col("query"), F.lit(f"\n\n{EXCERPTS_HEADING}\n"), excerpts, F.lit(f"\n\n{CLOSING}"))
     return parts.join(queries.select("query_id", "query"), "query_id").select("query_id", text.alias("prompt"), F.transform("h", lambda x: x["doc_id"]).alias("retrieved"))
 
 
-#: What the generator is told before every prompt, unless told otherwise.
-INSTRUCTIONS = "You help with legal research. Use nothing but the excerpts in the message. Name the doc_id of an excerpt for every statement of fact. Where the excerpts are not enough for an answer, say that, and do not guess."
-
-
 @dataclass
 class Assistant:
     """Retrieval, prompts and cited answers in one.
 
     `generate(model=, messages=, temperature=, max_tokens=) -> {answer, citations}` is injected; messages
-    are the instructions and the prompt.
+    are the instructions, which the caller gives, and the prompt.
     """
 
     searcher: Searcher
     corpus: DataFrame
     generate: Callable[..., dict]
     model: str
-    instructions: str = INSTRUCTIONS
+    instructions: str
     top_k: int = TOP_K
     temperature: float = 0.1
     max_tokens: int = 4096

@@ -31,15 +31,24 @@ def _reordered(hits: DataFrame) -> DataFrame:
     return ranked(hits, by).select("query_id", "doc_id", "score", "rank")
 
 
-def _rescored(hits: DataFrame, scores: DataFrame, missing: float = 0.0) -> DataFrame:
+def _rescored(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """Hits by their new scores; those without one have 0."""
     came = hits.select("query_id", "doc_id", F.col("rank").alias("in_rank"))
     joined = came.join(scores.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
-    return _reordered(joined.withColumn("score", F.coalesce("score", F.lit(missing))))
+    return _reordered(joined.withColumn("score", F.coalesce("score", F.lit(0.0))))
+
+
+def _with_text(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Pairs with the text of their passages, empty where the corpus has none."""
+    return pairs.join(corpus.select("doc_id", "text"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 @dataclass
 class PairScorerStrategy:
-    """Scores query-passage pairs with a model: `score(queries, texts) -> scores`, in Arrow batches."""
+    """Scores query-passage pairs with a model: `score(queries, texts) -> scores`, in Arrow batches.
+
+    A passage that the corpus lacks, or that has no text, is scored as an empty text.
+    """
 
     corpus: DataFrame
     score: Callable[[list[str], list[str]], list[float]]
@@ -54,7 +63,7 @@ class PairScorerStrategy:
                     raise ValueError(f"{len(b)} pairs, {len(scores)} scores")
                 yield b[["query_id", "doc_id"]].assign(score=pd.Series(scores, index=b.index, dtype="float64"))
 
-        pairs = hits.select("query_id", "doc_id").join(queries.select("query_id", "query"), "query_id").join(self.corpus.select("doc_id", "text"), "doc_id")
+        pairs = _with_text(hits.select("query_id", "doc_id").join(queries.select("query_id", "query"), "query_id"), self.corpus)
         fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
         schema = f"query_id {fields['query_id']}, doc_id {fields['doc_id']}, score double"
         return _rescored(hits, pairs.select("query_id", "doc_id", "query", "text").mapInPandas(apply, schema))
@@ -84,8 +93,7 @@ class ServiceStrategy:
             scores = {r["index"]: float(r["relevance_score"]) for r in reply}
             return pool[["query_id", "doc_id"]].assign(score=[scores[i] for i in range(len(pool))])
 
-        pools = hits.select("query_id", "doc_id", "rank").join(queries.select("query_id", "query"), "query_id").join(self.corpus.select("doc_id", "text"), "doc_id", "left")
-        pools = pools.withColumn("text", F.coalesce("text", F.lit("")))
+        pools = _with_text(hits.select("query_id", "doc_id", "rank").join(queries.select("query_id", "query"), "query_id"), self.corpus)
         kinds = dict(pools.dtypes)
         return _rescored(hits, pools.groupBy("query_id").applyInPandas(ask, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"))
 
@@ -100,19 +108,23 @@ class LexicalStrategy:
         from ..functions.text import tokenize
 
         q = queries.select("query_id", F.array_distinct(tokenize(F.col("query"))).alias("q"))
-        pairs = hits.select("query_id", "doc_id").join(q, "query_id").join(self.corpus.select("doc_id", "text"), "doc_id")
+        pairs = _with_text(hits.select("query_id", "doc_id").join(q, "query_id"), self.corpus)
         share = F.size(F.array_intersect("q", tokenize(F.col("text")))) / F.greatest(F.size("q"), F.lit(1))
         return _rescored(hits, pairs.select("query_id", "doc_id", share.alias("score")))
 
 
 @dataclass
 class LateInteractionStrategy:
-    """Local MaxSim over the pool."""
+    """Local MaxSim over the pool.  Passages without vectors follow those with, in order, with the lowest score of the pool, 0 at most."""
 
     scorer: MaxSimScorer
 
     def rerank(self, queries: DataFrame, hits: DataFrame) -> DataFrame:
-        return _rescored(hits, self.scorer.score(queries, hits))
+        came = hits.select("query_id", "doc_id", F.col("rank").alias("in_rank"))
+        joined = came.join(self.scorer.score(queries, hits), ["query_id", "doc_id"], "left")
+        lowest = F.least(F.coalesce(F.min("score").over(Window.partitionBy("query_id")), F.lit(0.0)), F.lit(0.0))
+        by = [F.col("score").isNull().asc(), F.round(F.col("score"), DIGITS).desc(), F.col("in_rank").asc()]
+        return ranked(joined.withColumn("lowest", lowest), by).select("query_id", "doc_id", F.coalesce("score", "lowest").alias("score"), "rank")
 
 
 @dataclass

@@ -211,7 +211,7 @@ ORACLE = {
     ),
     "rerank_maxsim": _cut(f"select h.query_id, h.doc_id, x.score, row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 100) h join maxsim x using (query_id, doc_id) qualify row_number() over (partition by h.query_id order by round(x.score, 6) desc, h.rank) <= 10"),
     "rerank_filtered_maxsim": _cut(
-        f"select * from (select h.query_id, h.doc_id, coalesce(x.score, h.score) score, row_number() over (partition by h.query_id order by (x.score is null)::int, round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 100) h left join (select * from maxsim where doc_id in (select doc_id from mv where len(vecs) = 8)) x using (query_id, doc_id)) where rank <= 10"
+        f"select * from (select h.query_id, h.doc_id, coalesce(x.score, h.score) score, row_number() over (partition by h.query_id order by (x.score is null)::int, round(x.score, 6) desc, h.rank) rank from ({_HEAD} qualify rank <= 100) h left join (select * from maxsim where doc_id in (select doc_id from mv where vecs[1][1] > 0.1875)) x using (query_id, doc_id)) where rank <= 10"
     ),
     "rerank_ngram_bm25": _cut(f"select * from ({_BM2_POOL}) where rank <= 10"),
     "rerank_fused_ngram": _cut(f"select query_id, doc_id, f score, row_number() over (partition by query_id order by round(f, 12) desc, in_rank) rank from (select query_id, doc_id, in_rank, 1.0::double / (60 + in_rank) + 1.0::double / (60 + rank) f from ({_BM2_POOL})) qualify rank <= 10"),

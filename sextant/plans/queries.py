@@ -299,7 +299,7 @@ def rerank_maxsim(r: Roles) -> DataFrame:
 
 @query
 def rerank_filtered_maxsim(r: Roles) -> DataFrame:
-    indexed = MaxSimScorer(r.multivectors().where("size(vecs) = 8"))  # the last document may have fewer vectors: it lacks in the index
+    indexed = MaxSimScorer(r.multivectors().where("head[0] > 0.1875"))  # few documents have vectors, so most of the best hits follow as they were
     return hits(Reranker(_arms(r)[0], FilteredLateInteractionStrategy(indexed)).search(r.query_multivectors(), 10))
 
 

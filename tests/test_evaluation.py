@@ -171,7 +171,7 @@ def test_assistant(spark):
     def generate(model, messages, temperature, max_tokens):
         return {"answer": f"{model} {messages[0]['role']} {messages[1]['content'][:14]} {temperature} {max_tokens}", "citations": []}
 
-    got = {r.query_id: r for r in rag.Assistant(Two(), corpus, generate, "m").ask(queries).collect()}
+    got = {r.query_id: r for r in rag.Assistant(Two(), corpus, generate, "m", "Cite the excerpts.").ask(queries).collect()}
     assert got["q"].answer == "m system Question: Why? 0.1 4096" and got["r"].answer == rag.NOTHING_FOUND
 
 
