@@ -190,6 +190,7 @@ ORACLE = {
     "sparse_encode_docs": "select doc_id, count(*) n, round(sum(val), 6) total, round(max(val), 6) largest from enc group by doc_id",
     "sparse_encode_query": "select query_id, gram, 1.0::double val from qgram",
     "bm25_unigram": _top("bm1", 10),
+    "stored_index_topk": _top("bm2", 10),
     "bm25_bigram": _top("bm2", 10),
     "dense_topk": _top(f"({_dense('', 'list_dot_product(q.e, d.e) / (q.norm * d.norm)')})", 10),
     "dense_topk_dot": _top(f"({_dense('', 'list_dot_product(q.e, d.e)')})", 10),

@@ -15,6 +15,7 @@ from ..operators import significance as S
 from ..operators.ann import HyperplaneIndex
 from ..operators.bm25 import NgramStats, SparseEncoder, query_grams
 from ..operators.cells import CellIndex
+from ..operators.postings import PostingsIndex
 from ..operators.ranking import dedupe_by_document, top_k
 from ..operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LateInteractionStrategy, LexicalStrategy, NgramBM25Strategy, Reranker, SiblingExpansionStrategy
 from ..operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, MaxSimSearcher, SparseSearcher, UniqueDocSearcher, missing_query_vectors
@@ -265,6 +266,12 @@ def ann_lsh(r: Roles) -> DataFrame:
     return hits(HyperplaneIndex(r.vectors(), 64).search(r.query_vectors(), 10))
 
 
+@query
+def stored_index_topk(r: Roles) -> DataFrame:
+    """Queries that the stored index was not built for."""
+    return hits(PostingsIndex.of_corpus(r.passages()).search(r.queries(), 10))
+
+
 @query
 def ann_cells(r: Roles) -> DataFrame:
     return hits(CellIndex.build(r.vectors()).search(r.query_vectors(), 10))
