@@ -170,6 +170,7 @@ ORACLE = {
     "ingest_queries": "select query_id, query, q_ord from lasts",
     "ingest_qrels": "select distinct query_id, p.docid doc_id, 1::integer grade from (select query_id, unnest(pos) p from lasts)",
     "ingest_negatives": "select distinct query_id, p.docid doc_id from (select query_id, unnest(neg) p from lasts)",
+    "passage_scan": "select doc_id, did, md5(text) text_md5 from passages",
     "pid2did_scan": "select doc_id, did from pid2did where doc_id in (select doc_id from qrels)",
     "sample_pair": "select query_id, doc_id from qrels order by md5('42:' || query_id || ':' || doc_id) limit 1",
     "embed_cache_roundtrip": "select vec_id::varchar item_id, len(embedding)::integer size, round(embedding[1]::double, 6) \"first\" from embeddings",

@@ -15,11 +15,13 @@ from ..operators import significance as S
 from ..operators.ann import HyperplaneIndex
 from ..operators.bm25 import NgramStats, SparseEncoder, query_grams
 from ..operators.cells import CellIndex
+from ..operators.late import LateIndex, LateSearcher
 from ..operators.postings import PostingsIndex
 from ..operators.ranking import dedupe_by_document, top_k
 from ..operators.rerank import FilteredLateInteractionStrategy, FusedNgramStrategy, LateInteractionStrategy, LexicalStrategy, NgramBM25Strategy, Reranker, SiblingExpansionStrategy
 from ..operators.search import Bm25Searcher, DenseSearcher, HybridRerankSearcher, HybridSearcher, MaxSimScorer, MaxSimSearcher, SparseSearcher, UniqueDocSearcher, missing_query_vectors
 from ..sources import ingest, store
+from ..sources.passages import PassageSource
 from ..sources.staging import staged
 from .roles import Roles
 
@@ -71,6 +73,16 @@ def pid2did_scan(r: Roles) -> DataFrame:
     return ingest.read_pid2did(r.spark, path, r.qrels().select("doc_id"))
 
 
+@query
+def passage_scan(r: Roles) -> DataFrame:
+    """Passages written as tab-separated lines, and read in parts by the passage source."""
+    path = r.scratch("passages-tsv")
+    r.passages().select(F.concat_ws("\t", "doc_id", "did", F.translate("text", "\t\r\n", "   "))).write.text(path)
+    r.spark.dataSource.register(PassageSource)
+    got = r.spark.read.format("passages").options(path=path, columns="doc_id,did,text", mode="failfast").load()
+    return got.select("doc_id", "did", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query
 def sample_pair(r: Roles) -> DataFrame:
     return ingest.sample_pair(r.qrels())
@@ -261,6 +273,12 @@ def maxsim_topk(r: Roles) -> DataFrame:
     return hits(MaxSimSearcher(r.multivectors()).search(r.query_multivectors(), 10))
 
 
+@query
+def maxsim_candidates(r: Roles) -> DataFrame:
+    docs = r.multivectors()
+    return hits(LateSearcher(LateIndex.build(docs), docs).search(r.query_multivectors(), 10))
+
+
 @query
 def ann_lsh(r: Roles) -> DataFrame:
     return hits(HyperplaneIndex(r.vectors(), 64).search(r.query_vectors(), 10))
