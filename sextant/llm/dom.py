@@ -2,8 +2,12 @@
 
 A tolerant reader of HTML in one pass: tags, comments and the contents of scripts, styles and
 the like are taken off, character references are decoded, and text between block boundaries is
-a leaf block.  Ancestors are kept as a bit set that grows down the tree, so a block costs the
+a leaf block.  Ancestors are kept as bit sets that grow down the tree, so a block costs the
 same at any depth, and every construct is read in linear time however broken the page is.
+
+What an element's tag and class say is kept apart by how much of the page it holds: an element with half of the page's text or more is a
+wrapper, and its names (`has-sidebar`, a form around everything) say little about a block in it.  Whole names that only tell of a state
+(`has-...`, `with-...`, `...-open`) say nothing.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ _ENDS = {"p": BLOCK - {"button", "label", "legend", "body", "html", "head"}, "li
 #: Bits of ancestors, by tag.
 TAG_BITS = {
     name: 1 << i
-    for i, name in enumerate("nav header footer aside form article main section li table p heading blockquote pre figure a button address label dialog".split())
+    for i, name in enumerate("nav header footer aside form article main section li table p heading blockquote pre figure a button address label dialog inner-header inner-footer".split())
 }
 _HEADINGS = dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), TAG_BITS["heading"])
 _SAME = {"td": "table", "th": "table", "tr": "table", "figcaption": "figure", "dd": "li", "dt": "li", "input": "form", "fieldset": "form", "legend": "label"}
@@ -63,13 +67,23 @@ WORD_BITS = {
 }
 HIDDEN = WORD_BITS["hidden"][0]
 N_ANCESTOR_BITS = len(TAG_BITS) + len(WORD_BITS)
+ARTICLE = TAG_BITS["article"] | TAG_BITS["main"]
+_COMMENT = WORD_BITS["comment"][0]
+#: Tags that wrap other blocks, and may wrap all of them.
+_CONTAINERS = sum(TAG_BITS[n] for n in "nav header footer aside form section table address dialog".split())
+#: Names that tell of a state of the page or of what stands beside it.
+_STATE = re.compile(r"^(?:has|with|without|no|is|not|show|hide|page|template|layout)[-_]|[-_](?:open|closed|enabled|disabled|active|fixed|sticky|visible|left|right|on|off|with)(?:[-_]|$)|[-_](?:with|has|no)[-_]")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _own_bits(name: str, attributes: str, known: dict[str, int]) -> int:
-    bits = TAG_BITS.get(_SAME.get(name, name), 0) | _HEADINGS.get(name, 0)
+def _tag_bits(name: str) -> int:
+    return TAG_BITS.get(_SAME.get(name, name), 0) | _HEADINGS.get(name, 0)
+
+
+def _word_bits(attributes: str, known: dict[str, int]) -> int:
+    """What class, id, role and hiding attributes say."""
     if not attributes.strip():
-        return bits
+        return 0
     found = known.get(attributes)
     if found is None:
         found, given = 0, {}
@@ -78,19 +92,53 @@ def _own_bits(name: str, attributes: str, known: dict[str, int]) -> int:
         if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _HIDING.search(given.get("style", "")) or not WORD_BITS["hidden"][1].isdisjoint(given.get("class", "").lower().split()):
             found |= HIDDEN
         for value in (given.get("class", ""), given.get("id", ""), given.get("role", "")):
-            words = {w for x in (value, value.lower()) for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
+            names = [x for x in value.split() if not _STATE.search(x.lower())]
+            words = {w for n in names for x in (n, n.lower()) for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) if w}
             for bit, names in WORD_BITS.values():
                 found |= bit if bit != HIDDEN and words & names else 0
         if len(known) < 5000 and len(attributes) <= 2000:
             known[attributes] = found
-    return bits | found
+    return found
 
 
 @dataclass
 class Block:
+    """Text, bits of near ancestors and of wrappers, and code points of links."""
+
     text: str
     ancestors: int
     linked: int
+    wide: int = 0
+
+
+def _spread(blocks: list[Block], of: list[int], parent: list[int], tags: list[int], words: list[int]) -> None:
+    """Gives blocks their ancestors' bits; `of` has each block's innermost element, an element's parent comes before it."""
+    mass = [0] * len(parent)
+    for b, i in zip(blocks, of):
+        if i >= 0:
+            mass[i] += len(b.text) - min(b.linked, len(b.text))
+    total = sum(len(b.text) - min(b.linked, len(b.text)) for b in blocks)
+    for i in range(len(parent) - 1, 0, -1):
+        if parent[i] >= 0:
+            mass[parent[i]] += mass[i]
+    near, wide = [0] * len(parent), [0] * len(parent)
+    header, footer = TAG_BITS["header"], TAG_BITS["footer"]
+    for i, p in enumerate(parent):
+        n, w = (near[p], wide[p]) if p >= 0 else (0, 0)
+        t, hiding, said = tags[i], words[i] & HIDDEN, words[i] & ~HIDDEN
+        if t & (header | footer) and (n | w) & ARTICLE:
+            t = TAG_BITS["inner-header"] if t & header else TAG_BITS["inner-footer"]
+        wraps = 2 * mass[i] >= total > 0
+        if t & ARTICLE:
+            aside = 0 if wraps else said & _COMMENT and said
+            near[i], wide[i] = n | t | hiding | aside, w | (said & ~aside)
+        elif wraps:
+            near[i], wide[i] = n | (t & ~_CONTAINERS) | hiding | (said & _COMMENT), w | (t & _CONTAINERS) | (said & ~_COMMENT)
+        else:
+            near[i], wide[i] = n | t | hiding | said, w
+    for b, i in zip(blocks, of):
+        if i >= 0:
+            b.ancestors, b.wide = near[i], wide[i]
 
 
 def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Block]:
@@ -99,11 +147,15 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         return []
     known = {} if known is None else known
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    of: list[int] = []
+    stack: list[tuple[str, int]] = []  # names and numbers of open elements
+    parent: list[int] = []
+    tags: list[int] = []
+    said: list[int] = []
     open_: dict[str, int] = {}
     block_at: list[int] = []  # places of open block elements in the stack
     parts: list[str] = []
-    bits = linked = 0
+    linked = 0
     dropped: list[tuple[str, bool]] = []  # open elements without text; whether the end tag comes before another of its name begins
     ahead: dict[re.Pattern, int] = {}
 
@@ -125,19 +177,18 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, bits, linked))
+                out.append(Block(text, 0, linked))
+                of.append(stack[-1][1] if stack else -1)
             parts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal bits
         name, _ = stack.pop()
         open_[name] -= 1
         if block_at and block_at[-1] == len(stack):
             block_at.pop()
         if dropped and dropped[-1][0] == name:
             dropped.pop()
-        bits = stack[-1][1] if stack else 0
 
     at, end = 0, len(page)
     while at < end:
@@ -149,7 +200,7 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
             text = page[at:upto]
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            if bits & TAG_BITS["a"]:
+            if open_.get("a"):
                 linked += len(text)
         if not m:
             break
@@ -194,8 +245,10 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
                     pop()
         if name in BLOCK:
             block_at.append(len(stack))
-        stack.append((name, bits | _own_bits(name, m[3], known)))
-        bits = stack[-1][1]
+        parent.append(stack[-1][1] if stack else -1)
+        tags.append(_tag_bits(name))
+        said.append(_word_bits(m[3], known))
+        stack.append((name, len(parent) - 1))
         open_[name] = open_.get(name, 0) + 1
         if name in DROPPED:
             opens, closes = _NEXT[name]
@@ -203,4 +256,5 @@ def blocks_of(page: str | None, known: dict[str, int] | None = None) -> list[Blo
         elif dropped and name in _HOLDS_MARKUP:
             dropped.append((name, dropped[-1][1]))
     close()
+    _spread(out, of, parent, tags, said)
     return out

@@ -21,34 +21,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import Chain, train
-from .dom import HIDDEN, N_ANCESTOR_BITS, TAG_BITS, Block, blocks_of
+from .dom import ARTICLE, HIDDEN, N_ANCESTOR_BITS, Block, blocks_of
 from .words import slices
 
 #: Labelled pages that the model learns from.
 TRAIN_PAGES = 500
-_TEXT_FEATURES = 14
-N_FEATURES = N_ANCESTOR_BITS + _TEXT_FEATURES + 4
+_TEXT_FEATURES = 21
+N_FEATURES = 2 * N_ANCESTOR_BITS + _TEXT_FEATURES + 4
 _MARKS = ("©", "all rights reserved", "cookie", "subscribe", "sign in", "log in", "read more", "click here", "share")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """Binary features of a page's blocks, one row each."""
     n = len(blocks)
-    bits = np.array([b.ancestors for b in blocks], np.int64)
+    bits, wide = (np.array([getattr(b, name) for b in blocks], np.int64) for name in ("ancestors", "wide"))
     out = np.zeros((n, N_FEATURES), np.float32)
     if not n:
         return out
-    out[:, :N_ANCESTOR_BITS] = (bits[:, None] >> np.arange(N_ANCESTOR_BITS)) & 1
+    for at, own in ((0, bits), (N_ANCESTOR_BITS, wide)):
+        out[:, at : at + N_ANCESTOR_BITS] = (own[:, None] >> np.arange(N_ANCESTOR_BITS)) & 1
     chars = np.array([len(b.text) for b in blocks])
     words = np.array([b.text.count(" ") + 1 for b in blocks])
     linked = np.array([b.linked for b in blocks]) / chars
     stops = np.array([b.text.count(".") + b.text.count(",") for b in blocks])
     closed = np.array([b.text[-1] in ".!?\"”»…" for b in blocks])
     marked = np.array([len(b.text) < 300 and any(m in b.text.lower() for m in _MARKS) for b in blocks])
-    k = N_ANCESTOR_BITS
-    cols = [words <= 2, (words > 2) & (words <= 6), (words > 6) & (words <= 15), (words > 15) & (words <= 40), words > 40, linked > 0.9, (linked > 0.3) & (linked <= 0.9), linked <= 0.05, stops == 0, stops >= 3, closed, marked, np.arange(n) == 0, np.arange(n) == n - 1]
+    links = linked > 0.9
+    long = (words > 15) & ~links
+    before, after = lambda x: np.concatenate([[False], x[:-1]]), lambda x: np.concatenate([x[1:], [False]])
+    k = 2 * N_ANCESTOR_BITS
+    cols = [words <= 2, (words > 2) & (words <= 6), (words > 6) & (words <= 15), (words > 15) & (words <= 40), words > 40, links, (linked > 0.3) & (linked <= 0.9), linked <= 0.05, stops == 0, stops >= 3, closed, marked, np.arange(n) == 0, np.arange(n) == n - 1]
+    # A heading over links, a short line beside long ones, and a page of one block are known by their neighbours.
+    cols += [before(links), after(links), after(links) & after(after(links)), before(long), after(long), (words <= 15) & ~links & after(links), np.full(n, n == 1)]
     out[:, k : k + _TEXT_FEATURES] = np.stack(cols, 1)
-    inside = (bits & (TAG_BITS["article"] | TAG_BITS["main"])) > 0
+    inside = (bits & ARTICLE) > 0
     hidden = (bits & HIDDEN) > 0
     out[:, -4] = hidden & ~hidden[inside | ~inside.any()].all()  # out of sight, and what may be the article is not
     out[:, -3] = inside.any() & ~inside  # the page names its article, and the block is elsewhere
@@ -107,11 +113,24 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
             tag, how = pick("div", "p", "span", "section"), pick("hidden", 'aria-hidden="true"', 'style="display:none"', 'class="sr-only"', 'class="visually-hidden"', 'class="hidden"')
             return f"<{tag} {how}>{words(1, 60, pick('', '.'))}</{tag}>" if tag != "span" else f"<div><span {how}>{words(1, 8, pick('', '.'))}</span></div>"
 
+        def bare() -> str:
+            """Text that stands in the article itself, lines divided by breaks."""
+            lines = [words(4, 60, pick("", ".", ".")) for _ in range(rng.randint(1, 4))]
+            keep(" ".join(lines))
+            return pick("<br>", "<br/><br>", " ").join(lines)
+
+        def odd_names() -> str:
+            """Names of wrappers, that say of the page what other names say of a part."""
+            part = lambda: pick("sidebar", "header", "footer", "nav", "banner", "comments", "ads", "search", "widget", "popup", "social")
+            return pick("", "page", "home", "wrapper", "container", "row", "no-js", f"has-{part()}", f"with-{part()}", f"{part()}-{pick('open', 'fixed', 'left', 'right', 'enabled', 'active')}", f"main-with-{part()}", f"no-{part()}", f"{pick('right', 'left', 'wide', 'full')}-{part()}", f"site-{part()}", part(), f"{part()} {part()}")
+
         ad = lambda: f'<div class="{pick("ad", "ads", "advert", "sponsored-box", "promo", "banner-ad")}">{pick("", "<p>")}{words(3, 14)}</div>'
         aside = lambda: pick(
             f'<aside><h3>{words(1, 3, "")}</h3><ul>{links(2, 5)}</ul></aside>',
             f'<div class="{pick("sidebar", "widget", "related-posts", "side rail")}"><h4>{words(1, 3, "")}</h4><p>{words(5, 30)}</p><ul>{links(1, 4)}</ul></div>',
             f'<aside class="related"><p>{words(5, 40)}</p></aside>',
+            f"<div><{pick('h2', 'h3', 'h4', 'p', 'b')}>{words(1, 4, '')}</{pick('h2', 'h3')}><ul>{links(2, 6)}</ul></div>",
+            f'<div class="{pick("column", "col", "box", "panel")}"><h3>{words(1, 3, "")}</h3>' + "".join(f'<a href="/{i}">{words(2, 8, "")}</a>' + pick("", "<br>") for i in range(rng.randint(2, 5))) + "</div>",
         )
         notice = lambda: pick(
             f'<div class="{pick("cookie-banner", "notice", "consent", "popup", "newsletter")}"><p>{pick("We use cookies. ", "")}{words(6, 30)}</p><button>{words(1, 2, "")}</button></div>',
@@ -132,11 +151,17 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
         body = ""
         for _ in range(rng.randint(1, 14)):
             body += paragraph() + maybe(0.1, ad()) + maybe(0.08, notice()) + maybe(0.06, aside()) + maybe(0.06, unseen())
+        if rng.random() < 0.12:
+            body = bare() + maybe(0.5, body)
+        if title and rng.random() < 0.25:
+            title = f"<header>{maybe(0.2, share())}{title}{maybe(0.3, share())}</header>"
         inner = title + maybe(0.2, share()) + body + maybe(0.2, share()) + maybe(0.1, form())
         around = maybe(0.25, comments() + "</div>")
         middle = pick(
             f"<article>{inner}</article>{around}",
             f"<article>{inner}</article>{around}",
+            f"<article class='{odd_names()} {pick('', 'promo', 'reviews', 'popular', 'related', 'legal', 'post', 'hentry')}'>{inner}</article>{around}",
+            f"<main class='{pick('legal', 'popular', 'widget', odd_names())}'>{inner}</main>{around}",
             f"<article class='post'>{inner}{maybe(0.3, comments() + '</div></ol></section>')}</article>",
             f"<main>{inner}</main>{around}",
             f"<main><article>{inner}</article>{around}</main>",
@@ -147,15 +172,20 @@ def labelled_pages(seed: int = 11, n: int = TRAIN_PAGES) -> Iterator[tuple[str,
         if rng.random() < 0.1:  # names that only look hidden, or an article that a script brings to sight
             middle = f'<div {pick("class=overflow-hidden", "class=hidden", "data-hidden=false", "style=display:none", "hidden")}>{middle}</div>'
         if rng.random() < 0.1:  # a part of a page
-            if rng.random() < 0.6:
+            if rng.random() < 0.7:
                 kept.clear()
-                middle = f"<article>{paragraph()}</article>"
+                middle = f"<article>{bare() if rng.random() < 0.5 else paragraph()}</article>"
+                if rng.random() < 0.3:
+                    kept.clear()
+                    middle = bare()  # text alone
             yield middle, kept
             continue
+        if rng.random() < 0.3:
+            middle = f"<div class='{odd_names()}'>{middle}</div>"
         left_open = lambda: pick(f"<select><option>{words(1, 3, '')}<option>{words(1, 3, '')}", "<svg viewBox='0 0 9 9'><path d='M0 0'>", "<video src=x>", "<canvas>", "<object data=x>")
         yield (
-            f"<!DOCTYPE html><html><head><title>{words(2, 6, '')}</title><style>p{{}}</style><script>var t='</p>';</script>" + pick("</head>", "</head>", "</head>", "") + "<body>"
-            + maybe(0.15, notice()) + maybe(0.1, unseen()) + header + maybe(0.85, nav) + maybe(0.05, left_open()) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer
+            f"<!DOCTYPE html><html><head><title>{words(2, 6, '')}</title><style>p{{}}</style><script>var t='</p>';</script>" + pick("</head>", "</head>", "</head>", "") + f"<body class='{odd_names()} {odd_names()}'>" + (whole := pick("", "", "", "", "", "", "<form action=x>", f"<div class='{odd_names()}'>", f"<div id='{odd_names()}'>"))
+            + maybe(0.15, notice()) + maybe(0.1, unseen()) + header + maybe(0.85, nav) + maybe(0.05, left_open()) + maybe(0.4, ad()) + maybe(0.2, aside()) + middle + maybe(0.3, aside()) + maybe(0.2, form()) + maybe(0.15, notice()) + footer + ("</form>" if whole.startswith("<form") else "</div>" if whole else "")
             + pick("</body></html>", "</body></html>", "")
         ), kept
 
