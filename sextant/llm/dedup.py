@@ -377,15 +377,26 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int, trees:
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, but only the first of each class of near duplicates.
 
-    Rows that repeat a doc_id are one document, of which one row stays, the same on every run; null doc_ids stay.
+    A document is a doc_id with a text: of rows that repeat both one stays, the same on every run, and texts of one doc_id are
+    documents of their own.  Rows with null doc_id stay.
     """
-    marks = staged(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
-    gone = marks.where("not kept").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    one = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.struct(F.xxhash64(*docs.columns), F.to_json(row))).alias("row"))
-    return kept.where("doc_id is null").unionByName(one.select("row.*"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(_gone(docs, shingle, percent), "doc_id", "left_anti").select(*docs.columns)
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    rows = docs.where("doc_id is not null").select("doc_id", text.alias("text"), F.struct(*docs.columns).alias("row"))
+    # New ids in the order of doc_ids, range by range.
+    keys = staged(rows.select("doc_id", "text").distinct().repartitionByRange("doc_id", "text").withColumn("part", F.spark_partition_id()), "texts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keys.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))  # one row per task
+    own = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "text")) - 1
+    keys = keys.withColumn("own", own).join(parts, "part").select("doc_id", "text", (F.col("first") + F.col("own")).cast("bigint").alias("id"))
+    rows = staged(rows.join(keys, ["doc_id", "text"]).select("id", "row"), "numbered")
+    gone = _gone(rows.select(F.col("id").alias("doc_id"), "row.text"), shingle, percent)
+    one = rows.join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti").groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("row"), F.to_json("row"))).alias("row"))
+    return docs.where("doc_id is null").unionByName(one.select("row.*"))
+
+
+def _gone(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id of documents that are not the first of their class."""
+    gone = staged(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct(), "gone")
+    return F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone

@@ -71,6 +71,19 @@ def test_filters_keep_columns(spark):
         assert f(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id(spark):
+    """A copy of another document takes no other text of its doc_id with it."""
+    words = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    rows = [(3, words[0], "x"), (5, words[0], "x"), (5, words[1], "x"), (5, words[1], "x"), (5, words[2], "y"), (6, words[2], "y"), (7, None, "n"), (7, "", "n"), (7, "", "n"), (None, words[0], "z"), (8, words[3] + " tail", "w"), (8, words[3], "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id string").withColumns({c: F.lit("clash") for c in ("part", "own", "row", "first", "h")})
+    one = dedup.one_of_each(docs)
+    assert one.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or str(r.text)) for r in one.collect())
+    tails = [g for g in got if g[0] == 8]
+    assert len(tails) == 1 and tails[0][1] in (words[3], words[3] + " tail")
+    assert [g for g in got if g[0] != 8] == sorted([(0, words[0]), (3, words[0]), (5, words[1]), (5, words[2]), (7, ""), (7, "None")])
+
+
 def test_dedup_values(spark):
     rows = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(spark.createDataFrame(ROWS, DOCS)).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 5, True), (7, 2, 7, True), (8, 2, 7, False)} <= rows
