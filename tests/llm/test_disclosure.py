@@ -3,7 +3,11 @@
 import math
 import random
 import re
+import struct
+from collections import Counter
+from fractions import Fraction
 
+import xxhash
 from pyspark.sql import functions as F
 
 from sextant.llm import pii
@@ -24,10 +28,43 @@ def test_terms_far_from_their_entity(spark):
     assert "term:0:7" in {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}[0]
 
 
+def test_signature_lines_are_evidence_and_near_copies_are_not(spark):
+    rng = random.Random(6)
+    text = lambda n, of: " ".join(f"{of}{rng.randrange(500)}" for _ in range(n))
+    signed = "with kind regards Wenzel Okonjo sales wenzel@corp.example.com call any time you like"
+    rows = [(i, f"{text(40, 'w')} {signed}") for i in range(20)]
+    page = text(60, "v").split()
+    for i in range(30):  # near copies: one word of sixty is another, nothing next to the address
+        words = [*page]
+        words[rng.randrange(50)] = f"odd{i}"
+        rows.append((100 + i, " ".join(words) + " quimby said that one can write to quimby@corp.example.com at every hour"))
+    rows += [(200 + i, text(30, "w") + " with kind regards sales call any time you like said that one can write to at every hour") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.term for r in pii.disclosing_terms(df).collect()}
+    assert got == {"okonjo", "wenzel"}
+    assert "term:" in {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}[3]
+
+
+def _hash(*values):
+    """Spark's xxhash64 of longs."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+    return (seed ^ 1 << 63) - (1 << 63)
+
+
+def _sketch(words):
+    runs = [" ".join(words[i : i + pii.SHINGLE]) for i in range(max(1, len(words) - pii.SHINGLE + 1))]
+    low = sorted({(h ^ 1 << 63) - (1 << 63) for h in (xxhash.xxh64_intdigest(r.encode(), 42) for r in runs)})[: pii.LOWEST]
+    tokens = [min(_hash(h, j) for h in low) for j in range(pii.BANDS * pii.IN_BAND)]
+    return [_hash(b, *tokens[b * pii.IN_BAND : (b + 1) * pii.IN_BAND]) for b in range(pii.BANDS)]
+
+
 def _brute_force(rows):
     """Terms by the definition, over all words and entities, without any bound."""
     docs = sorted({(i, t or "") for i, t in rows}, key=str)
-    words = [set(re.findall(r"[^\W_]+", t.lower())) for _, t in docs]
+    in_order = [re.findall(r"[^\W_]+", t.lower()) for _, t in docs]
+    words, sketches = [set(w) for w in in_order], [_sketch(w) for w in in_order]
     places, bare = {}, []
     for d, (_, t) in enumerate(docs):
         spans = sorted((m.start(), k, m.end(), n, m[0]) for k, (n, p, flags, holds) in enumerate(PII) for m in re.finditer(p, t, flags) if holds(m))
@@ -43,11 +80,14 @@ def _brute_force(rows):
     n = len(docs)
     out = {}
     for entity, of in places.items():
-        if len(set().union(*of.values())) < 3 or len(of) == n:
+        held = Counter(v for d in of for v in sketches[d])
+        weight = {d: int(Fraction(pii.UNIT * len(sketches[d]), sum(held[v] for v in sketches[d]))) for d in of}
+        differ = lambda contexts, docs, weight=weight: len(contexts) >= 3 or sum(weight[d] for d in docs) >= 3 * pii.UNIT
+        if len(of) < 3 or not differ(set().union(*of.values()), of) or len(of) == n:
             continue
         for term in set().union(*(words[d] for d in of)):
             both = [d for d in of if term in words[d]]
-            if len(both) < 3 or all(term not in bare[d] for d in both) or len({min(of[d]) for d in both}) < 3:
+            if len(both) < 3 or all(term not in bare[d] for d in both) or not differ({min(of[d]) for d in both}, both):
                 continue
             holding = sum(term in w for w in words)
             share = math.log(len(both) / holding * n / len(of)) / math.log(n / len(of))
