@@ -6,10 +6,10 @@ how far t narrows e down: the pointwise mutual information log(P(e|t) / P(e)) as
 e's information content log(1 / P(e)); both probabilities are shares of documents, over all
 of them.  A term of which that part is at least `GENERALISE` is generalised, and of which it is
 at least `REMOVE` is removed, wherever it stands.  Copies prove nothing: to be a term it has to be with the
-entity in `LEAST_CONTEXTS` documents that differ, either in the words next to the entity or as whole documents.
-For the latter a document counts as the inverse of how many of the entity's documents are like it, itself
-included: each as the share of `BANDS` bands of minwise tokens of word shingles that are the same, which is about the
-third power of the similarity.  So a group of near copies adds up to two at most, documents with a passage in common to many.
+entity in documents that add up to `LEAST_DOCUMENTS` different ones.  A document counts as the inverse of how many of the
+entity's documents are like it, itself included: each as the share of `BANDS` bands of minwise tokens of their words that
+are the same, which is about the third power of the similarity.  So near copies, however many, add up to two at most, and
+documents with no more than a passage in common to many.
 
 Defined results: a null or empty text has no spans; rows equal in doc_id and text count as one
 document, and each has its spans; spans of different kinds may overlap and all stay; columns other than doc_id
@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import CONTEXT, MARK, SPAN, Kind, clean, digest, running_sums, together, with_spans, written
+from .spans import MARK, SPAN, Kind, clean, digest, running_sums, together, with_spans, written
 from .stages import staged
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -50,11 +50,9 @@ TERM = "term"
 
 GENERALISE = 0.75
 REMOVE = 0.9
-LEAST_CONTEXTS = 3
-#: Words on either side of an entity that tell one place of it from another.
-NEAR = 3
-#: Words of a shingle, smallest shingle hashes of a document that its tokens are taken from, bands, and tokens of a band.
-SHINGLE, LOWEST, BANDS, IN_BAND = 3, 64, 8, 3
+LEAST_DOCUMENTS = 3
+#: Smallest word hashes of a document that its tokens are taken from, bands, and tokens of a band.
+LOWEST, BANDS, IN_BAND = 64, 8, 3
 #: What a document unlike all others counts.
 UNIT = 1_000_000
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
@@ -71,10 +69,9 @@ def _cleaned(docs: DataFrame) -> DataFrame:
 
 
 def _lowest(words: Column) -> Column:
-    """The smallest distinct hashes of the shingles of an array of words; fewer words than a shingle are one."""
-    last = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
-    hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, LOWEST)
+    """The smallest hashes of an array of distinct words; no words are one."""
+    hashes = F.transform(F.when(F.size(words) > 0, words).otherwise(F.array(F.lit(""))), lambda w: F.xxhash64(w))
+    return F.slice(F.sort_array(hashes), 1, LOWEST)
 
 
 def _bands(lowest: Column) -> Column:
@@ -92,17 +89,10 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _mentions(scanned: DataFrame) -> DataFrame:
-    """doc, sketch, entity, context: a hash of the words next to each protected entity or, without any, of the text's words."""
-    spans = scanned.select("doc", "sketch", "words", F.explode(together([f"of_{n}" for n in NAMES])).alias("x"))
-    bare = F.when(F.col("x.rank") >= 2, F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value"))
-    before, after = _words(F.col("x.before")), _words(F.col("x.after"))
-    # A word at the edge of the context may have been cut.
-    before = F.when(F.char_length("x.before") >= CONTEXT, F.slice(before, F.lit(2), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(before)
-    after = F.when(F.char_length("x.after") >= CONTEXT, F.slice(after, F.lit(1), F.greatest(F.size(after) - 1, F.lit(0)))).otherwise(after)
-    rows = spans.select("doc", "sketch", "words", F.concat_ws(":", "x.kind", bare).alias("entity"), before.alias("b"), after.alias("a"))
-    last = F.slice("b", F.greatest(F.size("b") - NEAR + 1, F.lit(1)), F.lit(NEAR))
-    rows = rows.select("doc", "sketch", "words", "entity", F.concat(last, F.slice("a", 1, NEAR)).alias("around"))
-    return rows.select("doc", "sketch", "entity", F.when(F.size("around") > 0, F.xxhash64("around")).otherwise(F.xxhash64("words")).alias("context"))
+    """doc, sketch, entity: the distinct protected entities of each row."""
+    bare = lambda x: F.when(x["rank"] >= 2, F.regexp_replace(x["value"], "[^0-9]", "")).otherwise(F.lower(x["value"]))
+    entities = F.transform(together([f"of_{n}" for n in NAMES]), lambda x: F.concat_ws(":", x["kind"], bare(x)))
+    return scanned.where("words is not null").select("doc", "sketch", F.explode(F.array_distinct(entities)).alias("entity"))
 
 
 def _outside(text: Column) -> Column:
@@ -130,9 +120,9 @@ def _base_spans(rows: DataFrame) -> DataFrame:
     """
     rows = with_spans(_keyed(rows), "text", KINDS, "of_")
     some = F.greatest(*(F.size(f"of_{n}") for n in NAMES)) > 0
-    rows = rows.withColumn("in_order", F.when(some, _words(F.col("text"))))
-    rows = rows.withColumns({"words": F.array_distinct("in_order"), "lowest": F.when(F.col("in_order").isNotNull(), _lowest(F.col("in_order")))})
-    rows = rows.withColumn("sketch", F.when(F.col("lowest").isNotNull(), _bands(F.col("lowest")))).drop("in_order", "lowest")
+    rows = rows.withColumn("words", F.when(some, F.array_distinct(_words(F.col("text")))))
+    rows = rows.withColumn("lowest", F.when(F.col("words").isNotNull(), _lowest(F.col("words"))))
+    rows = rows.withColumn("sketch", F.when(F.col("lowest").isNotNull(), _bands(F.col("lowest")))).drop("lowest")
     rows = rows.withColumn("covered", F.when(some, F.array_except("words", _words(_outside(F.col("text"))))))
     return staged(rows.drop("text"), "spans")
 
@@ -154,10 +144,6 @@ def _counting_copies(known: DataFrame) -> DataFrame:
     return known.join(_small(met, 64 + 8 * BANDS), ["entity", "sketch"], "left").withColumn("weight", F.coalesce("weight", F.lit(UNIT).cast("bigint")))
 
 
-def _differ(contexts: Column, weight: Column) -> Column:
-    return (contexts >= LEAST_CONTEXTS) | (weight >= LEAST_CONTEXTS * UNIT)
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFrame | None:
     """term and disclosure of every term that reaches GENERALISE; None if there is none to look at.
 
@@ -166,15 +152,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     still left over the whole corpus.
     """
     found = (_base_spans(_cleaned(docs)) if found is None else found).withColumn("doc", F.col("row_key"))
-    mentions = staged(_mentions(found), "mentions")
     rows, total = found.agg(F.count("*"), F.count_distinct("doc")).first()
-    entities = mentions.groupBy("entity").agg(F.count_distinct("doc").alias("of_entity"))
-    entities = staged(entities.where((F.col("of_entity") >= LEAST_CONTEXTS) & (F.col("of_entity") < total)), "entities")
-    known = mentions.join(_small(entities), "entity")
-    known = staged(known.groupBy("doc", "entity", "of_entity").agg(F.first("sketch").alias("sketch"), F.min("context").alias("context")), "known")
-    members = staged(_counting_copies(known).select("doc", "entity", "of_entity", "context", "weight"), "members")
-    around = mentions.groupBy("entity").agg(F.count_distinct("context").alias("contexts"))
-    enough = members.groupBy("entity", "of_entity").agg(F.sum("weight").alias("weight")).join(around, "entity").where(_differ(F.col("contexts"), F.col("weight")))
+    mentions = _mentions(found)
+    if rows > total:
+        mentions = mentions.dropDuplicates(["doc", "entity"])  # equal rows
+    mentions = staged(mentions, "mentions")
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("of_entity"))
+    entities = staged(entities.where((F.col("of_entity") >= LEAST_DOCUMENTS) & (F.col("of_entity") < total)), "entities")
+    members = _counting_copies(mentions.join(_small(entities), "entity"))
+    members = staged(members.select("doc", "entity", "of_entity", "weight"), "members")
+    enough = members.groupBy("entity", "of_entity").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= LEAST_DOCUMENTS * UNIT)
     enough = staged(enough.select("entity", "of_entity"), "enough")
     most = enough.agg(F.max("of_entity")).first()[0]
     if most is None:
@@ -187,16 +174,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None) -> DataFra
     if rows > total:
         spanned = spanned.distinct()  # equal rows
     least = spanned.groupBy("term").agg(F.count("*").alias("least"))
-    least = least.where((F.col("least") >= LEAST_CONTEXTS) & (_share(F.least(F.lit(most), F.col("least")), F.col("least"), F.lit(most), total) >= GENERALISE - 1e-9))
+    least = least.where((F.col("least") >= LEAST_DOCUMENTS) & (_share(F.least(F.lit(most), F.col("least")), F.col("least"), F.lit(most), total) >= GENERALISE - 1e-9))
     least = staged(least, "least")
     held = spanned.join(_small(least), "term").join(members, "doc")
     held = held.where(_share(F.least("of_entity", "least"), F.col("least"), F.col("of_entity"), total) >= GENERALISE - 1e-9)
     key = ["entity", "term", "of_entity", "least"]
-    held = held.groupBy(*key, "context").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("covered").alias("covered"))
-    pairs = held.groupBy(*key).agg(F.sum("n").alias("together"), F.count("*").alias("contexts"), F.sum("weight").alias("weight"), F.min("covered").alias("covered"))
+    pairs = held.groupBy(*key).agg(F.count("*").alias("together"), F.sum("weight").alias("weight"), F.min("covered").alias("covered"))
     bound = _share(F.col("together"), F.col("least"), F.col("of_entity"), total)
     # What stands in the spans alone is protected by them.
-    pairs = staged(pairs.where((bound >= GENERALISE - 1e-9) & _differ(F.col("contexts"), F.col("weight")) & ~F.col("covered")), "revealing")
+    pairs = staged(pairs.where((bound >= GENERALISE - 1e-9) & (F.col("weight") >= LEAST_DOCUMENTS * UNIT) & ~F.col("covered")), "revealing")
     if pairs.isEmpty():
         return None
     words = _keyed(_cleaned(docs)).select(F.col("row_key").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
