@@ -180,3 +180,12 @@ def test_lengths_by_a_tokenizer(spark):
     lengths = D.token_lengths(corpus, lambda: lambda texts: [len(t.split()) + 2 for t in texts])
     row = D.corpus_stats(lengths, length=F.col("len")).first()
     assert (row.n_docs, row.total, row.max) == (3, 9, 4)
+
+
+def test_shown_shares_add_up(spark, monkeypatch):
+    """As in its SQL, ties are what is left of 1 by the shown wins and losses."""
+    from sextant.plans import queries
+
+    monkeypatch.setattr(queries, "_pairs", lambda r: pairs(spark, [0.1, -0.1, 0.0]))
+    row = queries.pairwise_stats(None).first()
+    assert (row.win, row.loss, row.tie) == (0.333333, 0.333333, 0.333334)
