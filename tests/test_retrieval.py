@@ -232,3 +232,30 @@ def test_sparse_postings_in_one_pass(spark, corpus, queries):
     whole = {(r.doc_id, r.gram): r.val for r in enc.encode_grams(corpus).collect()}
     asked = {r.gram for r in wanted.collect()}
     assert n == 4 and enc.mean_tokens == 4.5 and {(r.doc_id, r.gram): r.val for r in postings.collect()} == {k: v for k, v in whole.items() if k[1] in asked}
+
+
+def test_counted_where_documents_are(spark, monkeypatch):
+    """Lists per document: no join of grams, no rows of query and document; as with joins and groups, and as plain sums in small pieces."""
+    texts = [(f"d{i}", " ".join(f"w{j % 7}." if j % 3 else f"W{i % 5}" for j in range(i))) for i in range(40)] + [("empty", ""), ("null", None), ("odd", "(w1) w1... §w2 Kw3")]
+    corpus = spark.createDataFrame(texts, "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "w1 w2 w1 w3"), ("b", "w3 w4 kw3"), ("c", "none such"), ("d", None)], "query_id string, query string")
+    lists = NgramStats.build(corpus, asked)
+    assert lists.held is not None
+    plan = lists.held._jdf.queryExecution().executedPlan().toString() + lists._best_in_tasks([1, 2], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr("sextant.operators.accumulate._HELD_ENTRIES", 7)
+    seen = lambda df: sorted((r.n, r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    few, gold = seen(lists.best([1, 2], 5)), lists.best([1], 3).select("query_id", "doc_id")
+    without = seen(lists.best([1], 5, without=gold))
+    rows = lambda df: sorted((r.doc_id, r.gram, r.n, r.tf, r.n_tokens) for r in df.collect())
+    counted, saturated = rows(lists.postings), [(r.query_id, r.doc_id, round(r.score, 9)) for r in lists.best_saturated(4).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr("sextant.operators.bm25.BROADCAST_GRAMS", 0)
+    joins = NgramStats.build(corpus, asked)
+    assert joins.held is None and counted == rows(joins.postings) and few == seen(joins.best([1, 2], 5)) and without == seen(joins.best([1], 5, without=gold))
+    postings = SparseEncoder.of_stats(joins)[1].withColumnRenamed("gram", "idx")
+    old = SparseSearcher(postings, joins.n_docs).search_encoded(joins.wanted.selectExpr("query_id", "gram idx", "1.0D val"), 4)
+    assert saturated == [(r.query_id, r.doc_id, round(r.score, 9)) for r in old.orderBy("query_id", "rank").collect()]
+    monkeypatch.undo()
+    twice = NgramStats.build(corpus.unionByName(corpus.where("doc_id = 'd20'")), asked)
+    assert twice.held is None  # documents of one id are added up
+    assert {r.tf for r in twice.postings.where("doc_id = 'd20' and gram = 'w1'").collect()} == {2 * t for d, g, _, t, _ in counted if (d, g) == ("d20", "w1")}
