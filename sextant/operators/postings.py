@@ -3,27 +3,37 @@
 Documents are dealt into small groups.  A row of the index is a block: the documents of one group that hold one term, with
 what the term adds to their scores and the largest such value.  Blocks are stored by the hash of their term (a folder each) and sorted by term.
 
-A search first reads bounds alone: the sum of a query's bounds in a group is more than any document there can score.  The
+A corpus is indexed in segments: a task has whole groups, makes their blocks itself, and writes its own files, so that no posting is shuffled.
+
+A search whose terms can be sent to all workers shuffles the postings of these terms alone, once, and adds them up in arrays over the queries.  With more
+terms, bounds are read first: the sum of a query's bounds in a group is more than any document there can score.  The
 groups of the highest bounds are scored, which gives a score that the last hit has at least, and of the others only those whose bound reaches it.
-So hits and scores are those of an exhaustive search.  Nothing is collected to the driver but counts; queries are a table of any size.
+So hits and scores are those of an exhaustive search either way; queries are a table of any size.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import gram_structs, tokenize
 from ..sources.staging import place, staged
-from .bm25 import gram_total, idf, query_grams
+from .accumulate import AskedTerms, best_sums
+from .bm25 import BROADCAST_GRAMS, gram_total, idf, query_grams
+from .counts import count_all, count_wanted, exploded, has_repeats
 from .ranking import DIGITS, top_k
 
 #: Documents of a group, folders of terms, blocks of a file, and groups of a query that are scored first.
-GROUP_DOCS, BUCKETS, FILE_BLOCKS, FIRST_GROUPS = 4, 32, 2_000_000, 12
+GROUP_DOCS, BUCKETS, FILE_BLOCKS, FIRST_GROUPS = 4, 8, 2_000_000, 12
+#: Tokens of a segment, and documents whose blocks are made at a time.
+SEGMENT_TOKENS, _HELD_DOCS = 2_000_000, 64 * GROUP_DOCS
 
 
 @dataclass(frozen=True)
@@ -37,7 +47,7 @@ class IndexParameters:
 
 @dataclass
 class PostingsIndex:
-    """Blocks (bucket, term, grp, n, top, docs, vals) and terms (term, df) in a folder."""
+    """Blocks (bucket, term, grp, n, top, docs, vals) in a folder."""
 
     spark: SparkSession
     path: str
@@ -57,20 +67,57 @@ class PostingsIndex:
         sizes = {r.bucket: r["count"] for r in blocks.groupBy("bucket").count().collect()}  # BUCKETS rows
         files = F.element_at(F.array(*(F.lit(sizes.get(b, 0) // FILE_BLOCKS + 1) for b in range(BUCKETS))), F.col("bucket") + 1)
         blocks.repartition(F.col("bucket"), F.pmod("grp", files)).sortWithinPartitions("bucket", "term", "grp").write.partitionBy("bucket").parquet(f"{path}/blocks")
-        blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-        parameters = IndexParameters(n_docs, groups, **of)
+        return cls._kept(spark, path, IndexParameters(n_docs, groups, **of))
+
+    @classmethod
+    def _kept(cls, spark: SparkSession, path: str, parameters: IndexParameters) -> PostingsIndex:
         spark.createDataFrame([(json.dumps(asdict(parameters)),)], "of string").coalesce(1).write.parquet(f"{path}/parameters")
         return cls(spark, path, parameters)
 
     @classmethod
     def of_corpus(cls, corpus: DataFrame, max_n: int = 2, k1: float = 1.5, b: float = 0.75, path: str | None = None) -> PostingsIndex:
         """BM25 over the word n-grams of a corpus (doc_id, text); null text is empty."""
-        docs = staged(corpus.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")), "tokens")
-        n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-        n_tokens = F.size("tokens")
-        grams = docs.select("doc_id", n_tokens.alias("n_tokens"), F.explode(gram_structs(F.col("tokens"), max_n)).alias("g")).groupBy("doc_id", "n_tokens", F.col("g.gram").alias("term")).agg(F.count("*").alias("tf"))
-        norm = k1 * (1 - b + b * gram_total(F.col("n_tokens"), max_n) / (max_n * float(mean or 0.0) - max_n * (max_n - 1) / 2))
-        return cls.build(grams.select("doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("val")), n_docs, path, max_n=max_n, k1=k1, b=b)
+        n_docs, mean = count_wanted(corpus, []).agg(F.count("*"), F.avg("n_tokens")).first()
+        average = max_n * float(mean or 0.0) - max_n * (max_n - 1) / 2
+        if has_repeats(corpus):
+            # Documents of one id are added up before they are indexed.
+            grams = exploded(count_all(corpus, max_n)).groupBy("doc_id", "n_tokens", "term").agg(F.sum("tf").alias("tf"))
+            norm = k1 * (1 - b + b * gram_total(F.col("n_tokens"), max_n) / average)
+            return cls.build(grams.select("doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("val")), n_docs, path, max_n=max_n, k1=k1, b=b)
+        spark = corpus.sparkSession
+        path = path or place(spark, "index")
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = TaskContext.get().partitionId() << 40
+            for whole in batches:
+                for at in range(0, whole.num_rows, _HELD_DOCS):
+                    part = whole.slice(at, _HELD_DOCS)
+                    sizes, n_tokens = np.diff(np.array(part.column("terms").offsets)), part.column("n_tokens").to_numpy()
+                    coded = part.column("terms").flatten().dictionary_encode()
+                    doc, code, tf = np.repeat(np.arange(part.num_rows), sizes), coded.indices.to_numpy(), part.column("tfs").flatten().to_numpy()
+                    if not len(doc):
+                        continue
+                    norm = k1 * (1 - b + b * (max_n * n_tokens[doc] - max_n * (max_n - 1) / 2) / average)
+                    by = np.lexsort((doc, doc // GROUP_DOCS, code))
+                    doc, code, val = doc[by], code[by], (tf * (k1 + 1) / (tf + norm))[by]
+                    begins = np.concatenate([[0], np.flatnonzero((np.diff(code) != 0) | (np.diff(doc // GROUP_DOCS) != 0)) + 1])
+                    bounds = pa.array(np.append(begins, len(doc)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            coded.dictionary.take(pa.array(code[begins])), pa.array(own + doc[begins] // GROUP_DOCS), pa.array(np.diff(np.append(begins, len(doc)))), pa.array(np.maximum.reduceat(val, begins)),
+                            pa.ListArray.from_arrays(bounds, part.column("doc_id").take(pa.array(doc))), pa.ListArray.from_arrays(bounds, pa.array(val)),
+                        ],
+                        names=["term", "grp", "n", "top", "docs", "vals"],
+                    )
+                    own += _HELD_DOCS // GROUP_DOCS
+
+        tokens = int(n_docs * float(mean or 0.0))
+        segments = max(-(-tokens // SEGMENT_TOKENS), min(spark.sparkContext.defaultParallelism, 1 + tokens // 50_000))
+        texts = corpus.select(F.col("doc_id").cast("string").alias("doc_id"), "text").repartition(segments, "doc_id")
+        made = count_all(texts, max_n).mapInArrow(blocks, "term string, grp bigint, n bigint, top double, docs array<string>, vals array<double>")
+        made = made.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "term", "grp")
+        made.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
+        return cls._kept(spark, path, IndexParameters(n_docs, -(-n_docs // GROUP_DOCS), max_n, k1, b))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PostingsIndex:
@@ -88,7 +135,8 @@ class PostingsIndex:
     def weighted(self, asked: DataFrame, with_idf: bool = True) -> DataFrame:
         """query_id, term, weight of asked terms (query_id, term, weight) that the index has, times their idf."""
         asked = asked.select("query_id", F.col("term").cast("string").alias("term"), "weight")
-        terms = self._read("terms", "term string, df bigint", asked)
+        held = self._read("blocks", "term string, n bigint", asked)
+        terms = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
         weight = F.col("weight") * (idf(F.lit(float(self.of.n_docs)), F.col("df")) if with_idf else F.lit(1.0))
         return asked.join(terms, "term").groupBy("query_id", "term").agg(F.sum(weight).alias("weight"))
 
@@ -118,6 +166,11 @@ class PostingsIndex:
     def search_terms(self, asked: DataFrame, limit: int = 10, with_idf: bool = True) -> DataFrame:
         """query_id, doc_id, score, rank for terms (query_id, term, weight), weights not below 0."""
         weighted = staged(self.weighted(asked, with_idf), "weighted")
+        some = weighted.limit(BROADCAST_GRAMS + 1).toPandas()
+        if len(some) <= BROADCAST_GRAMS:
+            blocks = self._read("blocks", "term string, docs array<string>, vals array<double>", weighted).join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
+            rows = blocks.select("term", F.explode(F.arrays_zip("docs", "vals")).alias("x")).select(F.col("x.docs").alias("doc_id"), "term", F.col("x.vals").alias("val"))
+            return top_k(best_sums(rows, "term", ["val"], [], AskedTerms.of(some), lambda x: {0: x["val"]}, limit, dict(weighted.dtypes)["query_id"]).drop("n"), limit)
         first, rest = self._candidates(weighted, limit)
         return top_k(first.drop("rank").unionByName(top_k(self.scored(weighted, rest), limit).drop("rank")), limit)
 

@@ -79,3 +79,22 @@ def test_edges(spark, monkeypatch):
     ties = spark.createDataFrame([(f"{i:03}", "same words") for i in range(100)] + [("null", None), ("empty", "")], schema)
     got = PostingsIndex.of_corpus(ties).search(asked, 7)
     assert [r.doc_id for r in got.orderBy("rank").collect()] == [f"{i:03}" for i in range(7)]
+
+
+def test_no_posting_is_shuffled(spark, corpus, queries, index, monkeypatch):
+    """Segments are written where they are made; searches by arrays and by bounds agree."""
+    got = listed(index.search(queries, 10))
+    monkeypatch.setattr(postings, "BROADCAST_GRAMS", 0)
+    assert got == listed(index.search(queries, 10))
+    monkeypatch.setattr(postings, "SEGMENT_TOKENS", 20_000)
+    monkeypatch.setattr(postings, "staged", None)  # nothing is written besides the index
+    built = PostingsIndex.of_corpus(corpus)
+    files = spark.read.parquet(f"{built.path}/blocks").withColumn("f", F.input_file_name())
+    owners = files.groupBy("grp").agg(F.count_distinct(F.regexp_extract("f", r"part-(\d+)", 1)).alias("tasks"))
+    assert files.select("f").distinct().count() > 3 * postings.BUCKETS and owners.agg(F.max("tasks")).first()[0] == 1
+    assert owners.count() >= corpus.where("text rlike '[a-z]'").count() // postings.GROUP_DOCS
+    monkeypatch.undo()
+    assert got == listed(built.search(queries, 10))
+    twice = PostingsIndex.of_corpus(corpus.limit(50).unionByName(corpus.limit(1)))
+    asked = queries.limit(5)
+    assert listed(twice.search(asked, 10)) == listed(NgramStats.build(corpus.limit(50).unionByName(corpus.limit(1)), asked).best([2], 10))
