@@ -259,3 +259,12 @@ def test_counted_where_documents_are(spark, monkeypatch):
     twice = NgramStats.build(corpus.unionByName(corpus.where("doc_id = 'd20'")), asked)
     assert twice.held is None  # documents of one id are added up
     assert {r.tf for r in twice.postings.where("doc_id = 'd20' and gram = 'w1'").collect()} == {2 * t for d, g, _, t, _ in counted if (d, g) == ("d20", "w1")}
+
+
+def test_all_grams_are_counted_without_a_shuffle(corpus):
+    enc = SparseEncoder().fit(corpus)
+    encoded = enc.encode_grams(corpus)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    twice = enc.encode_grams(corpus.unionByName(corpus.where("doc_id = 'd2'")))
+    assert twice.count() == encoded.count()  # documents of one id are added up
+    assert scores(twice.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"] > scores(encoded.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"]
