@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..sources.staging import staged
 from .ranking import top_k
 from .search import _nearest
 
@@ -52,7 +53,7 @@ class HyperplaneIndex:
 
     def candidates(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """query_id, doc_id of the nearest sketches of each query."""
-        near = _nearest(self.sketches(self.vectors, "doc_id"), self.sketches(queries, "query_id"), lambda d, q: (_signs(d) @ _signs(q).T).astype(np.float64), limit * self.oversample)
+        near = _nearest(staged(self.sketches(self.vectors, "doc_id"), "sketches"), self.sketches(queries, "query_id"), lambda d, q: (_signs(d) @ _signs(q).T).astype(np.float64), limit * self.oversample)
         return near.select("query_id", "doc_id")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:

@@ -268,3 +268,50 @@ def test_all_grams_are_counted_without_a_shuffle(corpus):
     twice = enc.encode_grams(corpus.unionByName(corpus.where("doc_id = 'd2'")))
     assert twice.count() == encoded.count()  # documents of one id are added up
     assert scores(twice.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"] > scores(encoded.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"]
+
+
+def test_a_task_holds_few_hits_of_each_query():
+    """What is held does not grow with the documents (8,000 of each slice's hits were kept before), and it is what sorting all gives."""
+    from sextant.operators.ranking import BestSoFar, best_places
+
+    rng = np.random.default_rng(5)
+    names, scores = np.array([f"d{i:05d}" for i in rng.permutation(20_000)], dtype=object), np.round(rng.random((20_000, 40)), 3)  # many ties
+    scores[rng.random(scores.shape) < 0.2] = np.nan
+    best, most = BestSoFar(40, 20), 0
+    for at in range(0, len(names), 100):
+        for first in (0, 25):
+            best.add(names[at : at + 100], scores[at : at + 100, first : first + (25 if not first else 15)], first)
+            most = max(most, best.size)
+    q, d, s = best.taken()
+    at, of = best_places(names, scores, 20)
+    assert sorted(zip(q, d, s)) == sorted(zip(of, names[at], scores[at, of])) and most <= 25_000
+
+
+def test_more_queries_than_a_block_are_searched_alike(spark, monkeypatch):
+    """Groups that meet groups give what one block gives, by every operator that searches in blocks."""
+    from sextant.operators import search
+    from sextant.operators.late import LateIndex
+
+    rng = np.random.default_rng(6)
+    rows = [(str(i), v.tolist(), m.tolist()) for i, (v, m) in enumerate(zip(rng.standard_normal((300, 16)), rng.standard_normal((300, 3, 16))))]
+    docs = spark.createDataFrame(rows, "doc_id string, vec array<float>, vecs array<array<float>>")
+    asked = docs.where("cast(doc_id as int) < 40").withColumnRenamed("doc_id", "query_id")
+    index = LateIndex.build(docs, cells=30)
+    ways = (lambda: HyperplaneIndex(docs, 16).search(asked, 5), lambda: DenseSearcher(docs).search(asked, 5), lambda: search.MaxSimSearcher(docs).search(asked, 5), lambda: index.candidates(asked, 5), lambda: index.estimates(asked))
+    found = lambda: [sorted(tuple(r[:2]) for r in way().collect()) for way in ways]
+    before = found()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(search, "CELL_QUERIES", 15)
+    monkeypatch.setattr(search, "CELL_BYTES", 1000)
+    assert found() == before and all(before)
+
+
+def test_late_candidates_make_no_rows_of_vectors_and_documents(spark):
+    """Rows that are shuffled for candidates are hits of tasks: there was one for each query, vector and document."""
+    from sextant.operators.late import LateIndex
+
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(str(i), rng.standard_normal((4, 16)).tolist()) for i in range(200)], "doc_id string, vecs array<array<float>>")
+    asked = docs.where("cast(doc_id as int) < 5").withColumnRenamed("doc_id", "query_id")
+    plan = LateIndex.build(docs).candidates(asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
