@@ -1,10 +1,13 @@
-"""Candidates for late interaction: token vectors by nearest centre, lists of documents by centre, and MaxSim on what these bring up.
+"""Candidates for late interaction: token vectors by nearest centre, and MaxSim on what these bring up.
 
-Centres are fitted on a bounded sample of all documents' vectors (`SAMPLE_ROWS` of the cell index); every vector of every document is in the list of its
-centre, once per document and centre with its greatest length.  A query's vector looks into the lists of its best centres; a document's
+Centres are fitted on a bounded sample of all documents' vectors (`SAMPLE_ROWS` of the cell index); a document is indexed by the centres of its
+vectors, each once with its greatest length, a few dozen bytes.  A query's vector looks at its best centres; a document's
 estimate is the sum, over the query's vectors, of the best centre that brought it up.  The best estimates are scored exactly.
 
-Documents without vectors are not indexed; a vector of zeros is in no list.
+Estimates are made in arrays, by the blocks of the exact search, and a task keeps the best of each query: no row is made of a query, its
+vector and a document.
+
+Documents without vectors are not indexed; a vector of zeros has no centre.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from pyspark.sql import functions as F
 from ..sources.staging import place, staged
 from .cells import MOST_CELLS, SAMPLE_ROWS, _nearest_centre, fit_centres
 from .ranking import top_k
-from .search import MaxSimScorer, _flat, _unit
+from .search import MaxSimScorer, _firsts, _flat, _nearest, _unit
 
-#: Vectors of a list while centres are few, folders of lists, and the share of all centres that a query's vector looks into.
-LIST_ROWS, BUCKETS, PROBED = 2, 32, 0.3
+#: Vectors of a centre while these are few, and the share of all centres that a query's vector looks at.
+LIST_ROWS, PROBED = 2, 0.3
 
 
 @dataclass
 class LateIndex:
-    """Lists (bucket, cell, doc_id, size) and centres in a folder; documents keep their vectors elsewhere."""
+    """Documents (doc_id, cells, sizes) and centres in a folder; documents keep their vectors elsewhere."""
 
     spark: SparkSession
     path: str
@@ -54,9 +57,9 @@ class LateIndex:
                     cell, _ = _nearest_centre(v / size[:, None], sent.value)
                     yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column("doc_id"), pa.array(size)], names=["cell", "doc_id", "size"])
 
-        lists = tokens.mapInArrow(deal, "cell int, doc_id string, size double").groupBy("cell", "doc_id").agg(F.max("size").alias("size"))
-        lists = lists.withColumn("bucket", F.col("cell") % BUCKETS).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // 50_000_000 + 1)))).sortWithinPartitions("bucket", "cell")
-        lists.write.partitionBy("bucket").parquet(f"{path}/lists")
+        held = tokens.mapInArrow(deal, "cell int, doc_id string, size double").repartition("doc_id").groupBy("doc_id", "cell").agg(F.max("size").alias("size"))
+        held = held.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("x")).select("doc_id", F.col("x.cell").alias("cells"), F.col("x.size").alias("sizes"))
+        held.write.parquet(f"{path}/documents")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
         return cls(spark, path, centres)
 
@@ -65,35 +68,46 @@ class LateIndex:
         rows = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres").orderBy("cell").toArrow()
         return cls(spark, path, _flat(rows["centre"].combine_chunks()) if rows.num_rows else np.zeros((0, 1)))
 
-    def estimates(self, queries: DataFrame, vecs: str = "vecs", probed: float = PROBED) -> DataFrame:
-        """query_id, doc_id, score: an estimate for every document that a query's (query_id, vecs) lists bring up."""
+    def estimates(self, queries: DataFrame, vecs: str = "vecs", probed: float = PROBED, limit: int | None = None) -> DataFrame:
+        """query_id, doc_id, score: an estimate for every document that a query (query_id, vecs) brings up, or the best of each query."""
         probes = max(1, math.ceil(len(self.centres) * probed))
         sent = self.spark.sparkContext.broadcast(self.centres)
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = sent.value
+            """Each vector with the score of the last centre it looks at in front."""
             for whole in batches:
-                for at in range(0, whole.num_rows, 64):
-                    b = whole.slice(at, 64)
-                    near = _flat(b.column("vec")) @ centres.T
-                    best = np.argpartition(-near, min(probes, len(centres)) - 1, axis=1)[:, :probes]
-                    of = np.repeat(np.arange(b.num_rows), best.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("query_id").take(pa.array(of)), b.column("nth").take(pa.array(of)), pa.array(best.ravel(), pa.int32()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query_id", "nth", "cell", "near"]
-                    )
-
-        tokens = queries.select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(vecs).alias("nth", "vec")).where("vec is not null")
+                for at in range(0, whole.num_rows, 8):
+                    b = whole.slice(at, 8)
+                    v = _flat(b.column("vec").flatten())
+                    last = np.concatenate([np.partition(-(part @ sent.value.T), probes - 1, axis=1)[:, probes - 1] for part in np.split(v, range(64, len(v), 64))])
+                    of = np.concatenate([-last[:, None], v], axis=1)
+                    inner = pa.ListArray.from_arrays(np.arange(len(of) + 1, dtype=np.int32) * of.shape[1], pa.array(of.ravel()))
+                    bounds = np.append(_firsts(b.column("vec")), len(of)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.ListArray.from_arrays(bounds, inner)], names=["query_id", "vec"])
+
+        def estimate(docs: pa.Array, asked: pa.Array) -> np.ndarray:
+            """A score for each document (its [cell, size] pairs) and query; not a number where no vector brings the document up."""
+            d, q = _flat(docs.flatten()), _flat(asked.flatten())
+            cells, at = np.unique(d[:, 0].astype(int), return_inverse=True)
+            near = q[:, 1:] @ sent.value[cells].T
+            near[near < q[:, :1] - 1e-9] = -np.inf
+            # What a document has of several centres counts once per vector of the query, by the best of them.
+            best = np.maximum.reduceat(near[:, at] * d[:, 1], _firsts(docs), axis=1)
+            out = np.add.reduceat(np.where(best > -np.inf, best, 0.0), _firsts(asked), axis=0).T
+            out[np.maximum.reduceat(best, _firsts(asked), axis=0).T == -np.inf] = np.nan
+            return out
+
+        asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.filter(vecs, lambda v: v.isNotNull()).alias("vec")).where("size(vec) > 0")
         if not len(self.centres):
             return self.spark.createDataFrame([], "query_id string, doc_id string, score double")
-        looked = tokens.mapInArrow(look, "query_id string, nth int, cell int, near double").withColumn("bucket", F.col("cell") % BUCKETS)
-        lists = self.spark.read.schema("cell int, doc_id string, size double, bucket int").parquet(f"{self.path}/lists")
-        # What a document has in several lists counts once per vector of the query, by the best of them.
-        best = lists.join(looked, ["bucket", "cell"]).groupBy("query_id", "doc_id", "nth").agg(F.max(F.col("size") * F.col("near")).alias("near"))
-        return best.groupBy("query_id", "doc_id").agg(F.sum("near").alias("score"))
+        looked = staged(asked.mapInArrow(look, "query_id string, vec array<array<double>>"), "looked")
+        held = self.spark.read.schema("doc_id string, cells array<int>, sizes array<double>").parquet(f"{self.path}/documents")
+        held = held.select("doc_id", F.zip_with("cells", "sizes", lambda c, s: F.array(c.cast("double"), s)).alias("vec"))
+        return _nearest(held, looked, estimate, limit).drop("rank")
 
     def candidates(self, queries: DataFrame, limit: int = 10, vecs: str = "vecs", probed: float = PROBED, oversample: int = 9) -> DataFrame:
         """query_id, doc_id of the best estimates: `oversample` times the hits that are asked for."""
-        return top_k(self.estimates(queries, vecs, probed), limit * oversample).select("query_id", "doc_id")
+        return self.estimates(queries, vecs, probed, limit * oversample).select("query_id", "doc_id")
 
 
 @dataclass
