@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.encoders import with_retry
+from ..sources.staging import staged
 from .bm25 import NgramStats
 from .ranking import DIGITS, dedupe_by_document, ranked
 from .search import MaxSimScorer, Searcher
@@ -200,4 +201,5 @@ class Reranker:
     multiplier: int = 10
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        return self.strategy.rerank(queries, self.retriever.search(queries, limit * self.multiplier)).where(F.col("rank") <= limit)
+        hits = staged(self.retriever.search(queries, limit * self.multiplier), "pool")  # strategies read them several times
+        return self.strategy.rerank(queries, hits).where(F.col("rank") <= limit)

@@ -315,3 +315,44 @@ def test_late_candidates_make_no_rows_of_vectors_and_documents(spark):
     asked = docs.where("cast(doc_id as int) < 5").withColumnRenamed("doc_id", "query_id")
     plan = LateIndex.build(docs).candidates(asked, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_pool_is_searched_once(spark, corpus, queries):
+    """What strategies read several times is written: the postings were scored again for each of these reads."""
+    more = queries.unionByName(spark.createDataFrame([("r", "a contract", 1)], queries.schema))
+    stats = NgramStats.build(corpus, more)
+    of = corpus.select("doc_id", F.col("doc_id").alias("did"))
+    for strategy in (LexicalStrategy(corpus), NgramBM25Strategy(stats), FusedNgramStrategy(stats), SiblingExpansionStrategy(NgramBM25Strategy(stats), of)):
+        got = Reranker(Bm25Searcher(stats, 1), strategy).search(more, 3)
+        assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.query_id, r.doc_id) for r in got.where("rank = 1").collect()} >= {("r", "d3")}
+
+
+def test_wanted_grams_of_many_documents_at_once():
+    """Against counting each document's grams one by one; grams do not reach from a document into the next."""
+    from sextant.operators.counts import WantedGrams
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        docs = [rng.choice(list("abcde"), rng.choice([0, 1, 2, 3, 20])).tolist() for _ in range(rng.integers(0, 6))]
+        wanted = sorted({("_".join(rng.choice(list("abcx"), n)), int(n)) for n in rng.integers(1, 4, rng.integers(0, 12))})
+        bounds, terms, tfs = WantedGrams(wanted).count(docs)
+        for i, d in enumerate(docs):
+            expected = {p: sum("_".join(d[j : j + n]) == g for j in range(len(d) - n + 1)) for p, (g, n) in enumerate(wanted)}
+            assert dict(zip(terms[bounds[i] : bounds[i + 1]].tolist(), tfs[bounds[i] : bounds[i + 1]].tolist())) == {p: tf for p, tf in expected.items() if tf}
+
+
+def test_passages_are_cut_at_ascii_blanks_alone(spark, tmp_path):
+    from sextant.plans.roles import Roles
+
+    texts = [None, "", " \t\n\r\f ", " a\tb\nc\rd\fe ", "a b c\x0bd \x1ce", "😀 " * 351, "x  " * 700, "y " * 701]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one 😀 😀 two"), (2, "b c d"), (3, "y y y"), (4, "x x"), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = Roles(spark, str(tmp_path))
+    expected = []
+    for i, t in enumerate(texts):
+        w = [x for x in __import__("re").findall(r"[^ \t\n\r\f]+", t or "")]
+        expected += [(f"{i}_{c // 350}", str(i), " ".join(w[c : c + 350])) for c in range(0, len(w), 350)]
+    assert sorted(tuple(x) for x in r.passages().collect()) == sorted(expected)
+    gold = {(x.query_id, x.doc_id) for x in r.qrels().collect()}
+    assert gold == {(str(q), d) for q, text in ((2, "b c d"), (3, "y y y"), (4, "x x")) for d, _, p in expected if text in p} and len(gold) >= 5
