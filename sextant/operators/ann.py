@@ -2,14 +2,15 @@
 
 Two sketches differ in a share of their bits that is the angle between their vectors over pi, give or take
 1 / (2 sqrt(bits)).  Every vector is indexed by its sketch, a few dozen bytes; a search ranks all sketches, in the blocks
-of the exact search, keeps `oversample` times the hits that are asked for, and scores only those by their vectors.  The
-number of exact scores so follows from the queries alone, however many vectors there are.
+of the exact search, keeps `oversample` times the hits that are asked for, and scores only those by their vectors.  Unless it is
+given, that number is measured on a sample of the queries, whose hits are searched exactly: near vectors lie closer in larger tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..sources.staging import staged
 from .ranking import top_k
-from .search import _nearest
+from .search import DenseSearcher, _nearest, needed_oversample
 
 
 def _signs(sketches: pa.Array) -> np.ndarray:
@@ -33,7 +34,7 @@ class HyperplaneIndex:
     vectors: DataFrame  # doc_id, vec
     size: int
     bits: int = 512
-    oversample: int = 8
+    oversample: int | None = None
     seed: int = 7
 
     def sketches(self, rows: DataFrame, key: str) -> DataFrame:
@@ -51,10 +52,18 @@ class HyperplaneIndex:
 
         return rows.select(F.col(key).cast("string").alias(key), "vec").where("vec is not null").mapInArrow(sign, f"{key} string, vec array<bigint>")
 
+    @cached_property
+    def held(self) -> DataFrame:
+        """The sketches of all vectors, written once."""
+        return staged(self.sketches(self.vectors, "doc_id"), "sketches")
+
+    def _near(self, queries: DataFrame, pool: int) -> DataFrame:
+        return _nearest(self.held, self.sketches(queries, "query_id"), lambda d, q: (_signs(d) @ _signs(q).T).astype(np.float64), pool)
+
     def candidates(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """query_id, doc_id of the nearest sketches of each query."""
-        near = _nearest(staged(self.sketches(self.vectors, "doc_id"), "sketches"), self.sketches(queries, "query_id"), lambda d, q: (_signs(d) @ _signs(q).T).astype(np.float64), limit * self.oversample)
-        return near.select("query_id", "doc_id")
+        times = self.oversample or needed_oversample(queries, lambda some: DenseSearcher(self.vectors).search(some, limit), self._near, limit, self.held.count())
+        return self._near(queries, limit * times).select("query_id", "doc_id")
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").alias("_q"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import place, staged
 from .cells import MOST_CELLS, SAMPLE_ROWS, _nearest_centre, fit_centres
 from .ranking import top_k
-from .search import MaxSimScorer, _firsts, _flat, _nearest, _unit
+from .search import MaxSimScorer, MaxSimSearcher, _firsts, _flat, _nearest, _unit, needed_oversample
 
 #: Vectors of a centre while these are few, and the share of all centres that a query's vector looks at.
 LIST_ROWS, PROBED = 2, 0.3
@@ -112,15 +112,19 @@ class LateIndex:
 
 @dataclass
 class LateSearcher:
-    """MaxSim over the candidates of an index."""
+    """MaxSim over the candidates of an index; how many, unless given, is measured on a sample of the queries, whose hits are searched exactly."""
 
     index: LateIndex
     docs: DataFrame
     vecs: str = "vecs"
     probed: float = PROBED
-    oversample: int = 9
+    oversample: int | None = None
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
-        pool = staged(self.index.candidates(queries, limit, self.vecs, self.probed, self.oversample), "candidates")
         asked, held = queries.withColumn("query_id", F.col("query_id").cast("string")), self.docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+        times = self.oversample
+        if times is None:
+            near = lambda some, pool: top_k(self.index.estimates(some, self.vecs, self.probed, pool), pool)
+            times = needed_oversample(asked, lambda some: MaxSimSearcher(held, self.vecs).search(some, limit), near, limit, held.count())
+        pool = staged(self.index.candidates(asked, limit, self.vecs, self.probed, times), "candidates")
         return top_k(MaxSimScorer(held, self.vecs).score(asked, pool), limit)

@@ -47,3 +47,14 @@ def test_edges(spark):
     empty = LateIndex.build(docs.limit(0))
     assert LateSearcher(empty, docs).search(asked, 5).count() == 0 and LateIndex.open(spark, empty.path).centres.shape[0] == 0
     assert pytest.approx(1.0) == np.linalg.norm(LateIndex.build(docs).centres, axis=1).max()
+
+
+def test_the_depth_of_candidates_is_measured(spark):
+    """Where estimates say little (one centre alone), nine candidates for a hit are not enough; the depth follows from sampled queries."""
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(str(i), rng.standard_normal((2, 16)).tolist()) for i in range(400)], SCHEMA)
+    asked = docs.where("cast(doc_id as int) < 12").withColumnRenamed("doc_id", "query_id")
+    index = LateIndex.build(docs, cells=1)
+    exact = pairs(MaxSimSearcher(docs).search(asked, 5))
+    assert len(pairs(LateSearcher(index, docs, oversample=9).search(asked, 5)) & exact) / len(exact) < 0.9
+    assert len(pairs(LateSearcher(index, docs).search(asked, 5)) & exact) / len(exact) >= 0.9
