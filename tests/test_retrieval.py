@@ -270,6 +270,39 @@ def test_all_grams_are_counted_without_a_shuffle(corpus):
     assert scores(twice.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"] > scores(encoded.where("gram = 'the_statute'").withColumnRenamed("val", "score"))["d2"]
 
 
+def test_documents_are_hashed_without_a_shuffle(spark, corpus):
+    """Grams of one hash (plumless, buckeroo) are one index with both values; the same from documents as from grouped rows."""
+    texts = corpus.unionByName(spark.createDataFrame([("odd", "Plumless buckeroo buckeroo §2"), ("none", None)], "doc_id string, text string"))
+    enc = SparseEncoder().fit(texts)
+    encoded = enc.encode_documents(texts)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: {(r.doc_id, r.idx): round(r.val, 9) for r in df.collect()}
+    grams = enc.encode_grams(texts)
+    got = rows(encoded)
+    assert got == rows(grams.groupBy("doc_id", F.crc32(F.encode("gram", "UTF-8")).alias("idx")).agg(F.sum("val").alias("val")))
+    odd = {r.gram: r.val for r in grams.where("doc_id = 'odd'").collect()}
+    assert got["odd", 1306201125] == round(odd["plumless"] + odd["buckeroo"], 9) and len([d for d, _ in got if d == "odd"]) == len(odd) - 2  # and both words before buckeroo
+    twice = rows(enc.encode_documents(texts.unionByName(texts.where("doc_id = 'd2'"))))
+    assert twice.keys() == got.keys() and all((v > got[k]) == (k[0] == "d2") for k, v in twice.items())
+    with pytest.raises(ValueError):
+        SparseEncoder().encode_documents(texts)
+
+
+def test_sparse_encode_docs_is_by_hash(spark, tmp_path):
+    """The registered query goes through hashes, as does its SQL: two words of one hash are one index."""
+    import duckdb
+
+    from sextant.plans.oracle import ORACLE
+    from sextant.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "plumless buckeroo buckeroo"), (2, "plumless plumless §2 b"), (3, ""), (4, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["sparse_encode_docs"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert [(d, n) for d, n, _, _ in got] == [("1_0", 2), ("2_0", 6)]  # plumless and buckeroo, alone and before buckeroo
+    assert got == sorted(duck.execute(ORACLE["sparse_encode_docs"]).fetchall())
+
+
 def test_a_task_holds_few_hits_of_each_query():
     """What is held does not grow with the documents (8,000 of each slice's hits were kept before), and it is what sorting all gives."""
     from sextant.operators.ranking import BestSoFar, best_places
